@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .op2_substring_dedup import op2_substring_dedup
+from .op6_minhash import op6_minhash
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op6_minhash": op6_minhash,
 }
 
 ORACLES: dict[str, str] = {}
