@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .op2_substring_dedup import op2_substring_dedup
 from .op6_minhash import op6_minhash
+from .op8_packing import op8_packing
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op6_minhash": op6_minhash,
+    "op8_packing": op8_packing,
 }
 
 ORACLES: dict[str, str] = {}
