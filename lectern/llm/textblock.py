@@ -19,6 +19,9 @@ BLOCK_BYTES = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Every ASCII character that is neither letter nor digit.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -99,10 +102,10 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYT
 class Words:
     """The words of a block of texts: byte ranges, and the first word of each text."""
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray):
+    def __init__(self, raw: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACE):
         self.raw, self.at = raw, at
         inside = np.zeros(len(raw) + 2, bool)
-        inside[1:-1] = ~SPACE[raw]
+        inside[1:-1] = ~separators[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[at] = True
         here, before = inside[1:], inside[:-1]
