@@ -7,7 +7,7 @@ similarity of their signatures, a few bit counts, sorts out most, and full shing
 confirm the rest.  A pair of similarity 0.75 shares no band with a chance of 5 in a million.
 
 Groups of copies stay linear: equal sets are one vertex; in each bucket the members are
-first linked with one leader; only buckets that still hold several components are
+first linked with leaders; only buckets that still hold several components are
 searched pair by pair, members of one component never being compared.
 """
 
@@ -122,7 +122,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     """The (a, b) pairs whose full shingle sets are similar enough; each needed set is made once."""
     pairs = saved(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = saved(docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
+    sets = saved(docs.join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
     x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
     return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
@@ -141,26 +141,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = saved(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id").alias("x")).select("s1", "s2", "id", "x.*"), "classes")
     buckets = classes.select(F.explode("bands").alias("key"), "id")
-    signed = classes.select("id", "n_shingles", "sig")
     close = (similarity("l.sig", "r.sig") >= 0.55) & (100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("a < b").distinct()
-        left, right = signed.alias("l"), signed.alias("r")
-        near = pairs.join(left, F.col("a") == F.col("l.id")).join(right, F.col("b") == F.col("r.id")).where(close).select("a", "b")
-        return confirmed(docs, near, size, percent)
-
-    lead = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    links = linked(buckets.join(lead.hint("shuffle_hash"), "key").select("a", F.col("id").alias("b")))
+    # Each member with the smallest and the largest of its buckets' leaders.
+    lead = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    led = buckets.join(lead.hint("shuffle_hash"), "key").where("leader < id").groupBy("id").agg(F.array(F.min("leader"), F.max("leader")).alias("leaders"))
+    pairs = led.select(F.explode(F.array_distinct("leaders")).alias("a"), F.col("id").alias("b"))
+    signed = classes.select("id", "n_shingles", "sig")
+    near = pairs.join(signed.alias("l"), F.col("a") == F.col("l.id")).join(signed.alias("r"), F.col("b") == F.col("r.id")).where(close).select("a", "b")
+    links = confirmed(docs, near, size, percent)
     labels = components(links)
-    # Buckets that still hold several components: each member with the members of other components near its size.
-    grouped = signed.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "n_shingles", "sig")
+    # Buckets that still hold several components: each member with the members of other components near its size,
+    # once for each pair, in the first band that both share.
+    grouped = classes.select("id", "n_shingles", "bands", "sig").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    grouped = grouped.withColumn("step", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))))
     members = buckets.join(grouped.select("id", "label"), "id")
     mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent)))
-    rest = saved(buckets.join(mixed.hint("shuffle_hash"), "key").join(grouped, "id").withColumn("step", step), "mixed")
+    rest = saved(grouped.select("*", F.posexplode("bands").alias("band", "key")).join(mixed.hint("shuffle_hash"), "key"), "mixed")
     left = rest.withColumn("step", F.explode(F.array("step", F.col("step") + 1))).alias("l")
-    cross = left.join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.step") == F.col("r.step")) & (F.col("l.label") != F.col("r.label")) & close)
+    first_shared = F.least(*[F.when(F.col("l.bands")[i] == F.col("r.bands")[i], i).otherwise(HASHES) for i in range(HASHES // ROWS)])
+    ordered = F.struct("l.n_shingles", "l.id") < F.struct("r.n_shingles", "r.id")
+    cross = left.join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.step") == F.col("r.step")) & (F.col("l.label") != F.col("r.label")) & ordered & close & (F.col("l.band") == first_shared))
     more = confirmed(docs, cross.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")), size, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
