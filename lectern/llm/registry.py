@@ -6,14 +6,18 @@ from .op10_language_id import op10_language_id
 from .op2_substring_dedup import op2_substring_dedup
 from .op5_toxicity import op5_toxicity
 from .op6_minhash import op6_minhash
+from .op7_chat_format import OP7_SQL, op7_chat_format
 from .op8_packing import op8_packing
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_minhash": op6_minhash,
+    "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_format": OP7_SQL,
+}
