@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .op1_line_dedup import op1_line_dedup
 from .op10_language_id import op10_language_id
 from .op2_substring_dedup import op2_substring_dedup
+from .op4_decontamination import op4_decontamination
 from .op5_toxicity import op5_toxicity
 from .op6_minhash import op6_minhash
 from .op7_chat_format import OP7_SQL, op7_chat_format
 from .op8_packing import op8_packing
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_minhash": op6_minhash,
     "op7_chat_format": op7_chat_format,
