@@ -18,9 +18,11 @@ offset.  A document finds its place by its length and its rank.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,38 +34,94 @@ from .textblock import blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-#: The tokeniser's normaliser and splitter never look across these separators.
-CACHED_CHUNKS = 200_000
+#: Chunks between white space that a worker remembers in each of two generations.
+CACHED_CHUNKS = 300_000
+STOPS = ".,;:!?"
 
 
 class ChunkIds(dict):
-    """Token ids (as bytes) of the parts of a text between white space, each made once."""
+    """Token ids (as bytes) of the chunks of a text between white space, each made once.
+
+    The tokeniser's normaliser and splitter never look across white space, so a text's ids are those of its chunks.  A
+    run of letters and a run of stops after it are split, too; so most chunks are a letter run, encoded many to
+    a call, each ending with the one token of it that is marked as a word's last.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        made = self[chunk] = np.array(ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.old: dict[bytes, bytes] = {}
+        self.stops: dict[str, bytes] = {"": b""}
+
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _runs(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of letter runs."""
+        made: dict[str, bytes] = {}
+        groups = [runs[i : i + 1000] for i in range(0, len(runs), 1000)]
+        for group, e in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            if len(at) == len(group) + 1:
+                made.update(zip(group, (ids[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)), strict=True))
+            else:  # a run that the splitter sees otherwise
+                made.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(group, self._encode(group), strict=True))
         return made
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+    def learn(self, chunks: set[bytes]) -> None:
+        """Make sure that these chunks are known."""
+        if len(self) > CACHED_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+        runs, other, tails = {}, [], set()
+        for c in chunks:
+            if c not in self:
+                known = self.old.get(c)
+                if known is not None:
+                    self[c] = known
+                    continue
+                text = c.decode()
+                run = text.rstrip(STOPS)
+                if run.isalpha() and run.lower().isalpha():
+                    runs[c] = run, text[len(run) :]
+                    tails.add(text[len(run) :])
+                else:
+                    other.append(text)
+        for tail in tails.difference(self.stops):
+            self.stops[tail] = np.array(self._encode([tail])[0].ids, "<u4").tobytes()
+        made = self._runs(list({run for run, _ in runs.values()}))
+        for c, (run, tail) in runs.items():
+            self[c] = made[run] + self.stops[tail]
+        for text, e in zip(other, self._encode(other), strict=True):
+            self[text.encode()] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, chunks: list[bytes]) -> bytes:
+        return b"".join(map(self.__getitem__, chunks))
+
+
+@lru_cache(maxsize=1)
+def chunk_ids(path: str) -> ChunkIds:
+    """One for each Python worker, which serves many tasks."""
+    return ChunkIds(path)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the token ids of each text and `end_id`, cut only where longer than `capacity`."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = ChunkIds(path), np.array([end_id], "<u4").tobytes()
+        cache, end = chunk_ids(path), np.array([end_id], "<u4").tobytes()
         for block in blocks(batches, "text"):
             rows = []
-            for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                ids = memoryview(cache.ids(text or "") + end)
+            texts = [(text or "").encode().split() for text in block.column(1).to_pylist()]
+            cache.learn(set().union(*texts))
+            for doc_id, chunks in zip(block.column(0).to_pylist(), texts, strict=True):
+                ids = memoryview(cache.ids(chunks) + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op1_line_dedup import op1_line_dedup
 from .op10_language_id import op10_language_id
 from .op2_substring_dedup import op2_substring_dedup
+from .op3_nearest import op3_nearest
 from .op4_decontamination import op4_decontamination
 from .op5_toxicity import op5_toxicity
 from .op6_minhash import op6_minhash
@@ -14,6 +15,7 @@ from .op8_packing import op8_packing
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_nearest": op3_nearest,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_minhash": op6_minhash,
