@@ -167,23 +167,24 @@ def train(docs: DataFrame, per_language: int = 600) -> Model | None:
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """Add lang_pred and score to the columns `keep`; only the text is looked at."""
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    text_first = docs.select(F.col("text").alias("__text"), F.col("text").rlike(r"\p{L}").alias("__letters"), *keep)
+    name = "text" if "text" in keep else "__text"
+    letters_first = docs.select(F.col("text").rlike(r"\p{L}").alias("__letters"), *([] if name == "text" else [F.col("text").alias(name)]), *keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of BUCKETS rows and one column for each language
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for block in blocks(batches, "__text", 1 << 20):
-            letters = np.asarray(block.column(1).fill_null(False).to_pylist(), bool)
+        for block in blocks(batches, name, 1 << 20):
+            letters = np.asarray(block.column(0).fill_null(False).to_pylist(), bool)
             if model is None:
                 best, score = np.zeros(len(letters), int), np.zeros(len(letters))
-                names = np.array([UNDETERMINED])
+                names = np.array([UNDETERMINED], object)
             else:
-                p = model.probabilities(block.column(0))
+                p = model.probabilities(block.column(block.schema.get_field_index(name)))
                 best, score, names = p.argmax(axis=1), p.max(axis=1), np.array([*model.languages, UNDETERMINED], object)
             best, score = np.where(letters, best, len(names) - 1), np.where(letters, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*block.columns[2:], pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*block.schema.names[2:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(block.column(block.schema.get_field_index(k)) for k in keep), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return text_first.mapInArrow(task, schema)
+    return letters_first.mapInArrow(task, schema)
 
 
 def held_out(doc_id: Column) -> Column:

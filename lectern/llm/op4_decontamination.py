@@ -11,11 +11,13 @@ exactly.  Only windows that could pass are fingerprinted: similarity s asks that
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,39 +126,58 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.75, size: i
     repeated items are found once for each item_id.  A document that is shorter than an item does not match it.  Empty
     tables give an empty table.
     """
-    spark = docs.sparkSession
-    lean_batches(spark)
     docs = document_columns(docs).where("doc_id is not null and text is not null")
-    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    passes = max(1, -(-items.count() // ITEMS_AT_ONCE))
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
-    def one(part: DataFrame) -> DataFrame:
-        rows = sorted({(r.item_id, r.text) for r in part.collect()})
-        shared = spark.sparkContext.broadcast(rows)  # one pass's items, ITEMS_AT_ONCE on average
-
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Items([r[0] for r in shared.value], [r[1] for r in shared.value], size)
-            for block in blocks(batches, "text"):
-                raw, at = text_bytes(block.column(1))
-                words = Words(LOWER[raw], at)
-                hashes, first = words.hashes(), words.first
-                # Texts with no known shingle at all are done; sizes below `size` only arise from very short items.
-                maybe = np.zeros(block.num_rows, bool)
-                for k in {min(size, n) for n in known.by_length}:
-                    hit = np.flatnonzero(known.hits(shingle_hashes(hashes, k)))
-                    maybe[np.searchsorted(first, hit, "right") - 1] = True
-                out = [(block.column(0)[i].as_py(), *m) for i in np.flatnonzero(maybe).tolist() for m in known.matches(hashes[first[i] : first[i + 1]], least)]
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(columns)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
-
-        return docs.mapInArrow(task, schema)
-
-    found = one(items) if passes == 1 else None
-    for k in range(passes if passes > 1 else 0):
-        part = one(items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k))
-        found = part if found is None else found.unionByName(part)
-    return found
+    def rows(block: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        ids = block.column("doc_id")
+        out = [(ids[i].as_py(), *m) for i, matches in found for m in matches]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(columns)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
+
+    parts = [docs.mapInArrow(_task(part, least, size, rows), schema) for part in _passes(docs, items)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.75, size: int = 5) -> DataFrame:
+    """The rows of `docs`, all columns, that contaminated() finds nothing in; rows with a null text stay."""
+
+    def rows(block: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        clean = np.ones(block.num_rows, bool)
+        clean[[i for i, matches in found if matches]] = False
+        return block.filter(pa.array(clean))
+
+    for part in _passes(docs, items):
+        docs = docs.mapInArrow(_task(part, least, size, rows), docs.schema)
+    return docs
+
+
+def _passes(docs: DataFrame, items: DataFrame) -> list[Broadcast]:
+    """The items in broadcasts of about ITEMS_AT_ONCE, one for each pass over the documents."""
+    lean_batches(docs.sparkSession)
+    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    n = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    parts = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n))
+    return [docs.sparkSession.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in part.collect()})) for part in parts]
+
+
+def _task(shared: Broadcast, least: float, size: int, rows: Callable):
+    """For each block of texts `rows` of the block and its (row, matches) that may match at all."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Items([r[0] for r in shared.value], [r[1] for r in shared.value], size)
+        for block in blocks(batches, "text"):
+            raw, at = text_bytes(block.column("text"))
+            words = Words(LOWER[raw], at)
+            hashes, first = words.hashes(), words.first
+            # Texts with no known shingle at all are done; sizes below `size` only arise from very short items.
+            maybe = np.zeros(block.num_rows, bool)
+            for k in {min(size, n) for n in known.by_length}:
+                hit = np.flatnonzero(known.hits(shingle_hashes(hashes, k)))
+                maybe[np.searchsorted(first, hit, "right") - 1] = True
+            yield rows(block, [(i, known.matches(hashes[first[i] : first[i + 1]], least)) for i in np.flatnonzero(maybe).tolist()])
+
+    return task
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
