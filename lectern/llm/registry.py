@@ -11,6 +11,7 @@ from .op5_toxicity import op5_toxicity
 from .op6_minhash import op6_minhash
 from .op7_chat_format import OP7_SQL, op7_chat_format
 from .op8_packing import op8_packing
+from .op9_suffix_array import op9_suffix_array
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
+    "op9_suffix_array": op9_suffix_array,
     "op10_language_id": op10_language_id,
 }
 

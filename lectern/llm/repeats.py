@@ -6,6 +6,7 @@ a text becomes a short list of *runs*: maximal stretches of windows with one anc
 Equal windows have equal anchors wherever they stand, hence
 
 * a run whose anchor occurs nowhere else holds no repeated window and is done;
+  (within one document, a run may also repeat itself: then its anchor stands in it twice);
 * runs that agree on anchor and content repeat each other entirely: all but the first go;
 * only the first run of each content whose anchor also leads other contents needs a look
   at its single windows.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .shared import saved
 from .textblock import BASES, TOP, Prefix, Words, blocks, mix, room, sliding, text_bytes
 
-RUNS = "h long, c long, doc_id long, lo long, n int"
-_RUNS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
+RUNS = "h long, c long, doc_id long, lo long, n int, twice boolean"
+_RUNS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("twice", pa.bool_())])
 
 
 def units(raw: np.ndarray, at: np.ndarray, by: str) -> tuple[np.ndarray, np.ndarray]:
@@ -39,13 +40,14 @@ def units(raw: np.ndarray, at: np.ndarray, by: str) -> tuple[np.ndarray, np.ndar
 
 
 def block_runs(values: np.ndarray, first: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Runs of a block: anchor hash, content hash, text number, first window in the text, number of windows."""
+    """Runs of a block: anchor hash, content hash, text number, first window in the text, number of windows, and whether
+    the anchor stands in the run twice."""
     small, whole = Prefix(values, BASES[1]), Prefix(values, BASES[2])
     lead = mix(small.windows(anchor))
     lead = np.where(room(first, anchor)[: len(lead)], lead, TOP)
     least = sliding(lead, length - anchor + 1)
     if not len(least):
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     valid = room(first, length)[: len(least)]
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])
@@ -56,7 +58,18 @@ def block_runs(values: np.ndarray, first: np.ndarray, length: int, anchor: int)
     start, end = start[keep], end[keep]
     content = mix(whole.ranges(start, end + (length - 1)) + (end - start).astype(np.uint64))
     text = np.searchsorted(first, start, "right") - 1
-    return least[start].view(np.int64), content.view(np.int64), text, start - first[text], end - start
+    # Anchors: positions that are the least of some window; a run holds those of its value between its ends.
+    width = length - anchor + 1
+    edge = np.zeros(width - 1, np.uint64)
+    most = sliding(np.concatenate([edge, np.where(valid, least, np.uint64(0)), edge]), width, np.maximum)
+    place = np.flatnonzero((lead == most) & (lead != TOP))
+    at, till = np.searchsorted(place, start), np.searchsorted(place, end + (width - 1))
+    seen, open_ = np.zeros(len(start), np.int64), np.arange(len(start))
+    while len(open_):
+        seen[open_] += lead[place[at[open_]]] == least[start[open_]]
+        at[open_] += 1
+        open_ = open_[(at[open_] < till[open_]) & (seen[open_] < 2)]
+    return least[start].view(np.int64), content.view(np.int64), text, start - first[text], end - start, seen > 1
 
 
 def find_runs(docs: DataFrame, by: str, length: int, anchor: int) -> DataFrame:
@@ -68,30 +81,31 @@ def find_runs(docs: DataFrame, by: str, length: int, anchor: int) -> DataFrame:
             values, first = units(*text_bytes(block.column(1)), by)
             if len(values) < length:
                 continue
-            h, c, text, lo, n = block_runs(values, first, length, anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(ids[text]), pa.array(lo), pa.array(n.astype(np.int32))], schema=_RUNS)
+            h, c, text, lo, n, twice = block_runs(values, first, length, anchor)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(ids[text]), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(twice, pa.bool_())], schema=_RUNS)
 
     return docs.where("doc_id is not null and text is not null").mapInArrow(task, RUNS)
 
 
 def split_runs(docs: DataFrame, by: str, length: int, anchor: int, within: bool) -> tuple[DataFrame, DataFrame]:
     """Runs that repeat an earlier run entirely as (doc_id, lo, n), and the runs that need a look at each window
-    as (h, doc_id, lo, n).  Earlier: in a smaller doc_id or, if `within`, also before in the same document."""
+    as (h, doc_id, lo, n, k), k being the number of contents of the anchor.  Earlier: in a smaller doc_id or, if `within`, also before in the same document."""
     runs = find_runs(docs, by, length, anchor)
-    seen = runs.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    again = (F.col("k") > 1) | (F.col("twice") & F.lit(within))
+    seen = runs.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("twice")).where(again).select("h")
     shared = saved(runs.join(seen.hint("shuffle_hash"), "h"), "runs")
-    owner = shared.groupBy("h", "c").agg(F.min(F.struct("doc_id", "lo")).alias("o")).select("h", "c", F.col("o.doc_id").alias("o_doc"), F.col("o.lo").alias("o_lo"))
-    marked = shared.join(owner.hint("shuffle_hash"), ["h", "c"])
+    owner = shared.groupBy("h", "c").agg(F.min(F.struct("doc_id", "lo")).alias("o"), F.max("twice").alias("twice")).select("h", "c", F.col("o.doc_id").alias("o_doc"), F.col("o.lo").alias("o_lo"), "twice")
+    marked = shared.drop("twice").join(owner.drop("twice").hint("shuffle_hash"), ["h", "c"])
     first = (F.col("doc_id") == F.col("o_doc")) & ((F.col("lo") == F.col("o_lo")) | F.lit(not within))
-    several = owner.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    open_runs = marked.where(first).join(several.hint("shuffle_hash"), "h").select("h", "doc_id", "lo", "n")
+    several = owner.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("twice")).where(again).drop("twice")
+    open_runs = marked.where(first).join(several.hint("shuffle_hash"), "h").select("h", "doc_id", "lo", "n", "k")
     return marked.where(~first).select("doc_id", "lo", "n"), open_runs
 
 
 def by_document(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
     """Each document with the ranges found in it, as one list bounded by the document's length."""
     lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
-    return docs.join(lists, "doc_id", how).select("doc_id", "text", "ranges")
+    return docs.join(lists.hint("merge"), "doc_id", how).select("doc_id", "text", "ranges")
 
 
 def listed(column: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
