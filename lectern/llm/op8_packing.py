@@ -67,9 +67,10 @@ class ChunkIds(dict):
         groups = [runs[i : i + 1000] for i in range(0, len(runs), 1000)]
         for group, e in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
             ids = np.array(e.ids, "<u4")
-            at = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            at = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
             if len(at) == len(group) + 1:
-                made.update(zip(group, (ids[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)), strict=True))
+                data = ids.tobytes()
+                made.update(zip(group, [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], strict=True))
             else:  # a run that the splitter sees otherwise
                 made.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(group, self._encode(group), strict=True))
         return made
@@ -79,20 +80,18 @@ class ChunkIds(dict):
         if len(self) > CACHED_CHUNKS:
             self.old = dict(self)
             self.clear()
+        new = chunks.difference(self)
+        for c in new.intersection(self.old):
+            self[c] = self.old[c]
         runs, other, tails = {}, [], set()
-        for c in chunks:
-            if c not in self:
-                known = self.old.get(c)
-                if known is not None:
-                    self[c] = known
-                    continue
-                text = c.decode()
-                run = text.rstrip(STOPS)
-                if run.isalpha() and run.lower().isalpha():
-                    runs[c] = run, text[len(run) :]
-                    tails.add(text[len(run) :])
-                else:
-                    other.append(text)
+        for c in new.difference(self):
+            text = c.decode()
+            run = text.rstrip(STOPS)
+            if run.isalpha() and (run.isascii() or run.lower().isalpha()):
+                runs[c] = run, (tail := text[len(run) :])
+                tails.add(tail)
+            else:
+                other.append(text)
         for tail in tails.difference(self.stops):
             self.stops[tail] = np.array(self._encode([tail])[0].ids, "<u4").tobytes()
         made = self._runs(list({run for run, _ in runs.values()}))
