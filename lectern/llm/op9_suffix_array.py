@@ -24,7 +24,7 @@ from .textblock import BASES, Prefix, blocks, merge_ranges, mix, text_bytes
 #: An anchor that leads more stretches than this is dealt out window by window.
 HOT = 20_000
 #: A shard is sorted when it holds this many bytes and its last key is complete.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 19
 STRETCHES = "key long, doc_id long, lo long, n int, bytes binary"
 
 
@@ -32,7 +32,7 @@ def _stretches(length: int):
     """The bytes of each listed run, keyed by its anchor; for hot anchors each window by itself, keyed by its content."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", 1 << 20):
             raw, at = text_bytes(block.column(1))
             row, lo, n = listed(block.column(2), block.num_rows)
             if not len(row):

@@ -76,7 +76,7 @@ def find_runs(docs: DataFrame, by: str, length: int, anchor: int) -> DataFrame:
     """(h, c, doc_id, lo, n) for every run of every text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", 1 << 20 if by == "bytes" else 2 << 20):
             ids = block.column(0).to_numpy(zero_copy_only=False)
             values, first = units(*text_bytes(block.column(1)), by)
             if len(values) < length:

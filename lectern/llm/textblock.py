@@ -51,7 +51,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, np.uint64)
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
-        if size > 2 * BLOCK_BYTES:
+        if size > BLOCK_BYTES:
             return made[0], made[1]
         _POWERS[base] = have = (made[0], made[1])
     return have
