@@ -25,6 +25,8 @@ from .shared import document_columns, lean_batches, saved
 from .textblock import BASES, LOWER, Prefix, Words, blocks, mix, text_bytes
 
 HASHES, ROWS, BITS = 128, 4, 4
+#: So many ids (8 bytes each) are broadcast to pick documents; more are shuffled, and the texts with them.
+BROADCAST_IDS = 500_000
 _rng = np.random.default_rng(6)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -121,8 +123,9 @@ def _confirm(percent: int):
 def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The (a, b) pairs whose full shingle sets are similar enough; each needed set is made once."""
     pairs = saved(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = saved(docs.join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
+    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    sets = saved(docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
     x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
     return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
@@ -152,13 +155,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     labels = components(links)
     # Buckets that still hold several components: each member with the members of other components near its size,
     # once for each pair, in the first band that both share.
-    grouped = classes.select("id", "n_shingles", "bands", "sig").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # For that comparison 32 bits of a band key do: two of them agree by chance far more rarely than a pair shares no band.
+    short = F.transform("bands", lambda k: k.bitwiseAND((1 << 31) - 1).cast("int")).alias("short")
+    grouped = classes.select("id", "n_shingles", "bands", short, "sig").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     grouped = grouped.withColumn("step", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))))
     members = buckets.join(grouped.select("id", "label"), "id")
     mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = saved(grouped.select("*", F.posexplode("bands").alias("band", "key")).join(mixed.hint("shuffle_hash"), "key"), "mixed")
+    rest = saved(grouped.select("id", "label", "n_shingles", "step", "sig", "short", F.posexplode("bands").alias("band", "key")).join(mixed.hint("shuffle_hash"), "key"), "mixed")
     left = rest.withColumn("step", F.explode(F.array("step", F.col("step") + 1))).alias("l")
-    first_shared = F.least(*[F.when(F.col("l.bands")[i] == F.col("r.bands")[i], i).otherwise(HASHES) for i in range(HASHES // ROWS)])
+    first_shared = F.least(*[F.when(F.col("l.short")[i] == F.col("r.short")[i], i).otherwise(HASHES) for i in range(HASHES // ROWS)])
     ordered = F.struct("l.n_shingles", "l.id") < F.struct("r.n_shingles", "r.id")
     cross = left.join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.step") == F.col("r.step")) & (F.col("l.label") != F.col("r.label")) & ordered & close & (F.col("l.band") == first_shared))
     more = confirmed(docs, cross.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")), size, percent)
