@@ -1,4 +1,4 @@
 """All queries of the library."""
 
-from . import book_queries, text_queries, vector_queries  # noqa: F401  they register themselves
+from . import book_queries, log_queries, text_queries, vector_queries  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES  # noqa: F401
