@@ -147,19 +147,19 @@ def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     return user, other
 
 
-@query("SELECT u.conv_id AS book_pair, u.turn::VARCHAR AS para_key, (a.turn - u.turn - 1)::INT AS pos, a.turn::VARCHAR AS en_key, length(a.text) AS en_text FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn IN (u.turn + 1, u.turn + 2) WHERE u.role = 'user' AND a.role = 'assistant'")
+@query("SELECT u.conv_id AS book_pair, u.turn::VARCHAR AS para_key, (a.turn - u.turn - 1)::INT AS pos, a.turn::VARCHAR AS en_key, length(a.text) AS en_text FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn IN (u.turn + 1, u.turn + 2) WHERE u.role = 'user' AND a.role = 'assistant'", long="en_text")
 def alignment_forward(t: Tables) -> DataFrame:
     user, other = _sides(t)
     return corpus.aligned_originals(user, other).select("book_pair", "para_key", "pos", "en_key", "en_text")
 
 
-@query("SELECT a.conv_id AS book_code, a.turn::VARCHAR AS para_key, u.turn::VARCHAR AS t_key, length(u.text) AS t_text FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn IN (u.turn + 1, u.turn + 2) WHERE u.role = 'user' AND a.role = 'assistant'")
+@query("SELECT a.conv_id AS book_code, a.turn::VARCHAR AS para_key, u.turn::VARCHAR AS t_key, length(u.text) AS t_text FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn IN (u.turn + 1, u.turn + 2) WHERE u.role = 'user' AND a.role = 'assistant'", long="t_text")
 def alignment_reverse(t: Tables) -> DataFrame:
     user, other = _sides(t)
     return corpus.aligned_translations(other, user).select("book_code", "para_key", "t_key", "t_text")
 
 
-@query("SELECT own_key, len(l) AS n, l[1] AS first, l[len(l)] AS last FROM (SELECT l_partkey AS own_key, list_sort(list(DISTINCT l_orderkey)) AS l FROM lineitem GROUP BY l_partkey)")
+@query("SELECT own_key, len(l) AS n, l[1] AS first, l[len(l)] AS last FROM (SELECT l_partkey AS own_key, list_sort(list(DISTINCT l_orderkey)) AS l FROM lineitem GROUP BY l_partkey)", long="n")
 def invert_alignment(t: Tables) -> DataFrame:
     reverse = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("own"))
     rows = corpus.inverted(reverse, "l_orderkey", "own")

@@ -11,7 +11,7 @@ from .registry import Tables, query
 SEQ = "WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events) "
 
 
-@query(SEQ + "SELECT event_id, user_id, seq FROM s")
+@query(SEQ + "SELECT event_id, user_id, seq FROM s", long="seq")
 def event_log_seq(t: Tables) -> DataFrame:
     return jobs.numbered(t.events.select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "seq")
 
@@ -49,7 +49,7 @@ def live_sessions(t: Tables) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT DISTINCT event_type, user_id FROM events)
-SELECT event_type, len(l) AS jobs, l[1] AS first, l[len(l)] AS last FROM (SELECT event_type, list_sort(list(user_id)) AS l FROM k GROUP BY event_type)""")
+SELECT event_type, len(l) AS jobs, l[1] AS first, l[len(l)] AS last FROM (SELECT event_type, list_sort(list(user_id)) AS l FROM k GROUP BY event_type)""", long="jobs")
 def packs_with_jobs(t: Tables) -> DataFrame:
     """What each pack was imported by: distinct first, so no repeated id is gathered."""
     pairs = t.events.select("event_type", "user_id").distinct()

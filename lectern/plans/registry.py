@@ -20,11 +20,15 @@ class Tables:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
 
-def query(sql: str | None = None):
-    """Register a function of Tables under its name."""
+def widened(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: df[c].cast("long") for c in columns}) if columns else df
+
+
+def query(sql: str | None = None, long: str = ""):
+    """Register a function of Tables under its name; the columns `long` are widened to the type that the SQL gives."""
 
     def keep(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        QUERIES[f.__name__] = lambda spark, folder: widened(f(Tables(spark, folder)), long.split())
         if sql:
             ORACLES[f.__name__] = sql
         return f

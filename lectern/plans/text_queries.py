@@ -32,35 +32,35 @@ def _lines(t: Tables) -> DataFrame:
     return corpus.paragraphs_of(t.documents.select("doc_id", "text"), "\n")
 
 
-@query(LINES + "SELECT doc_id, para, md5(text) AS digest FROM n")
+@query(LINES + "SELECT doc_id, para, md5(text) AS digest FROM n", long="para")
 def paragraph_split(t: Tables) -> DataFrame:
     return _lines(t).select("doc_id", "para", F.md5("text").alias("digest"))
 
 
-@query(f"SELECT doc_id, {WORDS.format('text')} AS words, length(text) AS chars FROM documents")
+@query(f"SELECT doc_id, {WORDS.format('text')} AS words, length(text) AS chars FROM documents", long="chars words")
 def word_counts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.word_count(F.col("text")).alias("words"), F.length("text").alias("chars"))
 
 
 @query("""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?;:])(?:["”’''])?\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)
-SELECT doc_id, len(parts) AS sentences, list_max(list_transform(parts, lambda x: length(x))) AS longest FROM s""")
+SELECT doc_id, len(parts) AS sentences, list_max(list_transform(parts, lambda x: length(x))) AS longest FROM s""", long="longest sentences")
 def sentence_split(t: Tables) -> DataFrame:
     parts = T.sentences(F.col("text"))
     return t.documents.select("doc_id", F.size(parts).alias("sentences"), F.array_max(F.transform(parts, F.length)).alias("longest"))
 
 
-@query(LINES + f"SELECT doc_id, para, {REASON.format('text')} AS reason FROM n")
+@query(LINES + f"SELECT doc_id, para, {REASON.format('text')} AS reason FROM n", long="para")
 def quality_gate(t: Tables) -> DataFrame:
     return _lines(t).select("doc_id", "para", T.gate_reason(F.col("text")).alias("reason"))
 
 
-@query(f"SELECT doc_id, {BAD.format('text')} AS bad, {FOUND.format('text')} AS words, round({DAMAGE.format('text')}, 6) AS damage, round({JUNK.format('text')}, 6) AS junk FROM documents")
+@query(f"SELECT doc_id, {BAD.format('text')} AS bad, {FOUND.format('text')} AS words, round({DAMAGE.format('text')}, 6) AS damage, round({JUNK.format('text')}, 6) AS junk FROM documents", long="words bad")
 def damage_score(t: Tables) -> DataFrame:
     bad, n = T.damage_parts(F.col("text"))
     return t.documents.select("doc_id", bad.alias("bad"), n.alias("words"), F.round(T.damage(F.col("text")), 6).alias("damage"), F.round(T.junk_ratio(F.col("text")), 6).alias("junk"))
 
 
-@query(LINES + f"SELECT doc_id, para, reason, substring(text, 1, 80) AS preview FROM (SELECT *, {REASON.format('text')} AS reason FROM n) WHERE reason IS NOT NULL")
+@query(LINES + f"SELECT doc_id, para, reason, substring(text, 1, 80) AS preview FROM (SELECT *, {REASON.format('text')} AS reason FROM n) WHERE reason IS NOT NULL", long="para")
 def dropped_detail(t: Tables) -> DataFrame:
     reasons = _lines(t).withColumn("reason", T.gate_reason(F.col("text"))).where("reason is not null")
     return reasons.select("doc_id", "para", "reason", F.substring("text", 1, 80).alias("preview"))
@@ -88,7 +88,7 @@ def chunk_long(t: Tables) -> DataFrame:
 
 @query(LINES + f"""SELECT doc_id, (1 + sum(h) OVER (PARTITION BY doc_id ORDER BY para))::BIGINT AS page, para, h = 1 AS heading,
   CASE WHEN h = 1 THEN 0 ELSE row_number() OVER (PARTITION BY doc_id, g, h ORDER BY para) END AS in_page
-FROM (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY para) AS g FROM (SELECT doc_id, para, CASE WHEN {WORDS.format('text')} < 8 THEN 1 ELSE 0 END AS h FROM n))""")
+FROM (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY para) AS g FROM (SELECT doc_id, para, CASE WHEN {WORDS.format('text')} < 8 THEN 1 ELSE 0 END AS h FROM n))""", long="para")
 def heading_numbering(t: Tables) -> DataFrame:
     """Short lines as headings: they start a page and restart the paragraphs."""
     marked = _lines(t).select("doc_id", "para", F.when(T.word_count(F.col("text")) < 8, F.concat(F.lit("# "), F.col("text"))).otherwise(F.col("text")).alias("text"))
@@ -100,7 +100,7 @@ def heading_numbering(t: Tables) -> DataFrame:
 @query(LINES + """, m AS (SELECT doc_id, para, text, CASE WHEN para % 4 = 3 THEN length(text) % 1000 END AS mark FROM n),
 g AS (SELECT *, count(mark) OVER (PARTITION BY doc_id ORDER BY para) AS grp FROM m)
 SELECT doc_id, para AS pos, coalesce(max(mark) OVER (PARTITION BY doc_id, grp), 0) AS page,
-  row_number() OVER (PARTITION BY doc_id, grp, mark IS NULL ORDER BY para) AS para FROM g QUALIFY mark IS NULL""")
+  row_number() OVER (PARTITION BY doc_id, grp, mark IS NULL ORDER BY para) AS para FROM g QUALIFY mark IS NULL""", long="para pos")
 def page_carry_forward(t: Tables) -> DataFrame:
     """Every fourth line stands for a printed page mark."""
     mark = F.concat(F.lit("["), (F.length("text") % 1000).cast("string"), F.lit("]"))
@@ -115,14 +115,14 @@ def html_blocks(t: Tables) -> DataFrame:
 
 
 @query("""SELECT page_id, regexp_matches(html, '(?i)' || 'produced in EPUB format by the Internet Archive|relies on optical character recognition|scanned and converted to EPUB format automatically|this page is estimated to be|The Internet Archive was founded in 1996|archive\\.org/details|Online Distributed Proofreading Team|pgdp\\.net|Project Gutenberg') AS boilerplate,
-  len(regexp_extract_all(lower(html), '<p[ >]')) AS paragraphs FROM pages""")
+  len(regexp_extract_all(lower(html), '<p[ >]')) AS paragraphs FROM pages""", long="paragraphs")
 def boilerplate_drop(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.is_boilerplate(F.col("html")).alias("boilerplate"), F.size(F.regexp_extract_all(F.lower("html"), F.lit("<p[ >]"), F.lit(0))).alias("paragraphs"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, string_agg(l_linenumber || ' ' || l_partkey || ' ' || l_suppkey || ' ' || l_returnflag || ' ' || l_quantity::INT || ',', ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line FROM lineitem GROUP BY 1),
 w AS (SELECT l_orderkey, list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '') AS tokens FROM r)
-SELECT l_orderkey, len(tokens) AS tokens, len(tokens) > 20 AND len(list_filter(tokens, lambda w: regexp_full_match(w, '[\\d.,;:—–-]+'))) > 0.35 * len(tokens) AS numeric_line FROM w""")
+SELECT l_orderkey, len(tokens) AS tokens, len(tokens) > 20 AND len(list_filter(tokens, lambda w: regexp_full_match(w, '[\\d.,;:—–-]+'))) > 0.35 * len(tokens) AS numeric_line FROM w""", long="tokens")
 def numeric_line_drop(t: Tables) -> DataFrame:
     """Order lines as text: mostly numbers, as an index is."""
     piece = F.concat_ws(" ", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(",")))
@@ -153,7 +153,7 @@ def point_ids_uuid5(t: Tables) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT doc_id, text, list_contains(string_split(lower(text), ' '), 'the') AS hit FROM documents)
-SELECT doc_id, length(text) AS chars FROM w WHERE hit ORDER BY doc_id LIMIT 200""")
+SELECT doc_id, length(text) AS chars FROM w WHERE hit ORDER BY doc_id LIMIT 200""", long="chars")
 def citation_search(t: Tables) -> DataFrame:
     """Documents whose list of words holds one: at most 200, as the tool returns."""
     return t.documents.where(F.array_contains(F.split(F.lower("text"), " "), "the")).select("doc_id", F.length("text").alias("chars")).orderBy("doc_id").limit(200)

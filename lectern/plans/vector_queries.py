@@ -25,7 +25,7 @@ def _queries(t: Tables) -> DataFrame:
     return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
 
 
-@query(SCORES + "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
+@query(SCORES + "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5", long="rank")
 def semantic_topk(t: Tables) -> DataFrame:
     return search.cosine_topk(_points(t), _queries(t), 5)
 
@@ -34,7 +34,8 @@ def semantic_topk(t: Tables) -> DataFrame:
     SCORES
     + """, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE q_label = p_label AND score >= 0.3) WHERE rank <= 3),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.2 AND query_id NOT IN (SELECT query_id FROM a)) WHERE rank <= 3)
-SELECT query_id, id, score, rank, 1 AS pass FROM a UNION ALL SELECT query_id, id, score, rank, 2 FROM b"""
+SELECT query_id, id, score, rank, 1 AS pass FROM a UNION ALL SELECT query_id, id, score, rank, 2 FROM b""",
+    long="rank",
 )
 def semantic_lookup_two_pass(t: Tables) -> DataFrame:
     return search.two_pass(_points(t), _queries(t), 3, 0.3, ("label",), fallback=0.2)
@@ -55,7 +56,7 @@ def vector_norm_stats(t: Tables) -> DataFrame:
 
 @query("""WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i),
 n AS (SELECT label, sqrt(sum(x * x)) AS size FROM m GROUP BY label)
-SELECT m.label, i, round(x / size, 6) AS value FROM m JOIN n USING (label)""")
+SELECT m.label, i, round(x / size, 6) AS value FROM m JOIN n USING (label)""", long="i")
 def mean_pooled_labels(t: Tables) -> DataFrame:
     mean = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     size = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
