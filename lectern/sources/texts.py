@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import osis
 from ..functions import text as T
@@ -94,7 +95,7 @@ def book_stats(blocks: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
     return joined.select(key, "blocks_in", F.coalesce("blocks_out", F.lit(0)).alias("blocks_out"), "dropped", F.coalesce("words", F.lit(0)).alias("words"), F.when(F.col("_n") > 0, F.round(F.col("_bad") / F.col("_n"), 6)).otherwise(F.when(F.col("_n").isNull(), 0.0).otherwise(1.0)).alias("damage"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(text: pd.Series) -> pd.Series:
     """HTML entities as characters."""
     return text.map(lambda t: None if t is None else html.unescape(t))
