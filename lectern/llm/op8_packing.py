@@ -51,7 +51,7 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer, self.short = path, Tokenizer.from_file(path), None
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -61,11 +61,29 @@ class ChunkIds(dict):
     def _encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
+    def _short_way(self, runs: list[str]):
+        """The same model without normaliser and splitter, for lower-case ASCII runs; None if it should not agree on these."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        short = Tokenizer.from_file(self.path)
+        short.normalizer, short.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        alike = all(x.ids == y.ids for x, y in zip(self._encode(runs), short.encode_batch_fast([r.lower() for r in runs], add_special_tokens=False), strict=True))
+        return short if alike else None
+
     def _runs(self, runs: list[str]) -> dict[str, bytes]:
         """Ids of letter runs."""
+        ascii_ = [r for r in runs if r.isascii()]
+        if self.short is None and len(ascii_) >= 1000:
+            self.short = self._short_way(ascii_[:1000]) or self.tokenizer
+        if self.short is None or self.short is self.tokenizer:
+            return self._in_groups(runs, self.tokenizer, False)
+        return self._in_groups(ascii_, self.short, True) | self._in_groups([r for r in runs if not r.isascii()], self.tokenizer, False)
+
+    def _in_groups(self, runs: list[str], tokenizer, lower: bool) -> dict[str, bytes]:
         made: dict[str, bytes] = {}
         groups = [runs[i : i + 1000] for i in range(0, len(runs), 1000)]
-        for group, e in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+        joined = [" ".join(g).lower() if lower else " ".join(g) for g in groups]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             at = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
             if len(at) == len(group) + 1:
