@@ -49,7 +49,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(BUCKETS + 1, np.int64)
-        for block in blocks(batches, "text", 1 << 20):
+        for block in blocks(batches, "text", 1 << 19):
             bucket, text = ngrams(block.column(0))
             df[:-1] += np.bincount(np.unique(text * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
             df[-1] += block.num_rows
@@ -65,7 +65,7 @@ def sparse_rows(docs: DataFrame) -> pa.Table:
     """(lang, fold, bucket list, count list) of a bounded sample, made by the tasks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 1 << 20):
+        for block in blocks(batches, "text", 1 << 19):
             bucket, text = ngrams(block.column(0))
             key, count = np.unique(text * BUCKETS + bucket, return_counts=True)
             ends = np.searchsorted(key, np.arange(block.num_rows + 1) * BUCKETS).astype(np.int32)
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for block in blocks(batches, name, 1 << 20):
+        for block in blocks(batches, name, 1 << 19):
             letters = np.asarray(block.column(0).fill_null(False).to_pylist(), bool)
             if model is None:
                 best, score = np.zeros(len(letters), int), np.zeros(len(letters))

@@ -31,7 +31,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lean_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+def lean_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bound the Arrow batches that tasks exchange with Python, by rows and by bytes: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A block is cut when it holds this many bytes; one longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: The separators are U+0020 and U+0009 to U+000D; everything else belongs to words.
 SPACE = np.zeros(256, bool)
