@@ -151,18 +151,20 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     """Cutting-stock solution rounded down: how often to use each configuration (a count for each size)."""
     m = len(sizes)
     base = np.diag([float(capacity // s) for s in sizes])
-    need = np.array(demand, float)
-    for _ in range(60 * m):
+    need, size = np.array(demand, float), np.array(sizes)
+    for _ in range(8 * m):
         inverse = np.linalg.inv(base)
         use, price = inverse @ need, np.ones(m) @ inverse
-        # The most valuable configuration: an unbounded knapsack over the capacity.
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for room in range(min(sizes), capacity + 1):
-            value, chosen = best[room - 1], -1
-            for i, s in enumerate(sizes):
-                if s <= room and best[room - s] + price[i] > value + 1e-12:
-                    value, chosen = best[room - s] + price[i], i
-            best[room], pick[room] = value, chosen
+        # The most valuable configuration: an unbounded knapsack over the capacity, rooms below zero being worthless.
+        best, pick = np.full(2 * capacity + 1, -np.inf), np.full(capacity + 1, -1)
+        best[capacity] = 0.0
+        for room in range(1, capacity + 1):
+            value = best[capacity + room - size] + price
+            i = int(value.argmax())
+            best[capacity + room] = best[capacity + room - 1]
+            if value[i] > best[capacity + room] + 1e-12:
+                best[capacity + room], pick[room] = value[i], i
+        best = best[capacity:]
         if best[capacity] <= 1 + 1e-7:
             break
         column, room = np.zeros(m), capacity
@@ -218,8 +220,17 @@ class Runs:
         return got
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 24) -> list[tuple[int, int, int, int, int]]:
-    """(length, rank lo, rank hi, first sequence, offset) for all pieces of a histogram {length: count}."""
+def plan(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (24, 72)) -> list[tuple[int, int, int, int, int]]:
+    """(length, rank lo, rank hi, first sequence, offset) for all pieces of a histogram {length: count}.
+
+    Finer groups round up less but are harder to fill with whole numbers of configurations, so the best of a few
+    group counts is taken.
+    """
+    made = [_plan(histogram, capacity, g) for g in groups]
+    return min(made, key=lambda rows: max((first + hi - lo for _, lo, hi, first, _ in rows), default=0))
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int) -> list[tuple[int, int, int, int, int]]:
     rows: list[tuple[int, int, int, int, int]] = []
     # Bundles of consecutive sequences by remainder; each is (first sequence, how many, used).
     bundles: dict[int, list[tuple[int, int]]] = {}
