@@ -21,6 +21,8 @@ from .repeats import by_document, listed, split_runs
 from .shared import lean_batches
 from .textblock import BASES, Prefix, blocks, merge_ranges, mix, text_bytes
 
+#: Stands for a missing doc_id inside.
+NO_ID = -(1 << 63)
 #: An anchor that leads more stretches than this is dealt out window by window.
 HOT = 20_000
 #: A shard is sorted when it holds this many bytes and its last key is complete.
@@ -149,14 +151,17 @@ def dedup_bytes(docs: DataFrame, length: int = 100, anchor: int = 32) -> DataFra
     empty table gives an empty table.  `length` may be up to 250, `anchor` any smaller number.
     """
     lean_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    copies, open_runs = split_runs(docs, "bytes", length, anchor, within=True)
-    lists = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "h", (F.col("k") > HOT).alias("hot"))).alias("ranges"))
+    # An id that is never null keeps the two joins below alike, so that the texts are shuffled once for both.
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    copies, open_runs = split_runs(docs.where(F.col("doc_id") != NO_ID), "bytes", length, anchor, within=True)
+    lists = open_runs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "h", (F.col("k") > HOT).alias("hot"))).alias("ranges"))
     stretches = docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "ranges").mapInArrow(_stretches(length), STRETCHES)
     shards = stretches.repartition("key").sortWithinPartitions("key")
     later = shards.mapInArrow(_sort_shards(length), "doc_id long, lo long, n long")
     covers = lambda df: df.select("doc_id", "lo", (F.col("n") + (length - 1)).cast("long").alias("n"))
-    return by_document(docs, covers(copies).unionByName(covers(later)), "left").mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    ranges = covers(copies).unionByName(covers(later)).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    kept = by_document(docs, ranges, "left").mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

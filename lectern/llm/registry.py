@@ -12,6 +12,7 @@ from .op6_minhash import op6_minhash
 from .op7_chat_format import OP7_SQL, op7_chat_format
 from .op8_packing import op8_packing
 from .op9_suffix_array import op9_suffix_array
+from .sql import OP2_SQL, OP6_SQL, OP9_SQL
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -27,5 +28,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op6_minhash": OP6_SQL,
     "op7_chat_format": OP7_SQL,
+    "op9_suffix_array": OP9_SQL,
 }
