@@ -143,12 +143,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     sketch = saved(docs.mapInArrow(_sketch(size), SKETCH), "sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = saved(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id").alias("x")).select("s1", "s2", "id", "x.*"), "classes")
-    buckets = classes.select(F.explode("bands").alias("key"), "id")
+    buckets = classes.select("id", F.posexplode("bands").alias("band", "key"))
     close = (similarity("l.sig", "r.sig") >= 0.55) & (100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles"))
-    # Each member with the smallest and the largest of its buckets' leaders.
-    lead = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    led = buckets.join(lead.hint("shuffle_hash"), "key").where("leader < id").groupBy("id").agg(F.array(F.min("leader"), F.max("leader")).alias("leaders"))
-    pairs = led.select(F.explode(F.array_distinct("leaders")).alias("a"), F.col("id").alias("b"))
+    # Rows of buckets that several share; how often a document meets others there tells how central it is.
+    again = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    rows = saved(buckets.join(again.hint("shuffle_hash"), "key"), "buckets")
+    central = rows.groupBy("id").agg(F.sum("k").alias("met"))
+    # Each bucket is led by its most central member, and each member is compared with the most central of its leaders.
+    lead = rows.join(central.hint("shuffle_hash"), "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("lead"))
+    led = rows.join(lead.hint("shuffle_hash"), "key").where(F.col("lead.minus") != -F.col("id")).groupBy("id").agg(F.max("lead").alias("lead"))
+    leader = -F.col("lead.minus")
+    pairs = led.select(F.least("id", leader).alias("a"), F.greatest("id", leader).alias("b")).distinct()
     signed = classes.select("id", "n_shingles", "sig")
     near = pairs.join(signed.alias("l"), F.col("a") == F.col("l.id")).join(signed.alias("r"), F.col("b") == F.col("r.id")).where(close).select("a", "b")
     links = confirmed(docs, near, size, percent)
@@ -157,11 +162,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     # once for each pair, in the first band that both share.
     # For that comparison 32 bits of a band key do: two of them agree by chance far more rarely than a pair shares no band.
     short = F.transform("bands", lambda k: k.bitwiseAND((1 << 31) - 1).cast("int")).alias("short")
-    grouped = classes.select("id", "n_shingles", "bands", short, "sig").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    grouped = classes.select("id", "n_shingles", short, "sig").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     grouped = grouped.withColumn("step", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))))
-    members = buckets.join(grouped.select("id", "label"), "id")
+    members = rows.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = saved(grouped.select("id", "label", "n_shingles", "step", "sig", "short", F.posexplode("bands").alias("band", "key")).join(mixed.hint("shuffle_hash"), "key"), "mixed")
+    rest = rows.select("key", "id", "band").join(mixed.hint("shuffle_hash"), "key")
+    rest = saved(rest.join(grouped.hint("shuffle_hash"), "id"), "mixed")
     left = rest.withColumn("step", F.explode(F.array("step", F.col("step") + 1))).alias("l")
     first_shared = F.least(*[F.when(F.col("l.short")[i] == F.col("r.short")[i], i).otherwise(HASHES) for i in range(HASHES // ROWS)])
     ordered = F.struct("l.n_shingles", "l.id") < F.struct("r.n_shingles", "r.id")
