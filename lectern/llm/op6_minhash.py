@@ -1,8 +1,8 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Each text becomes its set of word shingles, 128 minima over as many hash functions, 32
-band keys of four minima each, and a packed signature that retains the low four bits of
-each minimum.  Documents that share a band key are candidates; the collision-corrected
+Each text becomes its set of word shingles, 512 minima over as many hash functions, 32
+band keys of four minima each (from the first 128), and a packed signature that retains
+the low two bits of each minimum.  Documents that share a band key are candidates; the collision-corrected
 similarity of their signatures, a few bit counts, sorts out most, and full shingle sets
 confirm the rest.  A pair of similarity 0.75 shares no band with a chance of 5 in a million.
 
@@ -24,7 +24,9 @@ from .components import components
 from .shared import document_columns, lean_batches, saved
 from .textblock import BASES, LOWER, Prefix, Words, blocks, mix, text_bytes
 
-HASHES, ROWS, BITS = 128, 4, 4
+HASHES, BANDED, ROWS, BITS = 512, 128, 4, 2
+#: Pairs that look less similar than this are not confirmed: 4.5 standard deviations of the estimate below 0.75.
+LEAST_ESTIMATE = 0.645
 #: So many ids (8 bytes each) are broadcast to pick documents; more are shuffled, and the texts with them.
 BROADCAST_IDS = 500_000
 _rng = np.random.default_rng(6)
@@ -53,8 +55,8 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        h = x[i : i + 1024, None] ^ _XOR
+    for i in range(0, len(x), 256):
+        h = x[i : i + 256, None] ^ _XOR
         h *= _ODD
         np.minimum(least, h.min(axis=0), out=least)
     return least
@@ -68,7 +70,7 @@ def pack(least: np.ndarray) -> np.ndarray:
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    keys = least.astype(np.uint64).reshape(len(least), -1, ROWS)
+    keys = least[:, :BANDED].astype(np.uint64).reshape(len(least), -1, ROWS)
     key = np.arange(keys.shape[1], dtype=np.uint64)[None, :] + np.uint64(1)
     for i in range(ROWS):
         key = mix(key * np.uint64(BASES[0]) + keys[:, :, i])
@@ -91,7 +93,7 @@ def _sketch(size: int):
 
 def similarity(left: str, right: str) -> Column:
     """Estimated similarity of two packed signatures, corrected for lanes that agree by chance."""
-    words, mask = HASHES * BITS // 64, int("1" * 16, 16)
+    words, mask = HASHES * BITS // 64, sum(1 << i for i in range(0, 64, BITS))
     lanes = lambda x: f"bit_count(({' | '.join([x, *(f'shiftrightunsigned({x}, {i})' for i in range(1, BITS))])}) & {mask}L)"
     differ = " + ".join(lanes(f"({left}[{i}] ^ {right}[{i}])") for i in range(words))
     chance = 2.0**-BITS
@@ -144,7 +146,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = saved(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id").alias("x")).select("s1", "s2", "id", "x.*"), "classes")
     buckets = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    close = (similarity("l.sig", "r.sig") >= 0.55) & (100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles"))
+    close = (similarity("l.sig", "r.sig") >= LEAST_ESTIMATE) & (100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles"))
     # Rows of buckets that several share; how often a document meets others there tells how central it is.
     again = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     rows = saved(buckets.join(again.hint("shuffle_hash"), "key"), "buckets")
@@ -169,7 +171,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     rest = rows.select("key", "id", "band").join(mixed.hint("shuffle_hash"), "key")
     rest = saved(rest.join(grouped.hint("shuffle_hash"), "id"), "mixed")
     left = rest.withColumn("step", F.explode(F.array("step", F.col("step") + 1))).alias("l")
-    first_shared = F.least(*[F.when(F.col("l.short")[i] == F.col("r.short")[i], i).otherwise(HASHES) for i in range(HASHES // ROWS)])
+    first_shared = F.least(*[F.when(F.col("l.short")[i] == F.col("r.short")[i], i).otherwise(HASHES) for i in range(BANDED // ROWS)])
     ordered = F.struct("l.n_shingles", "l.id") < F.struct("r.n_shingles", "r.id")
     cross = left.join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.step") == F.col("r.step")) & (F.col("l.label") != F.col("r.label")) & ordered & close & (F.col("l.band") == first_shared))
     more = confirmed(docs, cross.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")), size, percent)

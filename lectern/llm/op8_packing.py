@@ -17,6 +17,7 @@ offset.  A document finds its place by its length and its rank.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
 import zlib
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import bucket_of, document_columns, lean_batches, saved
-from .textblock import blocks
+from .textblock import blocks, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -94,7 +95,14 @@ class ChunkIds(dict):
         return made
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Make sure that these chunks are known."""
+        """Make sure that these chunks are known.  The many small objects made here hold no cycles, so none are looked for."""
+        gc.disable()
+        try:
+            self._learn(chunks)
+        finally:
+            gc.enable()
+
+    def _learn(self, chunks: set[bytes]) -> None:
         if len(self) > CACHED_CHUNKS:
             self.old = dict(self)
             self.clear()
@@ -135,7 +143,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
         cache, end = chunk_ids(path), np.array([end_id], "<u4").tobytes()
         for block in blocks(batches, "text"):
             rows = []
-            texts = [(text or "").encode().split() for text in block.column(1).to_pylist()]
+            raw, at = text_bytes(block.column(1))
+            data = raw.tobytes()
+            texts = [data[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             cache.learn(set().union(*texts))
             for doc_id, chunks in zip(block.column(0).to_pylist(), texts, strict=True):
                 ids = memoryview(cache.ids(chunks) + end)
