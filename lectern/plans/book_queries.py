@@ -171,10 +171,10 @@ SELECT p_partkey, p_size, (SELECT min((ord, lo)) FROM r WHERE p.p_size BETWEEN l
 def range_rule_join(t: Tables) -> DataFrame:
     """First fitting range rule of a small rule table made of parts."""
     rules = t.part.where("p_partkey % 20 = 0 and p_brand = 'Brand#11'").select(F.col("p_size").alias("lo")).distinct()
-    table = rules.select(F.lit("x").alias("target"), F.lit("x").alias("book"), F.lit(1).alias("kjv_ch"), F.col("lo").alias("v_lo"), (F.col("lo") + 4).alias("v_hi"), F.col("lo").alias("tgt_ch"), F.lit(0).alias("delta"), F.col("lo").alias("rule_ord"))
-    verses = t.part.select("p_partkey", "p_size", F.lit("x").alias("target"), F.lit("x").alias("book"), F.lit(1).alias("chapter"), F.col("p_size").alias("verse"))
-    found = versification.remap(verses, table)
-    return found.select("p_partkey", "p_size", F.when((F.col("ed_chapter") != 1) | F.col("p_size").between(1, 5) & (F.col("ed_chapter") == 1), F.col("ed_chapter")).alias("band"))
+    # Chapter 0 stands for no rule, as bands begin at 1.
+    table = rules.select(F.lit("x").alias("target"), F.lit("x").alias("book"), F.lit(0).alias("kjv_ch"), F.col("lo").alias("v_lo"), (F.col("lo") + 4).alias("v_hi"), F.col("lo").alias("tgt_ch"), F.lit(0).alias("delta"), F.col("lo").alias("rule_ord"))
+    verses = t.part.select("p_partkey", "p_size", F.lit("x").alias("target"), F.lit("x").alias("book"), F.lit(0).alias("chapter"), F.col("p_size").alias("verse"))
+    return versification.remap(verses, table).select("p_partkey", "p_size", F.nullif("ed_chapter", F.lit(0)).alias("band"))
 
 
 @query("SELECT conv_id, count(*) AS n, min(turn) AS lo, max(turn) AS hi FROM conversations WHERE role <> 'system' GROUP BY conv_id HAVING min(turn) <> 0 OR max(turn) <> count(*) - 1 OR count(DISTINCT turn) <> count(*)")

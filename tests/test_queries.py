@@ -1,6 +1,7 @@
 """Every registered query of the library against the SQL on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -20,9 +21,9 @@ def sql():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        return f"{v:.6f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
 
     df = df[sorted(df.columns)]
     return sorted(tuple(map(cell, r)) for r in df.itertuples(index=False))
