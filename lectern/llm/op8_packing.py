@@ -161,27 +161,27 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     """Cutting-stock solution rounded down: how often to use each configuration (a count for each size)."""
     m = len(sizes)
     base = np.diag([float(capacity // s) for s in sizes])
-    need, size = np.array(demand, float), np.array(sizes)
+    need = np.array(demand, float)
     for _ in range(8 * m):
         inverse = np.linalg.inv(base)
         use, price = inverse @ need, np.ones(m) @ inverse
-        # The most valuable configuration: an unbounded knapsack over the capacity, rooms below zero being worthless.
-        best, pick = np.full(2 * capacity + 1, -np.inf), np.full(capacity + 1, -1)
-        best[capacity] = 0.0
-        for room in range(1, capacity + 1):
-            value = best[capacity + room - size] + price
-            i = int(value.argmax())
-            best[capacity + room] = best[capacity + room - 1]
-            if value[i] > best[capacity + room] + 1e-12:
-                best[capacity + room], pick[room] = value[i], i
-        best = best[capacity:]
+        # The most valuable configuration: a knapsack, one more item in each round, for all rooms at once.
+        best, picks = np.zeros(capacity + 1), []
+        for _ in range(capacity // min(sizes)):
+            more, pick = best.copy(), np.full(capacity + 1, -1)
+            for i, s in enumerate(sizes):
+                value = best[: capacity + 1 - s] + price[i]
+                better = np.flatnonzero(value > more[s:] + 1e-12)
+                more[s + better], pick[s + better] = value[better], i
+            if (pick < 0).all():
+                break
+            best = more
+            picks.append(pick)
         if best[capacity] <= 1 + 1e-7:
             break
         column, room = np.zeros(m), capacity
-        while room > 0:
-            if pick[room] < 0:
-                room -= 1
-            else:
+        for pick in reversed(picks):
+            if pick[room] >= 0:
                 column[pick[room]] += 1
                 room -= sizes[pick[room]]
         direction = inverse @ column
