@@ -1,6 +1,6 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Each text becomes its set of word shingles, 512 minima over as many hash functions, 32
+Each text becomes its set of word shingles, 768 minima over as many hash functions, 32
 band keys of four minima each (from the first 128), and a packed signature that retains
 the low two bits of each minimum.  Documents that share a band key are candidates; the collision-corrected
 similarity of their signatures, a few bit counts, sorts out most, and full shingle sets
@@ -24,9 +24,9 @@ from .components import components
 from .shared import document_columns, lean_batches, saved
 from .textblock import BASES, LOWER, Prefix, Words, blocks, mix, text_bytes
 
-HASHES, BANDED, ROWS, BITS = 512, 128, 4, 2
+HASHES, BANDED, ROWS, BITS = 768, 128, 4, 2
 #: Pairs that look less similar than this are not confirmed: 4.5 standard deviations of the estimate below 0.75.
-LEAST_ESTIMATE = 0.645
+LEAST_ESTIMATE = 0.665
 #: So many ids (8 bytes each) are broadcast to pick documents; more are shuffled, and the texts with them.
 BROADCAST_IDS = 500_000
 _rng = np.random.default_rng(6)
