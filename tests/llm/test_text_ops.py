@@ -157,6 +157,24 @@ def test_lines(spark):
     assert kept.h == "x" and kept.text == "own words\n\nmore"
 
 
+def test_lines_beside_rarer_ones(spark):
+    licence, own, more = (f"{w} line of ten words that stands in some documents here" for w in ("licence", "own", "more"))
+    short = [f"short {i}" for i in range(6)]
+    rows = [
+        (1, f"first\n{licence}"),
+        (2, f"{own}\n{licence}\n{more}"),
+        (3, f"{own}\n{licence}\n{more}"),  # a later copy of 2
+        (4, f"x\n{licence}\ny"),
+        *((10 + i, f"{s}\nalone {i}") for i, s in enumerate(short)),  # first holders of the short lines
+        (20, "before\n" + "\n".join(short) + "\nafter"),
+        (21, "other\n" + "\n".join(short) + "\nend"),
+        (30, f"{own}\ntail"),
+        (31, f"{own}\ntail"),  # the tail is in no run of ten words that begins there
+    ]
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
+    assert (got[2], got[3], got[4], got[20], got[21], got[30], got[31]) == (f"{own}\n{more}", "", "x\ny", rows[10][1], "other\nend", "tail", "")
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, " ".join(words(rng, n))) for i, n in enumerate([3, 8, 20, 40, 40])] + [(9, None), (10, "")]
