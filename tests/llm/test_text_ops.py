@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import op9_suffix_array as op9
 from lectern.llm.induced import Queues, sort_strings
-from lectern.llm.op1_line_dedup import common_blocks, dedup_lines
+from lectern.llm.op1_line_dedup import common_blocks, dedup_lines, longest_common
 from lectern.llm.op2_substring_dedup import dedup_passages
 from lectern.llm.op4_decontamination import contaminated, without_contaminated
 from lectern.llm.op6_minhash import near_duplicates
@@ -139,6 +139,30 @@ def test_patience():
             last = (i + n, j + n)
 
 
+@pytest.mark.parametrize("bits", [1 << 27, 1])
+def test_ranges_without_unique_lines(monkeypatch, bits):
+    monkeypatch.setattr("lectern.llm.op1_line_dedup.LCS_BITS", bits)
+    assert common_blocks(list("aQc"), list("bQdQe")) in ([(1, 1, 1)], [(1, 3, 1)])
+    assert common_blocks(list("aQcQd"), list("bQeQf")) == [(1, 1, 1), (3, 3, 1)]
+    rng = random.Random(7)
+    for _ in range(200):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(12))] for _ in range(2))
+        table = {(i, j): 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        pairs = longest_common(a, b)
+        assert len(pairs) == table[len(a), len(b)] and all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs[:-1], pairs[1:], strict=True))
+
+
+def test_repeated_line_in_one_document(spark):
+    q = "a passage of ten words that one document holds twice"
+    rows = [(1, f"a1\n{q}\na2"), (2, f"b1\n{q}\nb2\n{q}\nb3")]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 1}
+
+
 def test_lines(spark):
     line = [f"this is line number {i} with ten words in it now" for i in range(8)]
     rows = [
