@@ -2,7 +2,7 @@
 
 Each text becomes its set of word shingles, 768 minima over as many hash functions, 32
 band keys of four minima each (from the first 128), and a packed signature that retains
-the low two bits of each minimum.  Documents that share a band key are candidates; the collision-corrected
+two well-mixed bits of each minimum.  Documents that share a band key are candidates; the collision-corrected
 similarity of their signatures, a few bit counts, sorts out most, and full shingle sets
 confirm the rest.  A pair of similarity 0.75 shares no band with a chance of 5 in a million.
 
@@ -32,6 +32,7 @@ BROADCAST_IDS = 500_000
 _rng = np.random.default_rng(6)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+_SALT = mix(np.arange(HASHES, dtype=np.uint64) * np.uint64(BASES[0]) + np.uint64(1))
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>"
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
 
@@ -63,10 +64,14 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def pack(least: np.ndarray) -> np.ndarray:
-    """The low BITS bits of each minimum, side by side in 64-bit words; one row for each set."""
+    """BITS bits of each minimum, side by side in 64-bit words; one row for each set.
+
+    They are mixed with the number of the hash function: the low bits of the minima themselves agree or differ for all
+    functions alike, as the low bits of the two shingles do.
+    """
     lanes = 64 // BITS
-    low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(least), -1, lanes)
-    return (low << (np.arange(lanes, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
+    bits = (mix(least.astype(np.uint64) ^ _SALT) >> np.uint64(64 - BITS)).reshape(len(least), -1, lanes)
+    return (bits << (np.arange(lanes, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:

@@ -126,6 +126,15 @@ def test_near_duplicates(spark, corpus):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
 
+def test_short_near_duplicates(spark):
+    """Texts of 8 words and their first 7: 3 of 4 shingles in common, just enough."""
+    rng = random.Random(8)
+    texts = [[f"v{rng.randrange(10**9)}" for _ in range(8)] for _ in range(150)]
+    rows = [(2 * i + k, " ".join(t[: 8 - k])) for i, t in enumerate(texts) for k in range(2)]
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_patience():
     a, b = list("axbycz"), list("abc")
     assert common_blocks(a, b) == [(0, 0, 1), (2, 1, 1), (4, 2, 1)]
