@@ -123,7 +123,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sure: float = 0
     x, q = x.where(F.size("embedding") == width), q.where(F.size("embedding") == width)
     sets = max(1, -(-q.count() // QUERY_ROWS))
     # Of equal vectors only the k + 1 smallest ids can be anybody's neighbours.
-    x = x.withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth").dropDuplicates(["vec_id", "embedding"])
+    x = x.dropDuplicates(["vec_id", "embedding"])
+    x = x.withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth")
     spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = x.select(spread(blocks_, "x").alias("block"), every(sets).alias("part"), "vec_id", "embedding")

@@ -54,6 +54,13 @@ def test_fewer_candidates_than_k(spark):
     assert nearest(none, none).count() == 0 and nearest(df, none).count() == 0
 
 
+def test_repeated_rows_leave_room_for_equal_vectors(spark):
+    same, k = [0.6, 0.8], 3
+    df = spark.createDataFrame([(1, same, 0, "")] * (k + 3) + [(i, same, 0, "") for i in (2, 4, 5)] + [(0, [1.0, 0.0], 0, "")], VECTORS)
+    got = nearest(df, df.where("vec_id = 0"), k).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 4]
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     plain, rude = [f"word{i}" for i in range(200)], ["idiot", "scum", "stupid"]
