@@ -5,7 +5,9 @@ of the 64 bits finds every item within the Hamming radius: two fingerprints that
 in at most 4 * r + 3 bits differ in at most r bits of some block, so each item is filed
 under all values within r bits of each of its blocks.  Weighted word shingles then decide
 exactly.  Only windows that could pass are fingerprinted: similarity s asks that at least
-2s / (1 + s) of a window's shingles occur in some item.
+2s / (1 + s) of a window's shingles occur in some item.  As fingerprints are of words and not
+of shingles, some similar windows lie outside the radius; so each such window is also
+compared with every item that it shares that many shingles with, and none is lost.
 """
 
 from __future__ import annotations
@@ -58,6 +60,7 @@ class Items:
         every = np.unique(np.array([x for c in self.shingles for x in c] or [0], np.uint64))
         self.known, self.filter = every, np.zeros(1 << 20, bool)
         self.filter[(every >> np.uint64(44)).astype(np.int64)] = True
+        self.holders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.index = {n: self._index(ks) for n, ks in self.by_length.items()}
 
     def _index(self, ks: list[int]):
@@ -92,28 +95,52 @@ class Items:
         close = np.bitwise_count(prints[window] ^ own[item]) <= RADIUS
         yield from zip(window[close].tolist(), ks[item[close]].tolist(), strict=True)
 
+    def sharing(self, length: int, shingles: np.ndarray, least: float) -> np.ndarray:
+        """The items of `length` words that have `least` of the shingles, repeated ones counted each time."""
+        if length not in self.holders:
+            ks = self.by_length[length]
+            own = [np.array(list(self.shingles[k]), np.uint64) for k in ks]
+            every, item = np.concatenate(own), np.repeat(ks, [len(x) for x in own])
+            order = np.argsort(every, kind="stable")
+            self.holders[length] = every[order], item[order]
+        every, item = self.holders[length]
+        lo, hi = np.searchsorted(every, shingles, "left"), np.searchsorted(every, shingles, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        return np.flatnonzero(np.bincount(item[at], minlength=len(self.ids)) >= least - 1e-9)
+
     def matches(self, words: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
         """(item id, similarity, first word, words) of the best window for each item found in a text."""
         best: dict[int, tuple[float, int, int]] = {}
-        need = 2 * least / (1 + least)
-        shingles = {k: shingle_hashes(words, k) for k in {min(self.size, n) for n in self.by_length if n <= len(words)}}
+        shingles = {k: shingle_hashes(words, k) for k in {min(self.size, n) for n in self.by_length if min(self.size, n) <= len(words)}}
         seen = {k: np.append(0, np.cumsum(self.hits(s))) for k, s in shingles.items()}
         for length in self.by_length:
             k = min(self.size, length)
-            n = length - k + 1
-            if k not in seen or len(words) < length or seen[k][-1] < need * n - 1e-9:
+            if k not in seen:
+                continue
+            # A text shorter than the item is one window.
+            wide = min(length, len(words))
+            n, own = wide - k + 1, length - k + 1
+            need = least * (n + own) / (1 + least)
+            if need > n + 1e-9 or seen[k][-1] < need - 1e-9:
                 continue
-            start = np.flatnonzero(seen[k][n:] - seen[k][:-n] >= need * n - 1e-9)
+            start = np.flatnonzero(seen[k][n:] - seen[k][:-n] >= need - 1e-9)
             if not len(start):
                 continue
-            lo, hi = int(start[0]), int(start[-1]) + length
-            for w, item in self.candidates(length, fingerprints(words[lo:hi], length, start - lo)):
-                at = int(start[w])
-                here, there = Counter(shingles[k][at : at + n].tolist()), self.shingles[item]
-                both = (here & there).total()
-                score = both / (2 * n - both)
+            lo, hi = int(start[0]), int(start[-1]) + wide
+            pairs = set()
+            if wide == length:
+                pairs = {(int(start[w]), item) for w, item in self.candidates(length, fingerprints(words[lo:hi], length, start - lo))}
+            # Windows outside the radius may be similar enough still: each meets the items it shares enough shingles with.
+            here = shingles[k][lo : int(start[-1]) + n]
+            for item in self.sharing(length, here, need).tolist():
+                held = np.append(0, np.cumsum(np.isin(here, np.array(list(self.shingles[item]), np.uint64))))
+                pairs |= {(at, item) for at in start[held[start - lo + n] - held[start - lo] >= need - 1e-9].tolist()}
+            for at, item in pairs:
+                both = (Counter(shingles[k][at : at + n].tolist()) & self.shingles[item]).total()
+                score = both / (n + own - both)
                 if score >= least and (item not in best or (score, -at) > (best[item][0], -best[item][1])):
-                    best[item] = (score, at, length)
+                    best[item] = (score, at, wide)
         return [(self.ids[item], *best[item]) for item in sorted(best)]
 
 
@@ -123,7 +150,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.75, size: i
     One row for each document row and item, with its best window (the first of equals).  The similarity of two word
     sequences is that of their multisets of `size`-word shingles, sum of minima by sum of maxima; a shorter item is
     one shingle.  Words are lower-cased from A to Z and split at white space.  Null, empty or blank texts and items match nothing;
-    repeated items are found once for each item_id.  A document that is shorter than an item does not match it.  Empty
+    repeated items are found once for each item_id.  A document that is shorter than an item is one window.  Empty
     tables give an empty table.
     """
     docs = document_columns(docs).where("doc_id is not null and text is not null")

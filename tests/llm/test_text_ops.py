@@ -232,6 +232,17 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in docs if d not in {k[0] for k in want}) and clean.columns == df.columns
 
 
+def test_windows_outside_the_radius(spark):
+    """Items whose last 28 of 200 words are changed (similarity 0.75 to 0.76), and documents shorter than an item."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"t{rng.randrange(10**9)}" for _ in range(200))) for i in range(150)]
+    items.append((500, " ".join(f"s{k}" for k in range(30))))
+    docs = [(i, " ".join([*t.split()[:172], *(f"n{rng.randrange(10**9)}" for _ in range(28))])) for i, t in items[:-1]]
+    docs += [(1000, " ".join(items[-1][1].split()[:-1])), (1001, " ".join(items[-1][1].split()[:15]))]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i): (168 / 224, 0, 200) for i, _ in items[:-1]} | {(1000, 500): (25 / 26, 0, 29)}
+
+
 def test_many_items_take_several_passes(spark, monkeypatch):
     monkeypatch.setattr("lectern.llm.op4_decontamination.ITEMS_AT_ONCE", 2)
     items = [(i, " ".join(f"t{i}x{k}" for k in range(12))) for i in range(7)]
