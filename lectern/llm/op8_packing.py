@@ -1,7 +1,7 @@
 """Packing documents into sequences by linear grouping.
 
 Tokenising and ranking run on Spark; the plan itself is made from a histogram with one
-entry for each length, whose size is bounded by the capacity and never by the corpus:
+entry for each length, so its work is bounded by the square of the capacity and never by the corpus:
 
 1. Lengths of at least capacity / 8 are large.  In descending order they are dealt into groups of
    equal cardinality and rounded up to the largest of their group.
@@ -17,8 +17,8 @@ offset.  A document finds its place by its length and its rank.
 
 from __future__ import annotations
 
-import gc
 import heapq
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -26,108 +26,155 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import bucket_of, document_columns, lean_batches, saved
-from .textblock import blocks, text_bytes
+from .textblock import LOWER, SPACE, blocks, parts_of, range_hashes, ranges, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-#: Chunks between white space that a worker remembers in each of two generations.
-CACHED_CHUNKS = 300_000
-STOPS = ".,;:!?"
+#: Distinct chunks that a worker remembers; beyond it those stay that were used since the last clearing.
+CACHED_CHUNKS = 1_000_000
+#: Chunks of one string handed to the tokeniser.
+TOGETHER = 1000
+#: Stands between chunks in that string; a pre-token of its own, as white space is on both sides.
+MARKER = "\x01"
+#: Plan rows (five longs each) that are broadcast; more are shuffled.
+BROADCAST_PLAN = 200_000
+#: Ranks of one length that share a join key with their plan rows.
+RANK_BLOCK = 1 << 16
+
+#: 0 for white space, 1 for ASCII letters, 2 for stops, 3 for all else.
+KIND = np.full(256, 3, np.uint8)
+KIND[SPACE] = 0
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[list(b".,;:!?")] = 2
+
+# Normaliser and splitter under which the chunks of a text may be encoded apart.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_at_white_space(config: dict) -> bool:
+    """Whether a tokeniser's own configuration proves that its ids are those of the chunks of a text.
+
+    Its splitter keeps runs of letters, single numbers and runs of other characters, none with white space, and the
+    contractions start with an apostrophe; so it always splits at white space and between an ASCII letter and a stop.
+    Normal form C composes neither white space nor stops with what stands beside them, and lower-casing goes by
+    character, so A to Z may be lower-cased before.  The model sees one pre-token at a time.
+    """
+    normal, before = config.get("normalizer") or {}, (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = before[0]
+    whole = split.get("type") == "Split" and split.get("pattern") == {"Regex": PATTERN} and split.get("invert") is True and split.get("behavior") == "Removed"
+    return normal.get("normalizers") == NORMALIZERS and whole and len(before) == 2 and before[1].get("use_regex") is False and not before[1].get("add_prefix_space")
 
 
-class ChunkIds(dict):
-    """Token ids (as bytes) of the chunks of a text between white space, each made once.
+def chunks_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the chunks of a block begin and end, and the first chunk of each text.
 
-    The tokeniser's normaliser and splitter never look across white space, so a text's ids are those of its chunks.  A
-    run of letters and a run of stops after it are split, too; so most chunks are a letter run, encoded many to
-    a call, each ending with the one token of it that is marked as a word's last.
+    Chunks are what stands between white space, cut between ASCII letters and stops.
     """
+    kind = np.zeros(len(raw) + 2, np.uint8)
+    kind[1:-1] = KIND[raw]
+    here, before = kind[1:], kind[:-1]
+    turn = (here + before == 3) & (here > 0) & (before > 0)
+    turn[at] = True
+    starts = np.flatnonzero((here > 0) & (turn | (before == 0)))
+    ends = np.flatnonzero((before > 0) & (turn | (here == 0)))
+    return starts, ends, np.searchsorted(starts, at)
+
+
+class ChunkIds:
+    """Token ids of chunks, each made once: sorted hashes, and for each the place of its ids in one pool."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        self.path, self.tokenizer, self.short = path, Tokenizer.from_file(path), None
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.old: dict[bytes, bytes] = {}
-        self.stops: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-
-    def _short_way(self, runs: list[str]):
-        """The same model without normaliser and splitter, for lower-case ASCII runs; None if it should not agree on these."""
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        short = Tokenizer.from_file(self.path)
-        short.normalizer, short.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        alike = all(x.ids == y.ids for x, y in zip(self._encode(runs), short.encode_batch_fast([r.lower() for r in runs], add_special_tokens=False), strict=True))
-        return short if alike else None
-
-    def _runs(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of letter runs."""
-        ascii_ = [r for r in runs if r.isascii()]
-        if self.short is None and len(ascii_) >= 1000:
-            self.short = self._short_way(ascii_[:1000]) or self.tokenizer
-        if self.short is None or self.short is self.tokenizer:
-            return self._in_groups(runs, self.tokenizer, False)
-        return self._in_groups(ascii_, self.short, True) | self._in_groups([r for r in runs if not r.isascii()], self.tokenizer, False)
-
-    def _in_groups(self, runs: list[str], tokenizer, lower: bool) -> dict[str, bytes]:
-        made: dict[str, bytes] = {}
-        groups = [runs[i : i + 1000] for i in range(0, len(runs), 1000)]
-        joined = [" ".join(g).lower() if lower else " ".join(g) for g in groups]
-        for group, e in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            at = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
-            if len(at) == len(group) + 1:
-                data = ids.tobytes()
-                made.update(zip(group, [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], strict=True))
-            else:  # a run that the splitter sees otherwise
-                made.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(group, self._encode(group), strict=True))
-        return made
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Make sure that these chunks are known.  The many small objects made here hold no cycles, so none are looked for."""
-        gc.disable()
-        try:
-            self._learn(chunks)
-        finally:
-            gc.enable()
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self) > CACHED_CHUNKS:
-            self.old = dict(self)
-            self.clear()
-        new = chunks.difference(self)
-        for c in new.intersection(self.old):
-            self[c] = self.old[c]
-        runs, other, tails = {}, [], set()
-        for c in new.difference(self):
-            text = c.decode()
-            run = text.rstrip(STOPS)
-            if run.isalpha() and (run.isascii() or run.lower().isalpha()):
-                runs[c] = run, (tail := text[len(run) :])
-                tails.add(tail)
-            else:
-                other.append(text)
-        for tail in tails.difference(self.stops):
-            self.stops[tail] = np.array(self._encode([tail])[0].ids, "<u4").tobytes()
-        made = self._runs(list({run for run, _ in runs.values()}))
-        for c, (run, tail) in runs.items():
-            self[c] = made[run] + self.stops[tail]
-        for text, e in zip(other, self._encode(other), strict=True):
-            self[text.encode()] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, chunks: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, chunks))
+        self.tokenizer = Tokenizer.from_file(path)
+        config = json.loads(self.tokenizer.to_str())
+        self.apart = splits_at_white_space(config)
+        #: Added tokens are found in the text as it is, so chunks with their first character keep their case.
+        self.kept_case = sorted({ord(t["content"][0]) for t in config.get("added_tokens") or []})
+        mark = self.encode([MARKER])[0]
+        self.apart = self.apart and len(mark) == 1 and all(c < 128 for c in self.kept_case)
+        self.mark = int(mark[0])
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.used = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.used)
+        if 2 * len(keep) > CACHED_CHUNKS:
+            return self.clear()
+        self.pool = self.pool[ranges(self.start[keep], self.size[keep])]
+        self.keys, self.size = self.keys[keep], self.size[keep]
+        self.start, self.used = np.cumsum(self.size) - self.size, np.zeros(len(keep), bool)
+
+    def _made(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of chunks as one array, and where those of each begin and end; TOGETHER of them to a string with markers between."""
+        between, pool, start, end, at = f" {MARKER} ".encode(), [], [], [], 0
+        groups = [chunks[i : i + TOGETHER] for i in range(0, len(chunks), TOGETHER)]
+        for group, ids in zip(groups, self.encode([between.join(g).decode() for g in groups]), strict=True):
+            cuts = np.flatnonzero(ids == self.mark)
+            lo, hi = np.append(0, cuts + 1), np.append(cuts, len(ids))
+            if len(lo) != len(group):  # a chunk holds the marker itself
+                apart = self.encode([c.decode() for c in group])
+                hi = np.cumsum([len(x) for x in apart])
+                ids, lo = np.concatenate(apart), np.append(0, hi[:-1])
+            pool.append(ids)
+            start.append(lo + at)
+            end.append(hi + at)
+            at += len(ids)
+        return np.concatenate(pool), np.concatenate(start), np.concatenate(end)
+
+    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+        if len(self.keys) + len(keys) > CACHED_CHUNKS:
+            self._forget()
+        ids, start, end = self._made(chunks)
+        order = np.argsort(keys)
+        place, start, size = np.searchsorted(self.keys, keys[order]), start[order] + len(self.pool), (end - start)[order]
+        self.pool = np.concatenate([self.pool, ids])
+        self.keys, self.start, self.size = np.insert(self.keys, place, keys[order]), np.insert(self.start, place, start), np.insert(self.size, place, size)
+        self.used = np.insert(self.used, place, True)
+
+    def of_block(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of a block as one array, and len+1 offsets into it."""
+        if not self.apart:
+            data = raw.tobytes()
+            made = self.encode([data[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            return np.concatenate([np.zeros(0, np.uint32), *made]), np.append(0, np.cumsum([len(m) for m in made], dtype=np.int64))
+        starts, ends, first = chunks_of(raw, at)
+        lower = LOWER[raw]
+        special = np.flatnonzero(np.isin(raw, self.kept_case))
+        for k in np.unique(np.searchsorted(starts, special, "right") - 1).tolist():
+            lower[starts[k] : ends[k]] = raw[starts[k] : ends[k]]
+        code, keys = pd.factorize(range_hashes(lower, starts, ends))
+        known = lambda: (place := np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0)), (self.keys[place] == keys) if len(self.keys) else np.zeros(len(keys), bool))
+        place, there = known()
+        if not there.all():
+            self.used[place[there]] = True
+            new = np.flatnonzero(~there)
+            some = np.empty(len(keys), np.int64)
+            some[code] = np.arange(len(code))
+            data, some = lower.tobytes(), some[new]
+            self._learn(keys[new], [data[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+            place, there = known()
+            if not there.all():  # forgotten in between: all of the block again
+                self.clear()
+                return self.of_block(raw, at)
+        self.used[place] = True
+        size = self.size[place][code]
+        ends_at = np.append(0, np.cumsum(size))
+        return self.pool[ranges(self.start[place][code], size)], ends_at[first]
 
 
 @lru_cache(maxsize=1)
@@ -137,21 +184,33 @@ def chunk_ids(path: str) -> ChunkIds:
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): the token ids of each text and `end_id`, cut only where longer than `capacity`."""
+    """(doc_id, piece, start, length, ids_crc32): the token ids of each text and `end_id`, cut only where longer than `capacity`.
+
+    A text longer than a block is read in parts that end at white space.
+    """
+
+    def cut(ids: np.ndarray, done: int, doc_id: int | None, rows: list[tuple]) -> None:
+        for at in range(0, len(ids), capacity):
+            piece = ids[at : at + capacity]
+            rows.append((doc_id, (done + at) // capacity, done + at, len(piece), zlib.crc32(piece)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = chunk_ids(path), np.array([end_id], "<u4").tobytes()
+        cache, end = chunk_ids(path), np.array([end_id], np.uint32)
         for block in blocks(batches, "text"):
-            rows = []
+            rows: list[tuple] = []
             raw, at = text_bytes(block.column(1))
-            data = raw.tobytes()
-            texts = [data[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            cache.learn(set().union(*texts))
-            for doc_id, chunks in zip(block.column(0).to_pylist(), texts, strict=True):
-                ids = memoryview(cache.ids(chunks) + end)
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            if block.num_rows > 1 or not cache.apart:
+                ids, ends = cache.of_block(raw, at)
+                for doc_id, a, b in zip(block.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    cut(np.append(ids[a:b], end), 0, doc_id, rows)
+            else:
+                done, left, doc_id = 0, end[:0], block.column(0)[0].as_py()
+                for a, b in parts_of(raw, SPACE):
+                    ids = np.append(left, cache.of_block(raw[a:b], np.array([0, b - a]))[0])
+                    whole = len(ids) // capacity * capacity
+                    cut(ids[:whole], done, doc_id, rows)
+                    done, left = done + whole, ids[whole:]
+                cut(np.append(left, end), done, doc_id, rows)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
     return docs.mapInArrow(task, PIECES)
@@ -320,13 +379,17 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     counts = saved(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row for each length up to the capacity
     rows = plan(histogram, capacity)
-    # At most a few rows for each length and remainder, both bounded by the capacity.
-    where = F.broadcast(spark.createDataFrame([tuple(map(int, r)) for r in rows], "p_length long, lo long, hi long, first long, offset long"))
+    where = spark.createDataFrame([tuple(map(int, r)) for r in rows], "p_length long, lo long, hi long, first long, offset long")
+    # A plan row meets the pieces of its length in each block of ranks that it reaches into, so a frequent length has many join keys.
+    where = where.withColumn("rank_block", F.explode(F.sequence(F.floor(F.col("lo") / RANK_BLOCK), F.floor((F.col("hi") - 1) / RANK_BLOCK))))
+    where = F.broadcast(where) if len(rows) <= BROADCAST_PLAN else where.hint("shuffle_hash")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "bucket")
-    placed = ranked.join(where, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return placed.withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("lo")).drop("rank", "p_length", "lo", "hi", "first")
+    ranked = ranked.withColumn("rank_block", F.floor(F.col("rank") / RANK_BLOCK))
+    fits = (F.col("length") == F.col("p_length")) & (ranked["rank_block"] == where["rank_block"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    placed = ranked.join(where, fits).withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("lo"))
+    return placed.drop("rank", "p_length", "lo", "hi", "first", ranked["rank_block"], where["rank_block"])
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -334,6 +397,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
 
     Reads doc_id and text; returns one row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     A null or empty text is the end id alone.  Repeated rows are packed as often as they occur; a null doc_id stays null.
+    A text longer than a block is tokenised in parts, so memory does not grow with it but for a single chunk without white space.
     An empty table gives an empty table.
     """
     lean_batches(docs.sparkSession)

@@ -99,6 +99,42 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYT
             first = last
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of half-open ranges, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def parts_of(raw: np.ndarray, separators: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of a text of about `most` bytes that end at a separator, or where the next one stands."""
+    a = 0
+    while a < len(raw):
+        b = min(a + most, len(raw))
+        while b < len(raw) and len(gap := np.flatnonzero(separators[raw[b : b + most]])) == 0:
+            b = min(b + most, len(raw))
+        b += int(gap[0]) if b < len(raw) else 0
+        yield a, b
+        a = b
+
+
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """One 64-bit hash for each of the disjoint ascending byte ranges, from bytes and length; a block at a time, so memory stays bounded."""
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        last = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK_BYTES, "right")))
+        a, b = int(starts[k]), int(ends[last - 1])
+        if last == k + 1 and b - a > BLOCK_BYTES:
+            value = 0
+            for x in range(b, a, -BLOCK_BYTES):
+                part = raw[max(a, x - BLOCK_BYTES) : x].astype(np.uint64) + np.uint64(1)
+                value = (value * pow(base, len(part), 1 << 64) + int(Prefix(part, base).sums[-1])) % (1 << 64)
+            out[k] = value
+        else:
+            out[k:last] = Prefix(raw[a:b].astype(np.uint64) + np.uint64(1), base).ranges(starts[k:last] - a, ends[k:last] - a)
+        k = last
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """The words of a block of texts: byte ranges, and the first word of each text."""
 
@@ -121,8 +157,7 @@ class Words:
 
     def hashes(self, base: int = BASES[0]) -> np.ndarray:
         """One 64-bit hash for each word, from its bytes and its length."""
-        p = Prefix(self.raw.astype(np.uint64) + np.uint64(1), base)
-        return mix(p.ranges(self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64))
+        return range_hashes(self.raw, self.starts, self.ends, base)
 
 
 def room(first: np.ndarray, length: int) -> np.ndarray:
