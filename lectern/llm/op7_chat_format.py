@@ -2,7 +2,7 @@
 
 Everything is a DataFrame expression.  The longest common prefix of turns is the smallest
 turn at which the two sides differ, an aggregate; no conversation is gathered into one row
-before its segments are rendered, however long it is.
+before its segments are rendered, and no row holds more than CHUNK turns of a side.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_TURN = (1 << 63) - 1
+#: Turns 0 to 1023 of a pair make its first row, the next 1024 its second: few pairs have more than one.
+CHUNK_BITS = 10
 
 
 def one_per_turn(turns: DataFrame) -> DataFrame:
@@ -20,20 +22,25 @@ def one_per_turn(turns: DataFrame) -> DataFrame:
     return turns.groupBy("pair_id", "turn").agg(F.min("said").alias("said"))
 
 
+def header(said: str) -> Column:
+    return F.concat(F.lit("<|im_start|>"), F.col(f"{said}.role"), F.lit("\n"))
+
+
 def rendered(said: str) -> Column:
     """One turn in the usual role-tagged form."""
-    return F.concat(F.lit("<|im_start|>"), F.col(f"{said}.role"), F.lit("\n"), F.col(f"{said}.text"), F.lit("<|im_end|>\n"))
+    return F.concat(header(said), F.col(f"{said}.text"), F.lit("<|im_end|>\n"))
 
 
 def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rendered segments of each preference pair, one for each turn.
 
     Both inputs hold pair_id, turn, role and text; other columns are ignored.  Returns pair_id, part ('prompt', 'chosen'
-    or 'rejected'), turn, role, segment (the rendered turn) and loss (true where a model learns from the segment: what the
-    assistant says outside the prompt).  The prompt is the longest common prefix of turns, that is, every turn before the
-    first one at which number, role or text of the two sides differ; it appears once.  Sides that agree entirely are all
-    prompt; a pair with one side only has no prompt.  Rows without pair_id or turn are left out, null roles and texts
-    count as empty, and of repeated turns the smallest by role and text counts.  An empty table gives an empty table.
+    or 'rejected'), turn, role, segment (the rendered turn), head (characters of it before what was said) and loss (true
+    where a model learns from the segment: what the assistant says outside the prompt).  The prompt is the longest common
+    prefix of turns, that is, every turn before the first one at which number, role or text of the two sides differ; it
+    appears once.  Sides that agree entirely are all prompt; a pair with one side only has no prompt.  Rows without
+    pair_id or turn are left out, null roles and texts count as empty, and of repeated turns the smallest by role and
+    text counts.  An empty table gives an empty table.
     """
     a, b = one_per_turn(chosen).withColumnRenamed("said", "c"), one_per_turn(rejected).withColumnRenamed("said", "r")
     both = a.join(b, ["pair_id", "turn"], "full_outer")
@@ -43,36 +50,83 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         F.filter(F.array(F.struct(F.lit("chosen").alias("part"), F.col("c").alias("said")), F.struct(F.lit("rejected").alias("part"), F.col("r").alias("said"))), lambda x: x["said"].isNotNull())
     )
     rows = both.join(split, "pair_id").select("pair_id", "turn", F.inline(parts))
-    return rows.select("pair_id", "part", "turn", F.col("said.role").alias("role"), rendered("said").alias("segment"), ((F.col("part") != "prompt") & (F.col("said.role") == "assistant")).alias("loss"))
+    learnt = (F.col("part") != "prompt") & (F.col("said.role") == "assistant")
+    return rows.select("pair_id", "part", "turn", F.col("said.role").alias("role"), rendered("said").alias("segment"), F.length(header("said")).alias("head"), learnt.alias("loss"))
+
+
+def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row for each preference pair: pair_id, chunk, prompt, chosen, rejected, chosen_mask and rejected_mask.
+
+    The three texts are the segments of preference_segments() joined in order of turn, empty where a part has none; a mask
+    lists, as (first, end) in characters of its completion, what a model learns from: what the assistant says, with the
+    end mark, but not the role tags.  A pair whose turns reach beyond number 1023 continues in further rows (chunk 1, 2,
+    ...), so that a conversation of any length is rendered whole and none has to fit one row.  Nulls, repeated rows, sides
+    that agree or lack and empty tables are as in preference_segments().
+    """
+    segments = preference_segments(chosen, rejected).withColumn("chunk", F.shiftright("turn", CHUNK_BITS))
+    piece = F.struct("turn", "segment", "head", "loss")
+    sides = ("prompt", "chosen", "rejected")
+    lists = segments.groupBy("pair_id", "chunk").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == side, piece))).alias(side) for side in sides])
+
+    def text(side: str) -> Column:
+        return F.array_join(F.transform(side, lambda x: x["segment"]), "")
+
+    def mask(side: str) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,end:int>>").alias("spans"))
+
+        def add(state: Column, x: Column) -> Column:
+            end = state["at"] + F.length(x["segment"])
+            span = F.struct((state["at"] + x["head"]).alias("first"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(x["loss"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+        return F.aggregate(side, start, add, lambda state: state["spans"])
+
+    return lists.select("pair_id", "chunk", *[text(s).alias(s) for s in sides], *[mask(s).alias(f"{s}_mask") for s in sides[1:]])
 
 
-def preference_pairs(segments: DataFrame) -> DataFrame:
-    """One row for each pair with prompt, chosen and rejected joined to strings: for pairs whose turns fit one row."""
-    whole = lambda part: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("turn", "segment")))), lambda x: x["segment"])).alias(part)
-    return segments.groupBy("pair_id").agg(*map(whole, ("prompt", "chosen", "rejected")))
+def other_ending(turns: DataFrame) -> DataFrame:
+    """The rejected side for conversations (pair_id, turn, role, text): the last thing that the assistant says is exchanged with
+    that of the neighbour (2k with 2k + 1).  Conversations in which one of the two says nothing are left out."""
+    turns = one_per_turn(turns).select("pair_id", "turn", "said.*")
+    last = turns.where("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    others = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("other"))
+    ends = last.select("pair_id", F.col("last.turn").alias("at")).join(others, "pair_id")
+    return turns.join(ends, "pair_id").withColumn("text", F.when(F.col("turn") == F.col("at"), F.col("other")).otherwise(F.col("text"))).select("pair_id", "turn", "role", "text")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 as chosen and rejected side of pair k."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("pair_id", F.floor(F.col("conv_id") / 2))
-    return preference_segments(turns.where(F.pmod("conv_id", F.lit(2)) == 0), turns.where(F.pmod("conv_id", F.lit(2)) == 1))
+    """Each conversation as chosen side, and with its neighbour's ending as rejected one; pair_id is its conv_id."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumnRenamed("conv_id", "pair_id")
+    rejected = other_ending(turns)
+    pairs = preference_pairs(turns.join(rejected.select("pair_id").distinct(), "pair_id", "left_semi"), rejected)
+    spans = lambda side: F.array_join(F.transform(side, lambda x: F.concat_ws("-", x["first"].cast("string"), x["end"].cast("string"))), ",").alias(side)
+    return pairs.select("pair_id", "chunk", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
 
 
 OP7_SQL = """
-WITH turns AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, min(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))) AS s
+WITH t AS (
+  SELECT conv_id AS pair_id, turn, min(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))) AS s
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
-), sides AS (
-  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, c.s AS c, r.s AS r
-  FROM (SELECT * FROM turns WHERE side = 0) c FULL OUTER JOIN (SELECT * FROM turns WHERE side = 1) r ON c.pair_id = r.pair_id AND c.turn = r.turn
+), l AS (
+  SELECT pair_id, max(turn) AS at, arg_max(s.t, turn) AS text FROM t WHERE s.r = 'assistant' GROUP BY pair_id
+), p AS (
+  SELECT t.pair_id, t.turn, t.s AS c, CASE WHEN t.turn = l.at THEN struct_pack(r := t.s.r, t := o.text) ELSE t.s END AS r
+  FROM t JOIN l ON t.pair_id = l.pair_id JOIN l o ON o.pair_id = xor(t.pair_id, 1)
 ), cut AS (
-  SELECT *, coalesce(min(CASE WHEN c IS NULL OR r IS NULL OR c <> r THEN turn END) OVER (PARTITION BY pair_id), 9223372036854775807) AS split FROM sides
-), rows_ AS (
-  SELECT pair_id, 'prompt' AS part, turn, c AS s FROM cut WHERE turn < split
-  UNION ALL SELECT pair_id, 'chosen', turn, c FROM cut WHERE turn >= split AND c IS NOT NULL
-  UNION ALL SELECT pair_id, 'rejected', turn, r FROM cut WHERE turn >= split AND r IS NOT NULL
+  SELECT *, coalesce(min(CASE WHEN c <> r THEN turn END) OVER (PARTITION BY pair_id), 9223372036854775807) AS split FROM p
+), seg AS (
+  SELECT pair_id, turn, turn // 1024 AS chunk, turn < split AS shared, c.r = 'assistant' AS c_loss, r.r = 'assistant' AS r_loss,
+    '<|im_start|>' || c.r || chr(10) AS c_head, c.t || '<|im_end|>' || chr(10) AS c_said,
+    '<|im_start|>' || r.r || chr(10) AS r_head, r.t || '<|im_end|>' || chr(10) AS r_said FROM cut
+), pos AS (
+  SELECT *, sum(CASE WHEN shared THEN 0 ELSE length(c_head) + length(c_said) END) OVER (PARTITION BY pair_id, chunk ORDER BY turn) AS c_end,
+    sum(CASE WHEN shared THEN 0 ELSE length(r_head) + length(r_said) END) OVER (PARTITION BY pair_id, chunk ORDER BY turn) AS r_end FROM seg
 )
-SELECT pair_id, part, turn, s.r AS role, '<|im_start|>' || s.r || chr(10) || s.t || '<|im_end|>' || chr(10) AS segment,
-       part <> 'prompt' AND s.r = 'assistant' AS loss
-FROM rows_
+SELECT pair_id, chunk,
+  coalesce(string_agg(c_head || c_said, '' ORDER BY turn) FILTER (shared), '') AS prompt,
+  coalesce(string_agg(c_head || c_said, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
+  coalesce(string_agg(r_head || r_said, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected,
+  coalesce(string_agg((c_end - length(c_said)) || '-' || c_end, ',' ORDER BY turn) FILTER (NOT shared AND c_loss), '') AS chosen_mask,
+  coalesce(string_agg((r_end - length(r_said)) || '-' || r_end, ',' ORDER BY turn) FILTER (NOT shared AND r_loss), '') AS rejected_mask
+FROM pos GROUP BY pair_id, chunk
 """
