@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key that holds more than this part of all rows is joined by a broadcast; so many keys at most are broadcast.
+HOT_KEYS = 1024
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder, spark.checkpoint.dir.  On one machine, where none is set, one beside the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -49,3 +54,17 @@ def document_columns(docs: DataFrame) -> DataFrame:
 
 def bucket_of(column: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: list[str], n: str) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key and, in `n`, how many rows hold it.
+
+    Rows of a hot key stay where they are and meet its row by a broadcast; as the counts add up to the rows, no more
+    than HOT_KEYS keys can hold more than that part of them.  All others are shuffled by key.  `n` is not returned.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot, cold = table.where(F.col(n) > total // HOT_KEYS).drop(n), table.where(F.col(n) <= total // HOT_KEYS).drop(n)
+    if hot.isEmpty():
+        return rows.join(cold.hint("shuffle_hash"), key)
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint("shuffle_hash"), key))
