@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by stable projections and kd-trees.
 
-A vector is projected onto a few Gaussian directions; a kd-tree holds the projections.
-Leaves are visited from the nearest box outwards, their points verified on the original
-vectors.  The squared projected distance of a point at distance d is d * d times a
-chi-square variable, so once the next box lies so far out that a point as near as the
-current k-th would almost surely have come before, the search stops.
+A vector is projected onto a few Gaussian directions, and a kd-tree divides the projections into cells.  The top
+of the tree is fitted on a bounded sample and deals every vector to the one cell that it falls into; inside a cell the same
+splitting goes on down to leaves.  The squared projected distance of a point at distance d is
+d * d times a chi-square variable.  So once the next projected neighbour lies so far out that a point as near as
+the current k-th would almost surely have come before, the search stops: that test bounds the cells that a
+query travels to, the leaves that it opens there, and the points that are verified on the original vectors.
 
-Largest inner products become smallest distances by one more coordinate,
+Each query first searches its own cell, and then, with the k-th score from there, the cells within its stopping
+radius.  Largest inner products become smallest distances by one more coordinate,
 sqrt(M * M - |x| * |x|) with M the largest norm.
 """
 
@@ -19,78 +21,142 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import lean_batches
+from .shared import lean_batches, saved
 
-DIRECTIONS, LEAF = 8, 64
-#: Vectors of one tree, and queries that meet it in one task.
-BLOCK_ROWS, QUERY_ROWS = 16384, 1024
+DIRECTIONS, LEAF = 16, 64
+#: Vectors that a cell is meant to hold, rows of the sample that the top of the tree is fitted on, cells at most.
+CELL_ROWS, SAMPLE, CELLS = 8192, 65536, 4096
+#: Doubles of one group of vectors or of queries in a task, and of one gather in a search.
+GROUP_DOUBLES, GATHER = 1 << 23, 1 << 21
 
 
 def chi_square_cdf(x: np.ndarray, freedom: int) -> np.ndarray:
     """Distribution function for an even number of degrees of freedom."""
-    half = x / 2
+    half = np.minimum(x / 2, 700)
     term, total = np.ones_like(half), np.ones_like(half)
     for i in range(1, freedom // 2):
         term = term * half / i
         total = total + term
-    return 1 - np.exp(-np.minimum(half, 700)) * total
+    return 1 - np.exp(-half) * total
+
+
+def chi_square_limit(sure: float) -> float:
+    """The value that a chi-square variable exceeds with a chance of 1 - sure."""
+    lo, hi = 0.0, 1400.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_square_cdf(np.array(mid), DIRECTIONS) < sure else (lo, mid)
+    return hi
 
 
 def projection(width: int) -> np.ndarray:
-    return np.random.default_rng(3).standard_normal((width, DIRECTIONS))
-
-
-class Tree:
-    """Leaves of a kd-tree: rows split at the median of the widest side until a leaf is small."""
-
-    def __init__(self, points: np.ndarray):
-        leaves, todo = [], [np.arange(len(points))]
-        while todo:
-            own = todo.pop()
-            if len(own) <= LEAF:
-                leaves.append(own)
-                continue
-            side = int(np.argmax(np.ptp(points[own], axis=0)))
-            own = own[np.argsort(points[own, side], kind="stable")]
-            todo += [own[: len(own) // 2], own[len(own) // 2 :]]
-        self.rows = np.full((len(leaves), LEAF), -1)
+    """Gaussian directions for vectors of this width and the coordinate that is added."""
+    return np.random.default_rng(3).standard_normal((width + 1, DIRECTIONS))
+
+
+def projected(x: np.ndarray, norm: float) -> np.ndarray:
+    """Projections of vectors, the added coordinate included."""
+    gauss = projection(x.shape[1])
+    lift = np.sqrt(np.maximum(norm * norm - np.einsum("nd,nd->n", x, x), 0))
+    return x @ gauss[:-1] + lift[:, None] * gauss[-1]
+
+
+def split(points: np.ndarray, smallest: int, most: int = 1 << 30) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows of a kd-tree's leaves, the widest side split at its median, and the half-open box of space of each."""
+    leaves, todo = [], [(np.arange(len(points)), np.full(points.shape[1], -np.inf), np.full(points.shape[1], np.inf))]
+    while todo:
+        own, low, high = todo.pop(0)
+        side = int(np.argmax(np.ptp(points[own], axis=0))) if len(own) else 0
+        cut = float(np.median(points[own, side])) if len(own) else 0.0
+        left = points[own, side] < cut
+        if len(own) <= smallest or len(leaves) + len(todo) + 2 > most or not left.any():
+            leaves.append((own, low, high))
+            continue
+        lower, upper = high.copy(), low.copy()
+        lower[side] = upper[side] = cut
+        todo += [(own[left], low, lower), (own[~left], upper, high)]
+    return [x for x, _, _ in leaves], np.stack([x for _, x, _ in leaves]), np.stack([x for _, _, x in leaves])
+
+
+def box_distances(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each box."""
+    out = np.zeros((len(at), len(low)))
+    for k in range(at.shape[1]):
+        gap = np.maximum(np.maximum(low[None, :, k] - at[:, None, k], at[:, None, k] - high[None, :, k]), 0)
+        out += gap * gap
+    return out
+
+
+class Cells:
+    """The top of the tree: boxes that divide all of space."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        _, self.low, self.high = split(sample, max(1, len(sample) // cells), cells) if len(sample) else ([], np.full((1, DIRECTIONS), -np.inf), np.full((1, DIRECTIONS), np.inf))
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        out = np.zeros(len(points), np.int32)
+        for i in range(0, len(points), 1024):
+            part = points[i : i + 1024]
+            inside = np.ones((len(part), len(self.low)), bool)
+            for k in range(DIRECTIONS):
+                inside &= (part[:, None, k] >= self.low[None, :, k]) & (part[:, None, k] < self.high[None, :, k])
+            out[i : i + 1024] = inside.argmax(axis=1)
+        return out
+
+
+class Block:
+    """The vectors of one task: their projections in the leaves of a kd-tree."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, norm: float):
+        self.ids, self.x, self.norm, self.verified = ids, x, norm, 0
+        self.points = projected(x, norm)
+        leaves, *_ = split(self.points, LEAF)
+        self.size = np.array([len(own) for own in leaves])
+        self.rows = np.full((len(leaves), int(self.size.max())), -1)
         for i, own in enumerate(leaves):
             self.rows[i, : len(own)] = own
-        self.low = np.stack([points[own].min(axis=0) for own in leaves])
-        self.high = np.stack([points[own].max(axis=0) for own in leaves])
+        self.low = np.stack([self.points[own].min(axis=0) for own in leaves])
+        self.high = np.stack([self.points[own].max(axis=0) for own in leaves])
 
-    def boxes(self, at: np.ndarray) -> np.ndarray:
-        """Squared distance of each query to the box of each leaf."""
-        gap = np.maximum(np.maximum(self.low[None] - at[:, None], at[:, None] - self.high[None]), 0)
-        return np.einsum("qld,qld->ql", gap, gap)
+    def search(self, names: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, vec_id, score) with up to k found neighbours of each query; `bound` is a k-th score known before, or -inf."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        step = max(1, GATHER // (self.rows.shape[1] * max(self.x.shape[1], 16)))
+        for i in range(0, len(q), step):
+            row, name, score = self._search(names[i : i + step], q[i : i + step], bound[i : i + step], k, limit)
+            out.append((row + i, name, score))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, norm: float, k: int, sure: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query row, vec_id, score) arrays with up to k found neighbours of each query in one block."""
-    gauss = projection(x.shape[1] + 1)
-    lift = np.sqrt(np.maximum(norm * norm - np.einsum("nd,nd->n", x, x), 0))
-    tree = Tree(np.column_stack([x, lift]) @ gauss)
-    box = tree.boxes(q @ gauss[:-1])
-    order = np.argsort(box, axis=1, kind="stable")
-    box = np.take_along_axis(box, order, axis=1)
-    far = norm * norm + np.einsum("qd,qd->q", q, q)
-    score, found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-    active = np.arange(len(q))
-    for step in range(box.shape[1]):
-        kth = score[active, -1]
-        distance = np.where(np.isfinite(kth), np.maximum(far[active] - 2 * np.where(np.isfinite(kth), kth, 0), 1e-300), np.inf)
-        active = active[~(np.isfinite(kth) & (chi_square_cdf(box[active, step] / distance, DIRECTIONS) > sure))]
-        if not len(active):
-            break
-        rows = tree.rows[order[active, step]]
-        value = np.einsum("qld,qd->ql", x[rows], q[active])
-        name = ids[rows]
-        value[(rows < 0) | (name == query_ids[active, None])] = -np.inf
-        value, name = np.column_stack([score[active], value]), np.column_stack([found[active], np.where(np.isfinite(value), name, np.iinfo(np.int64).max)])
-        best = np.lexsort((name, -value), axis=1)[:, :k]
-        score[active], found[active] = np.take_along_axis(value, best, axis=1), np.take_along_axis(name, best, axis=1)
-    query, place = np.nonzero(np.isfinite(score))
-    yield query, found[query, place], score[query, place]
+    def _search(self, names: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = q @ projection(q.shape[1])[:-1]
+        box = box_distances(at, self.low, self.high)
+        order = np.argsort(box, axis=1, kind="stable")
+        box = np.take_along_axis(box, order, axis=1)
+        far = self.norm * self.norm + np.einsum("qd,qd->q", q, q)
+        score, found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        active = np.arange(len(q))
+        for step in range(box.shape[1]):
+            # The stopping test: beyond this projected distance a point as near as the k-th is too unlikely.
+            kth = np.maximum(score[active, -1], bound[active])
+            radius = np.where(np.isfinite(kth), np.maximum(far[active] - 2 * np.where(np.isfinite(kth), kth, 0), 1e-300) * limit, np.inf)
+            on = box[active, step] <= radius
+            active, radius = active[on], radius[on]
+            if not len(active):
+                break
+            rows = self.rows[order[active, step]]
+            gap = self.points[rows] - at[active][:, None]
+            near = (np.einsum("qld,qld->ql", gap, gap) <= radius[:, None]) & (rows >= 0) & (self.ids[rows] != names[active, None])
+            query, place = np.nonzero(near)
+            self.verified += len(query)
+            value, name = np.full(rows.shape, -np.inf), np.full(rows.shape, np.iinfo(np.int64).max)
+            value[query, place] = np.einsum("pd,pd->p", self.x[rows[query, place]], q[active[query]])
+            name[query, place] = self.ids[rows[query, place]]
+            value, name = np.column_stack([score[active], value]), np.column_stack([found[active], name])
+            best = np.lexsort((name, -value), axis=1)[:, :k]
+            score[active], found[active] = np.take_along_axis(value, best, axis=1), np.take_along_axis(name, best, axis=1)
+        query, place = np.nonzero(np.isfinite(score))
+        return query, found[query, place], score[query, place]
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -99,14 +165,63 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(rows, -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sure: float = 0.97) -> DataFrame:
+def _placed(df: DataFrame, shared, norm: float | None) -> DataFrame:
+    """Add the cell of each vector; queries (no norm) lie in the plane of the added coordinate."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(1), batch.num_rows)
+                points = x @ projection(x.shape[1])[:-1] if norm is None else projected(x, norm)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.of(points))], names=["vec_id", "embedding", "cell"])
+
+    return df.select("vec_id", "embedding").mapInArrow(task, "vec_id long, embedding array<double>, cell int")
+
+
+def _searched(vectors: DataFrame, queries: DataFrame, norm: float, width: int, k: int, sure: float) -> DataFrame:
+    """(query_id, vec_id, score) of the queries in the cells they are dealt to; a cell with many vectors or queries is several groups."""
+    limit, rows = chi_square_limit(sure), max(256, GROUP_DOUBLES // width)
+    sizes = vectors.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / min(rows, 2 * CELL_ROWS)).alias("x_parts"))
+    visits = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).alias("q_parts"))
+    parts = F.broadcast(sizes.join(visits, "cell"))  # a row for each cell, CELLS at most
+    split_by = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = vectors.join(parts, "cell").select("cell", split_by("x_parts").alias("x_part"), every("q_parts").alias("q_part"), "vec_id", "embedding")
+    right = queries.join(parts, "cell").select("cell", every("x_parts").alias("x_part"), split_by("q_parts").alias("q_part"), "vec_id", "embedding", "kth")
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        r, v, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        names = b.column("vec_id").to_numpy()
+        if a.num_rows and b.num_rows:
+            block = Block(a.column("vec_id").to_numpy(), _matrix(a.column("embedding"), a.num_rows), norm)
+            bound = b.column("kth").fill_null(-np.inf).to_numpy()
+            r, v, s = block.search(names, _matrix(b.column("embedding"), b.num_rows), bound, k, limit)
+        return pa.table({"query_id": pa.array(names[r], pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    keys = ["cell", "x_part", "q_part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; of one vec_id with several vectors the nearest counts."""
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sure: float = 0.95) -> DataFrame:
     """For each query its k nearest rows of `vectors` by inner product: query_id, rank (from 1), vec_id, score.
 
     Both inputs hold vec_id and embedding; a row is no neighbour of the query with its own vec_id.  Nearest first, ties to
-    the smaller vec_id; all candidates if there are fewer than k.  Vectors that are null, zero, hold null or non-finite
+    the smaller vec_id; all candidates if there are fewer than k are found.  Vectors that are null, zero, hold null or non-finite
     components or have another length than that of the smallest vec_id take no part, nor do rows without a vec_id.  Of rows that share
-    vec_id and vector one counts.  Every row is indexed; `sure` is the chance with which a neighbour nearer than the
-    k-th found has been seen before a block's search stops.  Empty tables give an empty table.
+    vec_id and vector one counts; a vec_id with several vectors counts once, with the nearest, and as a query with the
+    smallest.  The tree's top is fitted on SAMPLE rows at most, every row is indexed, and `sure` is the least chance with
+    which a neighbour nearer than the k-th is seen before a search stops.  Empty tables give an empty table.
+
+    Vectors are shuffled once for each of the two rounds and queries once for each cell in their stopping radius: in
+    proportion to the tables where the data have clusters.  Where they have none, as with independent Gaussian vectors of many
+    dimensions, that radius holds most cells, and no index of this kind can do better.
     """
     spark = vectors.sparkSession
     lean_batches(spark)
@@ -119,29 +234,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sure: float = 0
     x, q = valid(vectors), valid(queries)
     squared = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
     facts = x.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(squared)).alias("norm"), F.min_by(F.size("embedding"), "vec_id").alias("width")).first()
-    width, norm, blocks_ = int(facts.width or 0), float(facts.norm or 0), max(1, -(-facts.n // BLOCK_ROWS))
+    width, norm, n = int(facts.width or 1), float(facts.norm or 0), facts.n
     x, q = x.where(F.size("embedding") == width), q.where(F.size("embedding") == width)
-    sets = max(1, -(-q.count() // QUERY_ROWS))
     # Of equal vectors only the k + 1 smallest ids can be anybody's neighbours.
     x = x.dropDuplicates(["vec_id", "embedding"])
     x = x.withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth")
-    spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = x.select(spread(blocks_, "x").alias("block"), every(sets).alias("part"), "vec_id", "embedding")
-    right = q.dropDuplicates(["vec_id"]).select(every(blocks_).alias("block"), spread(sets, "q").alias("part"), "vec_id", "embedding")
+    q = q.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # A bounded sample fits the boxes; ids are hashed, so it does not depend on partitions.
+    share = min(1.0, SAMPLE / max(n, 1))
+    sample = x.where(F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE).select("embedding").toArrow()
+    fitted = Cells(projected(_matrix(sample.column(0), sample.num_rows), norm) if sample.num_rows else np.zeros((0, DIRECTIONS)), int(min(CELLS, max(1, -(-n // CELL_ROWS)))))
+    shared = spark.sparkContext.broadcast(fitted)  # two bounds for each cell and direction
+    x, q = saved(_placed(x, shared, norm), "vectors"), saved(_placed(q, shared, None), "queries")
+    first = saved(_searched(x, q.withColumn("kth", F.lit(None).cast("double")), norm, width, k, sure), "first")
+    if len(fitted.low) == 1:
+        return _best(first, k).select("query_id", "rank", "vec_id", "score")
+    kth = _best(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    limit = chi_square_limit(sure)
 
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64),) * 3]
-        if a.num_rows and b.num_rows:
-            ids, names = (t.column("vec_id").to_numpy() for t in (a, b))
-            out = list(search(ids, _matrix(a.column("embedding"), a.num_rows), names, _matrix(b.column("embedding"), b.num_rows), norm, k, sure))
-            out = [(names[r], v, s) for r, v, s in out]
-        r, v, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"query_id": pa.array(r, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each other cell in the stopping radius of a query."""
+        cells = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                own = _matrix(part.column("embedding"), part.num_rows)
+                known = part.column("kth").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                near = norm * norm + np.einsum("qd,qd->q", own, own) - 2 * np.where(np.isfinite(known), known, 0)
+                radius = np.where(np.isfinite(known), np.maximum(near, 1e-300) * limit, np.inf)
+                visit = box_distances(own @ projection(own.shape[1])[:-1], cells.low, cells.high) <= radius[:, None]
+                visit[np.arange(part.num_rows), part.column("cell").to_numpy()] = False
+                row, to = np.nonzero(visit)
+                took = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([took.column("vec_id"), took.column("embedding"), took.column("kth"), pa.array(to.astype(np.int32))], names=["vec_id", "embedding", "kth", "cell"])
 
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(cell, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    again = q.join(kth, "vec_id", "left").select("vec_id", "embedding", "cell", "kth").mapInArrow(further, "vec_id long, embedding array<double>, kth double, cell int")
+    found = first.unionByName(_searched(x, again, norm, width, k, sure))
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
