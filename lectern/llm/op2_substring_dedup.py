@@ -1,9 +1,10 @@
 """Substring deduplication by level-wise doubling over words.
 
-Level one asks which windows of half the wanted length occur again; it looks at one
-anchor window in each stretch of text (see repeats.py).  Windows that are repeated at
-that length alone are extended to twice the length and compared there in full; what does
-not survive a level is never looked at again.
+Level one asks which windows of a quarter of the wanted length (13 words of 50) occur again.  Where
+they do, twice that length is asked for (25 words), and of what is repeated there again twice (50 words); what is not
+repeated at a level is never looked at again, and no level is begun once no candidates are left.  The first two
+levels look at one window for each stretch of text, the last one at every window of the stretches that are left
+(see repeats.py); equal stretches are one candidate.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .repeats import by_document, listed, split_runs
-from .shared import document_columns, lean_batches, saved
+from .shared import document_columns, lean_batches, saved, split_join
 from .textblock import BASES, Prefix, Words, blocks, merge_ranges, mix, text_bytes
 
 WINDOWS = "a long, b long, doc_id long, lo long"
@@ -70,16 +71,19 @@ def dedup_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     Windows are judged on the input, so the result does not depend on order or partitions.
     A null or blank text has no words and gives an empty text.  Rows that share a doc_id never remove each
     other's words, and a range found in one of them counts for each, within its length.  Rows without a doc_id are
-    returned whole.  An empty table gives an empty table.
+    returned whole.  A text longer than a block is searched in overlapping pieces.  An empty table gives an empty table.
     """
     lean_batches(docs.sparkSession)
     docs = document_columns(docs)
-    copies, open_runs = split_runs(docs, "words", min_words, max(1, min_words // 2), within=False)
+    copies, open_runs = split_runs(docs, "words", min_words, max(1, min_words // 2), within=False, levels=("g", "h"))
     covers = lambda df: df.select("doc_id", "lo", (F.col("n") + (min_words - 1)).cast("long").alias("n"))
-    windows = saved(by_document(docs, open_runs, "inner").mapInArrow(_windows(min_words), WINDOWS), "windows")
-    first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("o_doc"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    later = windows.join(first.hint("shuffle_hash"), ["a", "b"]).where("doc_id > o_doc").select("doc_id", "lo", F.lit(1).alias("n"))
-    return by_document(docs, covers(copies).unionByName(covers(later)), "left").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, text string")
+    ranges = covers(copies)
+    if not open_runs.isEmpty():
+        windows = saved(by_document(docs, open_runs, "inner").mapInArrow(_windows(min_words), WINDOWS), "windows")
+        first = saved(windows.groupBy("a", "b").agg(F.min("doc_id").alias("o_doc"), F.count(F.lit(1)).alias("k")).where("k > 1"), "first")
+        later = split_join(windows, first, ["a", "b"], "k").where("doc_id > o_doc").select("doc_id", "lo", F.lit(1).alias("n"))
+        ranges = ranges.unionByName(covers(later))
+    return by_document(docs, ranges, "left").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, text string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Removal of repeated byte strings by suffix arrays.
 
-repeats.py narrows the corpus to the stretches whose windows may repeat without their whole
-run repeating.  These are dealt into shards so that equal windows always share a shard: by
-their anchor or, where an anchor leads very many stretches, window by window.  Each
-shard is sorted by external induced sorting (induced.py); neighbours in the suffix
-array that share `length` bytes are copies of one string, of which the first stays.
+repeats.py narrows the corpus to the stretches whose windows may repeat elsewhere; equal stretches are
+aggregated there and enter once, so that no group of copies meets in one task.  Stretches are dealt into shards by
+their anchor, so that equal windows always share a shard.  Each shard is sorted by external induced
+sorting (induced.py); neighbours in the suffix array that share `length` bytes are copies of one string, of which the
+first stays.  An anchor with more different stretches than fit a shard is counted window by window instead.
 """
 
 from __future__ import annotations
@@ -16,44 +16,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .induced import sort_strings
+from .induced import QUEUED, sort_strings
 from .repeats import by_document, listed, split_runs
-from .shared import lean_batches
-from .textblock import BASES, Prefix, blocks, merge_ranges, mix, text_bytes
+from .shared import lean_batches, saved, split_join
+from .textblock import BASES, BLOCK_BYTES, Prefix, blocks, merge_ranges, mix, text_bytes
 
 #: Stands for a missing doc_id inside.
 NO_ID = -(1 << 63)
-#: An anchor that leads more stretches than this is dealt out window by window.
-HOT = 20_000
+#: An anchor that leads more different stretches than this (some 15 MB of text) is counted window by window.
+HOT = 100_000
 #: A shard is sorted when it holds this many bytes and its last key is complete.
-SHARD_BYTES = 3 << 19
+SHARD_BYTES = 4 << 20
+#: Suffixes whose groups are looked at together.
+GROUPED = 1 << 20
 STRETCHES = "key long, doc_id long, lo long, n int, bytes binary"
+WINDOWS = "a long, b long, doc_id long, lo long"
+
+
+def _listed_runs(block: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first byte in the block, first window, windows, place in the list) of each listed run, within its text."""
+    _, at = text_bytes(block.column(1))
+    row, lo, n = listed(block.column(2), block.num_rows)
+    n = np.minimum(n, np.diff(at)[row] - length + 1 - lo)
+    good = np.flatnonzero(n > 0)
+    return row[good], at[row[good]] + lo[good], lo[good], n[good], good
 
 
 def _stretches(length: int):
-    """The bytes of each listed run, keyed by its anchor; for hot anchors each window by itself, keyed by its content."""
+    """The bytes of each listed run, keyed by its anchor."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            raw, at = text_bytes(block.column(1))
-            row, lo, n = listed(block.column(2), block.num_rows)
+            row, start, lo, n, good = _listed_runs(block, length)
             if not len(row):
                 continue
-            flat = block.column(2).flatten()
-            key, hot = np.asarray(flat.field(2)), np.asarray(flat.field(3).fill_null(False).to_pylist(), bool)
-            n = np.minimum(n, np.diff(at)[row] - length + 1 - lo)
-            good = n > 0
-            row, lo, n, key, hot = row[good], lo[good], n[good], key[good], hot[good]
-            if hot.any():
-                many = np.where(hot, n, 1)
-                part = np.arange(many.sum()) - np.repeat(np.append(0, np.cumsum(many)[:-1]), many)
-                row, lo, n, key, hot = (np.repeat(x, many) for x in (row, lo, n, key, hot))
-                lo, n = lo + part, np.where(hot, 1, n)
-                start = at[row] + lo
-                own = mix(Prefix(raw.astype(np.uint64) + np.uint64(1), BASES[3]).ranges(start, start + length)).view(np.int64)
-                key = np.where(hot, own, key)
-            start = at[row] + lo
-            data = raw.tobytes()
+            key, data = np.asarray(block.column(2).flatten().field(2))[good], text_bytes(block.column(1))[0].tobytes()
             cut = [data[a:b] for a, b in zip(start.tolist(), (start + n + (length - 1)).tolist(), strict=True)]
             ids = block.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(cut, pa.binary())], names=["key", "doc_id", "lo", "n", "bytes"])
@@ -61,31 +58,60 @@ def _stretches(length: int):
     return task
 
 
-def repeated_windows(doc_id: np.ndarray, lo: np.ndarray, n: np.ndarray, raw: np.ndarray, length: int) -> pa.RecordBatch:
+def _windows(length: int):
+    """Two independent hashes for each window of the listed runs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            row, start, lo, n, _ = _listed_runs(block, length)
+            raw = text_bytes(block.column(1))[0]
+            ids = block.column(0).to_numpy(zero_copy_only=False)
+            for r, s, w, k in zip(row.tolist(), start.tolist(), lo.tolist(), n.tolist(), strict=True):
+                for i in range(0, k, BLOCK_BYTES):
+                    part = raw[s + i : s + min(k, i + BLOCK_BYTES) + length - 1].astype(np.uint64) + np.uint64(1)
+                    a, b = (mix(Prefix(part, x).windows(length)).view(np.int64) for x in (BASES[2], BASES[3]))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), ids[r])), pa.array(w + i + np.arange(len(a)))], names=["a", "b", "doc_id", "lo"])
+
+    return task
+
+
+def repeated_windows(doc_id: np.ndarray, lo: np.ndarray, n: np.ndarray, raw: np.ndarray, length: int, budget: int = QUEUED) -> pa.RecordBatch:
     """(doc_id, lo, n) ranges of windows of one shard that repeat an earlier window of it."""
+    n = n.astype(np.int64)
     order = np.lexsort((lo, doc_id))
-    first = np.empty(len(order), np.int64)  # rank of each stretch's first window by document and place
-    first[order] = np.append(0, np.cumsum(n[order])[:-1])
-    sizes = n.astype(np.int64) + (length - 1)
-    ends = np.cumsum(sizes)
-    suffix, prefix = sort_strings(raw, ends, length)
-    same = prefix >= length
-    near = np.flatnonzero(same | np.append(same[1:], False))
-    at, same = suffix[near], same[near]
-    stretch = np.searchsorted(ends + np.arange(len(ends)), at, "right")
-    offset = at - (ends - sizes + np.arange(len(ends)))[stretch]
-    rank = first[stretch] + offset
-    group = np.flatnonzero(~same)
-    least = np.minimum.reduceat(rank, group) if len(group) else rank[:0]
-    later = rank != np.repeat(least, np.diff(np.append(group, len(rank))))
-    stretch, offset = stretch[later], offset[later]
-    order = np.lexsort((offset, stretch))
-    stretch, offset = stretch[order], offset[order]
-    new = np.ones(len(stretch), bool)
-    new[1:] = (stretch[1:] != stretch[:-1]) | (offset[1:] != offset[:-1] + 1)
+    rank = np.empty(len(order), np.int64)  # of each stretch's first window by document and place
+    rank[order] = np.append(0, np.cumsum(n[order])[:-1])
+    ends, window = np.cumsum(n + (length - 1)), np.cumsum(n) - n
+    begin = ends - n - (length - 1) + np.arange(len(ends)) + 1
+    later = np.zeros(int(n.sum()), bool)
+    for at, prefix in sort_strings(raw, ends, length, budget):
+        same = prefix >= length
+        near = np.flatnonzero(same | np.append(same[1:], False))
+        if not len(near):
+            continue
+        at, group = at[near], np.cumsum(~same[near]) - 1
+        least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+
+        def place(i: int, at: np.ndarray = at) -> tuple[np.ndarray, np.ndarray]:
+            stretch = np.searchsorted(begin, at[i : i + GROUPED], "right") - 1
+            return stretch, at[i : i + GROUPED] - begin[stretch]
+
+        for i in range(0, len(at), GROUPED):
+            stretch, offset = place(i)
+            own = group[i : i + GROUPED]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            least[own[first]] = np.minimum(least[own[first]], np.minimum.reduceat(rank[stretch] + offset, first))
+        for i in range(0, len(at), GROUPED):
+            stretch, offset = place(i)
+            later[window[stretch] + offset] = rank[stretch] + offset != least[group[i : i + GROUPED]]
+    found = np.flatnonzero(later)
+    stretch = np.searchsorted(window, found, "right") - 1
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1] + 1) | (stretch[1:] != stretch[:-1])
     start = np.flatnonzero(new)
-    count = np.diff(np.append(start, len(stretch)))
-    return pa.RecordBatch.from_arrays([pa.array(doc_id[stretch[start]]), pa.array(lo[stretch[start]] + offset[start]), pa.array(count, pa.int64())], names=["doc_id", "lo", "n"])
+    count = np.diff(np.append(start, len(found)))
+    stretch, offset = stretch[start], found[start] - window[stretch[start]]
+    return pa.RecordBatch.from_arrays([pa.array(doc_id[stretch]), pa.array(lo[stretch] + offset), pa.array(count, pa.int64())], names=["doc_id", "lo", "n"])
 
 
 def _sort_shards(length: int):
@@ -147,17 +173,24 @@ def dedup_bytes(docs: DataFrame, length: int = 100, anchor: int = 32) -> DataFra
     Earlier: in a smaller doc_id or before in the same document.  Reads doc_id and text; returns doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs) and kept (the other bytes, as binary).  Strings are judged on the input, overlaps
     count, and none crosses documents.  A null text is empty.  Rows that share a doc_id count as one document at the same places:
-    a range found in one of them counts for each, within its length.  Rows without a doc_id are returned whole.  An
-    empty table gives an empty table.  `length` may be up to 250, `anchor` any smaller number.
+    a range found in one of them counts for each, within its length.  Rows without a doc_id are returned whole.  A
+    text longer than a block is searched in overlapping pieces.  An empty table gives an empty table.  `length` may be up to 250, `anchor` any smaller number.
     """
     lean_batches(docs.sparkSession)
     # An id that is never null keeps the two joins below alike, so that the texts are shuffled once for both.
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     copies, open_runs = split_runs(docs.where(F.col("doc_id") != NO_ID), "bytes", length, anchor, within=True)
-    lists = open_runs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "h", (F.col("k") > HOT).alias("hot"))).alias("ranges"))
-    stretches = docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "ranges").mapInArrow(_stretches(length), STRETCHES)
-    shards = stretches.repartition("key").sortWithinPartitions("key")
+    # Lists keep the nulls of no group, so that the texts are shuffled once for the joins.
+    lists = lambda runs: runs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "h")).alias("ranges"))
+    texts = lambda runs: docs.join(lists(runs).hint("merge"), "doc_id").select("doc_id", "text", "ranges")
+    shards = texts(open_runs.where(F.col("k") <= HOT)).mapInArrow(_stretches(length), STRETCHES).repartition("key").sortWithinPartitions("key")
     later = shards.mapInArrow(_sort_shards(length), "doc_id long, lo long, n long")
+    hot = open_runs.where(F.col("k") > HOT)
+    if not hot.isEmpty():
+        windows = saved(texts(hot).mapInArrow(_windows(length), WINDOWS), "windows")
+        first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "lo")).alias("o"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        again = split_join(windows, saved(first, "first"), ["a", "b"], "k").where((F.col("doc_id") != F.col("o.doc_id")) | (F.col("lo") != F.col("o.lo")))
+        later = later.unionByName(again.select("doc_id", "lo", F.lit(1).cast("long").alias("n")))
     covers = lambda df: df.select("doc_id", "lo", (F.col("n") + (length - 1)).cast("long").alias("n"))
     ranges = covers(copies).unionByName(covers(later)).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     kept = by_document(docs, ranges, "left").mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.llm import induced
 from lectern.llm import op9_suffix_array as op9
-from lectern.llm.induced import Queues, sort_strings
 from lectern.llm.op1_line_dedup import common_blocks, dedup_lines, longest_common
 from lectern.llm.op2_substring_dedup import dedup_passages
 from lectern.llm.op4_decontamination import contaminated, without_contaminated
@@ -74,7 +74,7 @@ def brute_bytes(corpus, length):
     return want
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(20_000, 3 << 19), (0, 3 << 19), (20_000, 500)])
+@pytest.mark.parametrize(("hot", "shard"), [(20_000, 4 << 20), (0, 4 << 20), (20_000, 500)])
 def test_byte_strings(spark, corpus, monkeypatch, hot, shard):
     monkeypatch.setattr(op9, "HOT", hot)
     monkeypatch.setattr(op9, "SHARD_BYTES", shard)
@@ -83,16 +83,18 @@ def test_byte_strings(spark, corpus, monkeypatch, hot, shard):
 
 
 def test_induced_sorting(monkeypatch):
+    """Order and common prefixes of random strings, with queues that spill and steps of a few suffixes."""
     rng = random.Random(2)
-    for trial in range(150):
-        monkeypatch.setattr("lectern.llm.induced.SYMBOLS", 3 if trial % 5 == 0 else 4096)
-        monkeypatch.setattr(Queues.__init__, "__defaults__", (rng.choice([8, 1_000_000]),))
+    for _ in range(300):
+        monkeypatch.setattr(induced, "STEP", rng.choice([1, 3, 1 << 16]))
         letters = rng.choice([b"a", b"ab", b"abcd", bytes(range(256))])
-        strings = [bytes(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(rng.randrange(1, 7))]
+        strings = [bytes(rng.choice(letters) for _ in range(rng.randrange(1, rng.choice([6, 25, 80])))) for _ in range(rng.randrange(1, 7))]
         strings += strings[: rng.randrange(2)]
         cap = rng.choice([2, 9, 100])
-        order, prefix = sort_strings(strings, np.cumsum([len(s) for s in strings]), cap)
-        suffix, at = {}, 0
+        raw, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(s) for s in strings])
+        parts = list(induced.sort_strings(raw, ends, cap, rng.choice([8, 1 << 20])))[::-1]
+        order, prefix = np.concatenate([a for a, _ in parts]), np.concatenate([p for _, p in parts])
+        suffix, at = {}, 1
         for s in strings:
             suffix |= {at + i: s[i:] for i in range(len(s))}
             at += len(s) + 1
@@ -100,7 +102,30 @@ def test_induced_sorting(monkeypatch):
         for x, y, p in zip(order[:-1], order[1:], prefix[1:], strict=True):
             a, b = suffix[x], suffix[y]
             same = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
-            assert a <= b and p == min(same, cap)
+            assert a[:cap] <= b[:cap] and p == min(same, cap)
+
+
+def test_production_budget_spills():
+    """A shard of the usual size keeps its queues on disk, and finds what a hash set finds."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(97, 105, 300_000).astype(np.uint8)
+    n = np.full(20_000, 60)
+    lo = rng.integers(0, len(base) - 160, len(n))
+    raw = np.concatenate([base[a : a + 159] for a in lo])
+    assert len(raw) < op9.SHARD_BYTES
+    sorter = induced.Induction(induced.text_of(raw, np.cumsum(n + 99)), 256, 100)
+    assert sum(len(a) for a, _ in sorter.sort()) == len(raw) and sorter.spilled > 0
+    got = op9.repeated_windows(np.arange(len(n)), lo, n, raw, 100)
+    assert got.column(2).to_numpy().sum() == n.sum() - len(set(np.concatenate([np.arange(a, a + 60) for a in lo]).tolist()))
+
+
+def test_one_letter():
+    import resource
+
+    size = 10_000_000
+    found = op9.repeated_windows(np.array([1]), np.array([0]), np.array([size - 99]), np.full(size, 97, np.uint8), 100)
+    assert found.to_pylist() == [{"doc_id": 1, "lo": 1, "n": size - 100}]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_500_000  # in KB, the test session included
 
 
 def shingles(text):
