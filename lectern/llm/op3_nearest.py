@@ -26,8 +26,8 @@ from .shared import lean_batches, saved
 DIRECTIONS, LEAF = 16, 64
 #: Vectors that a cell is meant to hold, rows of the sample that the top of the tree is fitted on, cells at most.
 CELL_ROWS, SAMPLE, CELLS = 8192, 65536, 4096
-#: Doubles of one group of vectors or of queries in a task, and of one gather in a search.
-GROUP_DOUBLES, GATHER = 1 << 23, 1 << 21
+#: Doubles of one group of vectors or of queries in a task, and of one gather in a search; queries and leaves that meet at once.
+GROUP_DOUBLES, GATHER, QUERIES_AT_ONCE, LEAVES_AT_ONCE = 1 << 23, 1 << 20, 256, 16
 
 
 def chi_square_cdf(x: np.ndarray, freedom: int) -> np.ndarray:
@@ -122,42 +122,69 @@ class Block:
     def search(self, names: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, vec_id, score) with up to k found neighbours of each query; `bound` is a k-th score known before, or -inf."""
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        step = max(1, GATHER // (self.rows.shape[1] * max(self.x.shape[1], 16)))
-        for i in range(0, len(q), step):
-            row, name, score = self._search(names[i : i + step], q[i : i + step], bound[i : i + step], k, limit)
-            out.append((row + i, name, score))
+        at = q @ projection(q.shape[1])[:-1]
+        # Queries that lie together open the same leaves.
+        order = np.argsort(box_distances(at, self.low, self.high).argmin(axis=1), kind="stable")
+        for i in range(0, len(q), QUERIES_AT_ONCE):
+            own = order[i : i + QUERIES_AT_ONCE]
+            row, name, score = self._search(names[own], q[own], at[own], bound[own], k, limit)
+            out.append((own[row], name, score))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    def _search(self, names: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = q @ projection(q.shape[1])[:-1]
+    def _search(self, names: np.ndarray, q: np.ndarray, at: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         box = box_distances(at, self.low, self.high)
-        order = np.argsort(box, axis=1, kind="stable")
-        box = np.take_along_axis(box, order, axis=1)
         far = self.norm * self.norm + np.einsum("qd,qd->q", q, q)
         score, found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-        active = np.arange(len(q))
-        for step in range(box.shape[1]):
+        # Each query's own leaf gives a first k-th score.
+        own = box.argmin(axis=1)
+        for leaf in np.unique(own).tolist():
+            query, rows = np.flatnonzero(own == leaf), self.rows[leaf][self.rows[leaf] >= 0]
+            other = self.ids[rows][None, :] != names[query, None]
+            self.verified += int(other.sum())
+            self._merge(score, found, query, np.where(other, q[query] @ self.x[rows].T, -np.inf), rows, q, k)
+        # Then leaves from the nearest outwards, a few at a time; each query leaves out those beyond its own radius.
+        leaves = np.argsort(box.min(axis=0) + box.mean(axis=0), kind="stable")
+        for i in range(0, len(leaves), LEAVES_AT_ONCE):
+            some = leaves[i : i + LEAVES_AT_ONCE]
             # The stopping test: beyond this projected distance a point as near as the k-th is too unlikely.
-            kth = np.maximum(score[active, -1], bound[active])
-            radius = np.where(np.isfinite(kth), np.maximum(far[active] - 2 * np.where(np.isfinite(kth), kth, 0), 1e-300) * limit, np.inf)
-            on = box[active, step] <= radius
-            active, radius = active[on], radius[on]
-            if not len(active):
-                break
-            rows = self.rows[order[active, step]]
-            gap = self.points[rows] - at[active][:, None]
-            near = (np.einsum("qld,qld->ql", gap, gap) <= radius[:, None]) & (rows >= 0) & (self.ids[rows] != names[active, None])
-            query, place = np.nonzero(near)
-            self.verified += len(query)
-            value, name = np.full(rows.shape, -np.inf), np.full(rows.shape, np.iinfo(np.int64).max)
-            value[query, place] = np.einsum("pd,pd->p", self.x[rows[query, place]], q[active[query]])
-            name[query, place] = self.ids[rows[query, place]]
-            value, name = np.column_stack([score[active], value]), np.column_stack([found[active], name])
-            best = np.lexsort((name, -value), axis=1)[:, :k]
-            score[active], found[active] = np.take_along_axis(value, best, axis=1), np.take_along_axis(name, best, axis=1)
+            kth = np.maximum(score[:, -1], bound)
+            radius = np.where(np.isfinite(kth), np.maximum(far - 2 * np.where(np.isfinite(kth), kth, 0), 1e-300) * limit, np.inf)
+            open_ = (box[:, some] <= radius[:, None]) & (some[None, :] != own[:, None])
+            query, leaf = np.flatnonzero(open_.any(axis=1)), some[open_.any(axis=0)]
+            if not len(query):
+                continue
+            taken = self.rows[leaf] >= 0
+            rows, of = self.rows[leaf][taken], np.repeat(leaf, taken.sum(axis=1))
+            gap = np.einsum("qd,qd->q", at[query], at[query])[:, None] + np.einsum("pd,pd->p", self.points[rows], self.points[rows])[None, :] - 2 * (at[query] @ self.points[rows].T)
+            near = (gap <= radius[query, None] * (1 + 1e-9) + 1e-9) & (of[None, :] != own[query, None]) & (self.ids[rows][None, :] != names[query, None])
+            self.verified += int(near.sum())
+            # Where only a few are near these are looked at one by one, else by one product of matrices.
+            value = np.full(near.shape, -np.inf)
+            if near.mean() > 0.05:
+                value[near] = (q[query] @ self.x[rows].T)[near]
+            else:
+                a, b = np.nonzero(near)
+                for j in range(0, len(a), GATHER // self.x.shape[1] + 1):
+                    part = slice(j, j + GATHER // self.x.shape[1] + 1)
+                    value[a[part], b[part]] = np.einsum("pd,pd->p", self.x[rows[b[part]]], q[query[a[part]]])
+            self._merge(score, found, query, value, rows, q, k)
         query, place = np.nonzero(np.isfinite(score))
         return query, found[query, place], score[query, place]
 
+    def _merge(self, score: np.ndarray, found: np.ndarray, query: np.ndarray, value: np.ndarray, rows: np.ndarray, q: np.ndarray, k: int) -> None:
+        """Take up what is among the k best of its query, ties to smaller ids; products are made anew, so that equal vectors have equal scores."""
+        least = np.maximum(score[query, -1], np.partition(value, -k, axis=1)[:, -k] if value.shape[1] > k else -np.inf)
+        a, b = np.nonzero((value > -np.inf) & (value >= (least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0)) - 1e-300)[:, None]))
+        touched = np.unique(a)
+        old = query[touched]
+        row = np.concatenate([np.repeat(touched, k), a])
+        exact = np.einsum("pd,pd->p", self.x[rows[b]], q[query[a]])
+        new_score, new_name = np.concatenate([score[old].ravel(), exact]), np.concatenate([found[old].ravel(), self.ids[rows[b]]])
+        order = np.lexsort((new_name, -new_score, row))
+        row, new_score, new_name = row[order], new_score[order], new_name[order]
+        place = np.searchsorted(row, touched)[:, None] + np.arange(k)[None, :]
+        score[old], found[old] = new_score[place], new_name[place]
+
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
