@@ -12,7 +12,8 @@ compared with every item that it shares that many shingles with, and none is los
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
+from collections import Counter, OrderedDict
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -27,8 +28,12 @@ from .shared import document_columns, lean_batches
 from .textblock import BASES, LOWER, Prefix, Words, blocks, mix, text_bytes
 
 RADIUS, BLOCKS = 16, 4
-#: Items of one broadcast; larger benchmarks take several passes over the documents.
+#: Items of one broadcast.  A larger benchmark is dealt into groups, and only texts that share enough shingles with an item go on to its group.
 ITEMS_AT_ONCE = 1000
+#: Groups whose index one worker keeps.
+KEPT = 4
+#: Windows that are fingerprinted together, in words.
+STRETCH = 1 << 14
 _NEAR = np.array([sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(64 // BLOCKS), r)], np.int64)
 
 
@@ -45,7 +50,7 @@ def fingerprints(words: np.ndarray, length: int, starts: np.ndarray) -> np.ndarr
 
 
 class Items:
-    """The items of one pass, with their index; made once in each Python worker."""
+    """The items of one broadcast, with their index; made once in each Python worker (see made())."""
 
     def __init__(self, ids: list[int], texts: list[str], size: int):
         raw, at = text_bytes(pa.array(texts, pa.string()))
@@ -188,11 +193,25 @@ def _passes(docs: DataFrame, items: DataFrame) -> list[Broadcast]:
     return [docs.sparkSession.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in part.collect()})) for part in parts]
 
 
+_MADE: OrderedDict[tuple[str, int], Items] = OrderedDict()
+
+
+def made(name: str, shared: Broadcast, size: int) -> Items:
+    """The items of a broadcast with their index: a worker serves many tasks and keeps a few of them."""
+    if (name, size) not in _MADE:
+        _MADE[name, size] = Items([r[0] for r in shared.value], [r[1] for r in shared.value], size)
+        while len(_MADE) > KEPT:
+            _MADE.popitem(last=False)
+    _MADE.move_to_end((name, size))
+    return _MADE[name, size]
+
+
 def _task(shared: Broadcast, least: float, size: int, rows: Callable):
     """For each block of texts `rows` of the block and its (row, matches) that may match at all."""
+    name = uuid.uuid4().hex  # of this broadcast, on every worker
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items([r[0] for r in shared.value], [r[1] for r in shared.value], size)
+        known = made(name, shared, size)
         for block in blocks(batches, "text"):
             raw, at = text_bytes(block.column("text"))
             words = Words(LOWER[raw], at)

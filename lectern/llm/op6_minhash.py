@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import document_columns, lean_batches, saved
+from .shared import document_columns, lean_batches, saved, split_join
 from .textblock import BASES, LOWER, Prefix, Words, blocks, mix, text_bytes
 
 HASHES, BANDED, ROWS, BITS = 768, 128, 4, 2
@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     Reads doc_id and text; returns doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept
     (doc_id = component_id).  Words are lower-cased from A to Z.  A null, empty or blank text has no shingles, links
     with nothing and is kept; so is a row without a doc_id (its component_id and kept are null).  Rows that share a doc_id
-    are one vertex of several sets.  An empty table gives an empty table.
+    are one vertex of several sets.  A very long text is one set in one task, some 100 bytes for each of its words.  An empty
+    table gives an empty table.
     """
     lean_batches(docs.sparkSession)
     docs = document_columns(docs)
@@ -153,12 +154,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     buckets = classes.select("id", F.posexplode("bands").alias("band", "key"))
     close = (similarity("l.sig", "r.sig") >= LEAST_ESTIMATE) & (100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles"))
     # Rows of buckets that several share; how often a document meets others there tells how central it is.
-    again = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    rows = saved(buckets.join(again.hint("shuffle_hash"), "key"), "buckets")
+    again = saved(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "again")
+    rows = saved(split_join(buckets, again.select("key", "k", F.col("k").alias("n")), ["key"], "n"), "buckets")
     central = rows.groupBy("id").agg(F.sum("k").alias("met"))
     # Each bucket is led by its most central member, and each member is compared with the most central of its leaders.
-    lead = rows.join(central.hint("shuffle_hash"), "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("lead"))
-    led = rows.join(lead.hint("shuffle_hash"), "key").where(F.col("lead.minus") != -F.col("id")).groupBy("id").agg(F.max("lead").alias("lead"))
+    lead = rows.join(central.hint("shuffle_hash"), "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("lead"), F.count(F.lit(1)).alias("n"))
+    led = split_join(rows, saved(lead, "leads"), ["key"], "n").where(F.col("lead.minus") != -F.col("id")).groupBy("id").agg(F.max("lead").alias("lead"))
     leader = -F.col("lead.minus")
     pairs = led.select(F.least("id", leader).alias("a"), F.greatest("id", leader).alias("b")).distinct()
     signed = classes.select("id", "n_shingles", "sig")
@@ -167,16 +168,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     labels = components(links)
     # Buckets that still hold several components: each member with the members of other components near its size,
     # once for each pair, in the first band that both share.
-    # For that comparison 32 bits of a band key do: two of them agree by chance far more rarely than a pair shares no band.
-    short = F.transform("bands", lambda k: k.bitwiseAND((1 << 31) - 1).cast("int")).alias("short")
-    grouped = classes.select("id", "n_shingles", short, "sig").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    grouped = classes.select("id", "n_shingles", "bands", "sig").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     grouped = grouped.withColumn("step", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))))
     members = rows.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = rows.select("key", "id", "band").join(mixed.hint("shuffle_hash"), "key")
+    mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n")
+    rest = split_join(rows.select("key", "id", "band"), saved(mixed, "mixed"), ["key"], "n")
     rest = saved(rest.join(grouped.hint("shuffle_hash"), "id"), "mixed")
     left = rest.withColumn("step", F.explode(F.array("step", F.col("step") + 1))).alias("l")
-    first_shared = F.least(*[F.when(F.col("l.short")[i] == F.col("r.short")[i], i).otherwise(HASHES) for i in range(BANDED // ROWS)])
+    first_shared = F.least(*[F.when(F.col("l.bands")[i] == F.col("r.bands")[i], i).otherwise(HASHES) for i in range(BANDED // ROWS)])
     ordered = F.struct("l.n_shingles", "l.id") < F.struct("r.n_shingles", "r.id")
     cross = left.join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.step") == F.col("r.step")) & (F.col("l.label") != F.col("r.label")) & ordered & close & (F.col("l.band") == first_shared))
     more = confirmed(docs, cross.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")), size, percent)

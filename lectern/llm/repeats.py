@@ -121,8 +121,9 @@ def split_runs(docs: DataFrame, by: str, length: int, anchor: int, within: bool,
     stretch = saved(stretch.select("h", "c", F.col("o.doc_id").alias("o_doc"), F.col("o.lo").alias("o_lo"), "twice", "n", "m"), "stretches")
     copied = split_join(runs.select("h", "c", "doc_id", "lo", "n"), stretch.where("m > 1").select("h", "c", "o_doc", "o_lo", "m"), ["h", "c"], "m")
     first = (F.col("doc_id") == F.col("o_doc")) & ((F.col("lo") == F.col("o_lo")) | F.lit(not within))
-    several = stretch.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("twice")).where((F.col("k") > 1) | (F.col("twice") & F.lit(within))).select("h", "k")
-    open_runs = stretch.select("h", F.col("o_doc").alias("doc_id"), F.col("o_lo").alias("lo"), "n").join(several, "h")
+    several = stretch.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("twice")).where((F.col("k") > 1) | (F.col("twice") & F.lit(within)))
+    several = saved(several.select("h", "k", F.col("k").alias("rows")), "several")
+    open_runs = split_join(stretch.select("h", F.col("o_doc").alias("doc_id"), F.col("o_lo").alias("lo"), "n"), several, ["h"], "rows")
     return copied.where(~first).select("doc_id", "lo", "n"), open_runs
 
 
