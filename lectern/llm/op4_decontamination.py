@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import document_columns, lean_batches
+from .shared import document_columns, lean_batches, saved
 from .textblock import BASES, LOWER, Prefix, Words, blocks, mix, text_bytes
 
 RADIUS, BLOCKS = 16, 4
@@ -32,8 +32,8 @@ RADIUS, BLOCKS = 16, 4
 ITEMS_AT_ONCE = 1000
 #: Groups whose index one worker keeps.
 KEPT = 4
-#: Windows that are fingerprinted together, in words.
-STRETCH = 1 << 14
+#: Windows that are fingerprinted together, in words; shingles of all items that are broadcast.
+STRETCH, BROADCAST_SHINGLES = 1 << 14, 1 << 23
 _NEAR = np.array([sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(64 // BLOCKS), r)], np.int64)
 
 
@@ -73,9 +73,9 @@ class Items:
         tables = []
         for b in range(BLOCKS):
             value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            near = (value[:, None] ^ _NEAR[None, :]).ravel()
+            near = (value[:, None] ^ _NEAR[None, :]).astype(np.uint16).ravel()
             order = np.argsort(near, kind="stable")
-            tables.append((near[order], np.repeat(np.arange(len(ks)), len(_NEAR))[order]))
+            tables.append((near[order], np.repeat(np.arange(len(ks), dtype=np.int32), len(_NEAR))[order]))
         return np.array(ks), prints, tables
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ class Items:
         ks, own, tables = self.index[length]
         pairs = []
         for b, (near, item) in enumerate(tables):
-            value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
             lo, hi = np.searchsorted(near, value, "left"), np.searchsorted(near, value, "right")
             n = hi - lo
             at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
@@ -135,7 +135,12 @@ class Items:
             lo, hi = int(start[0]), int(start[-1]) + wide
             pairs = set()
             if wide == length:
-                pairs = {(int(start[w]), item) for w, item in self.candidates(length, fingerprints(words[lo:hi], length, start - lo))}
+                # A few thousand words at a time, as a fingerprint is made from 64 sums for each word.
+                for a in range(lo, hi, STRETCH):
+                    some = start[(start >= a) & (start < a + STRETCH)]
+                    if len(some):
+                        prints = fingerprints(words[a : int(some[-1]) + wide], length, some - a)
+                        pairs |= {(int(some[w]), item) for w, item in self.candidates(length, prints)}
             # Windows outside the radius may be similar enough still: each meets the items it shares enough shingles with.
             here = shingles[k][lo : int(start[-1]) + n]
             for item in self.sharing(length, here, need).tolist():
@@ -167,8 +172,10 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.75, size: i
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(columns)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-    parts = [docs.mapInArrow(_task(part, least, size, rows), schema) for part in _passes(docs, items)]
-    return reduce(DataFrame.unionByName, parts)
+    groups, docs = _groups(docs, items), document_columns(docs)
+    if len(groups) > 1:
+        docs = saved(_suspects(docs, items, size), "suspects")
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(_task(group, least, size, rows), schema) for group in groups])
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.75, size: int = 5) -> DataFrame:
@@ -179,20 +186,64 @@ def without_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.75,
         clean[[i for i, matches in found if matches]] = False
         return block.filter(pa.array(clean))
 
-    for part in _passes(docs, items):
-        docs = docs.mapInArrow(_task(part, least, size, rows), docs.schema)
-    return docs
+    groups = _groups(docs, items)
+    if len(groups) == 1:
+        return docs.mapInArrow(_task(groups[0], least, size, rows), docs.schema)
+    # The few texts that may hold an item are numbered by their hash, and those that do are left out.
+    text = F.sha2(F.col("text").cast("string"), 256)
+    texts = docs.select(F.xxhash64(text).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = contaminated(texts, items, least, size).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, F.xxhash64(text) == F.col("_found"), "left_anti")
+
 
+def _items(items: DataFrame) -> DataFrame:
+    return items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
 
-def _passes(docs: DataFrame, items: DataFrame) -> list[Broadcast]:
-    """The items in broadcasts of about ITEMS_AT_ONCE, one for each pass over the documents."""
+
+def _groups(docs: DataFrame, items: DataFrame) -> list[Broadcast]:
+    """The items in broadcasts of about ITEMS_AT_ONCE."""
     lean_batches(docs.sparkSession)
-    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = _items(items)
     n = max(1, -(-items.count() // ITEMS_AT_ONCE))
     parts = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n))
     return [docs.sparkSession.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in part.collect()})) for part in parts]
 
 
+def _suspects(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """The texts that hold a shingle of any item: one scan, after which a large benchmark's groups look at few texts only.
+
+    The shingles (8 bytes each) are broadcast up to BROADCAST_SHINGLES; of a still larger benchmark each group scans all texts.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            words = Words(LOWER[text_bytes(block.column("text"))[0]], text_bytes(block.column("text"))[1])
+            hashes, first = words.hashes(), words.first
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                k = min(size, b - a)
+                h = shingle_hashes(hashes[a:b], k) if k else hashes[:0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int64)), pa.array(h.view(np.int64))], names=["k", "h"])
+
+    shingles = saved(_items(items).mapInArrow(made, "k long, h long").distinct(), "shingles")
+    if shingles.count() > BROADCAST_SHINGLES:
+        return docs
+    table = shingles.toArrow()
+    k, h = table.column("k").to_numpy(), table.column("h").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast({n: np.sort(h[k == n]) for n in np.unique(k).tolist()})
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            words = Words(LOWER[text_bytes(block.column("text"))[0]], text_bytes(block.column("text"))[1])
+            hashes, maybe = words.hashes(), np.zeros(block.num_rows, bool)
+            for n, known in shared.value.items():
+                own = shingle_hashes(hashes, n)
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
+                maybe[np.searchsorted(words.first, hit, "right") - 1] = True
+            yield block.filter(pa.array(maybe))
+
+    return docs.where("text is not null").mapInArrow(task, docs.schema)
+
+
 _MADE: OrderedDict[tuple[str, int], Items] = OrderedDict()
 
 

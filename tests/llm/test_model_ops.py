@@ -6,14 +6,19 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm.op3_nearest import chi_square_cdf, nearest
-from lectern.llm.op5_toxicity import score_toxicity
-from lectern.llm.op7_chat_format import preference_pairs, preference_segments
+from lectern.llm import op3_nearest as op3
+from lectern.llm import op7_chat_format as op7
+from lectern.llm import op8_packing as op8
+from lectern.llm.op3_nearest import Block, chi_square_cdf, chi_square_limit, nearest
+from lectern.llm.op5_toxicity import score_toxicity, shift_to
 from lectern.llm.op8_packing import ChunkIds, configurations, pack_documents, plan
-from lectern.llm.op10_language_id import fit_ftrl, fit_temperature, identify_languages, softmax
+from lectern.llm.op10_language_id import fit_ftrl, fit_temperature, identify_languages, ngrams, softmax
+from lectern.llm.textblock import text_bytes
 
 VECTORS = "vec_id long, embedding array<double>, rank int, block string"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,7 +26,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 def test_chi_square():
     assert abs(chi_square_cdf(np.array([2.0]), 2)[0] - (1 - math.exp(-1))) < 1e-12
-    assert abs(chi_square_cdf(np.array([15.507]), 8)[0] - 0.95) < 1e-4
+    assert abs(chi_square_cdf(np.array([15.507]), 8)[0] - 0.95) < 1e-4 and abs(chi_square_limit(0.95) - 26.296) < 1e-3  # 16 degrees
 
 
 def test_nearest(spark):
@@ -46,6 +51,25 @@ def test_nearest(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("rows", [8192, 256])
+def test_clustered_vectors_are_pruned(spark, monkeypatch, rows):
+    """At recall 0.9 at most a third of the points is verified, for vectors of unit length as the given ones are."""
+    monkeypatch.setattr(op3, "CELL_ROWS", rows)
+    rng = np.random.default_rng(2)
+    n = 6000
+    x = rng.normal(size=(60, 32))[rng.integers(0, 60, n)] + 0.2 * rng.normal(size=(n, 32))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(x)], VECTORS).repartition(3)
+    got = nearest(df, df.where("vec_id % 20 = 0"), 20).collect()
+    score = x[::20] @ x.T
+    score[np.arange(n // 20), np.arange(0, n, 20)] = -np.inf
+    want = {(20 * i, j) for i, row in enumerate(score) for j in np.argsort(-row)[:20].tolist()}
+    assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want) and len(got) == n
+    block = Block(np.arange(n), x, float(np.sqrt((x * x).sum(axis=1)).max()))
+    block.search(np.arange(0, n, 20), x[::20], np.full(n // 20, -np.inf), 20, chi_square_limit(0.95))
+    assert block.verified <= n * (n // 20) / 3
+
+
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0, ""), (1, [0.5, 0.5], 0, ""), (2, [1.0, 1.0], 0, "")], VECTORS)
     got = nearest(df, df.where("vec_id = 0"), 20).orderBy("rank").collect()
@@ -83,37 +107,69 @@ def test_toxicity(spark):
     assert without.where("p_toxic is null").count() == len(rows)
 
 
-def test_preferences(spark):
+def test_category_shares():
+    """Rows that stand for more labelled documents count more: mean probabilities follow the labels' shares."""
+    p, weight = np.array([0.9, 0.8, 0.2, 0.1]), np.array([1.0, 1.0, 9.0, 9.0])
+    odds = np.log(p / (1 - p)) + shift_to(p, weight, 0.1)
+    assert abs(np.average(1 / (1 + np.exp(-odds)), weights=weight) - 0.1) < 1e-9
+
+
+def test_preferences(spark, monkeypatch):
     schema = "pair_id long, turn long, role string, text string, split string"
     chosen = [(1, 0, "user", "hi", ""), (1, 1, "assistant", "good", ""), (1, 2, "user", "more", ""), (2, 0, "user", "same", ""), (3, 0, "user", "alone", ""), (4, 0, "user", None, ""), (4, 0, "user", "b", ""), (4, 1, "assistant", "x", ""), (None, 0, "user", "y", "")]
     rejected = [(1, 0, "user", "hi", ""), (1, 1, "assistant", "bad", ""), (2, 0, "user", "same", ""), (4, 0, "user", "", ""), (4, 2, "assistant", "z", ""), (5, None, "user", "y", "")]
-    made = preference_segments(spark.createDataFrame(chosen, schema), spark.createDataFrame(rejected, schema))
-    got = sorted((r.pair_id, r.part, r.turn, r.segment.split("\n")[1].removesuffix("<|im_end|>"), r.loss) for r in made.collect())
-    assert got == [
-        (1, "chosen", 1, "good", True),
-        (1, "chosen", 2, "more", False),
-        (1, "prompt", 0, "hi", False),
-        (1, "rejected", 1, "bad", True),
-        (2, "prompt", 0, "same", False),
-        (3, "chosen", 0, "alone", False),
-        (4, "chosen", 1, "x", True),
-        (4, "prompt", 0, "", False),
-        (4, "rejected", 2, "z", True),
-    ]
-    pair = preference_pairs(made).where("pair_id = 1").first()
-    assert pair.prompt == "<|im_start|>user\nhi<|im_end|>\n" and pair.chosen.count("<|im_start|>") == 2 and pair.rejected.endswith("bad<|im_end|>\n")
+    one = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    want = {
+        1: (one("user", "hi"), one("assistant", "good") + one("user", "more"), one("assistant", "bad"), ["good<|im_end|>\n"], ["bad<|im_end|>\n"]),
+        2: (one("user", "same"), "", "", [], []),
+        3: ("", one("user", "alone"), "", [], []),
+        4: (one("user", ""), one("assistant", "x"), one("assistant", "z"), ["x<|im_end|>\n"], ["z<|im_end|>\n"]),
+    }
+    sides = [spark.createDataFrame(x, schema) for x in (chosen, rejected)]
+    made = op7.preference_pairs(*sides)
+    learnt = lambda text, mask: [text[m["first"] : m["end"]] for m in mask]
+    got = {r.pair_id: (r.prompt, r.chosen, r.rejected, learnt(r.chosen, r.chosen_mask), learnt(r.rejected, r.rejected_mask)) for r in made.collect()}
+    assert got == want
     plan_ = made._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan_ and "Arrow" not in plan_
-    assert preference_segments(made.sparkSession.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
+    # Rows of one turn each: the parts of a pair come together from its rows.
+    monkeypatch.setattr(op7, "CHUNK_BITS", 0)
+    parts = {}
+    for r in sorted(op7.preference_pairs(*sides).collect(), key=lambda r: (r.pair_id, r.chunk)):
+        old = parts.get(r.pair_id, ("", "", ""))
+        parts[r.pair_id] = (old[0] + r.prompt, old[1] + r.chosen, old[2] + r.rejected)
+    assert parts == {i: w[:3] for i, w in want.items()}
+    none = spark.createDataFrame([], schema)
+    assert op7.preference_pairs(none, none).count() == 0
+
+
+def ids_of(cache, texts):
+    raw, at = text_bytes(pa.array(texts, pa.string()))
+    ids, ends = cache.of_block(raw, at)
+    return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def test_chunk_ids():
-    ids = ChunkIds(TOKENIZER)
-    texts = ["Plain words, here. It's x.y! don't", "a<|endoftext|>b <|startoftext|>", "İstanbul é é ß Σσς ﬁ", "1234 a1b2", "no break   x", "\x01 \x1c a\x1cb", "", "語 텍스트 🙂🙂", " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(1500))]
-    for text in texts:
-        chunks = text.encode().split()
-        ids.learn(set(chunks))
-        assert np.frombuffer(ids.ids(chunks), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+def test_chunk_ids(monkeypatch):
+    cache = ChunkIds(TOKENIZER)
+    assert cache.apart
+    texts = ["Plain words, here. It's x.y! don't", "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>", "İstanbul é é ß Σσς ﬁ", "1234 a1b2", "no break   x", "\x01 \x1c a\x1cb", "", "語 텍스트 🙂🙂", " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(1500))]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice("abzAZ.,;:!?'\"<|>- \t\n é\u0301\x01\x1c0９ßΣς☃İ") for _ in range(rng.randrange(60))) for _ in range(500)]
+    want = [e.ids for e in cache.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(cache, texts) == want
+    monkeypatch.setattr("lectern.llm.op8_packing.CACHED_CHUNKS", 100)
+    small = ChunkIds(TOKENIZER)
+    assert [ids_of(small, [t])[0] for t in texts] == want
+    small.apart = False
+    assert ids_of(small, texts) == want
+
+
+def test_all_documents_are_tokenised_alike():
+    """Every text of the largest test table, against the tokeniser itself."""
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
+    cache = ChunkIds(TOKENIZER)
+    for i in range(0, len(texts), 500):
+        assert ids_of(cache, texts[i : i + 500]) == [e.ids for e in cache.tokenizer.encode_batch_fast(texts[i : i + 500], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -195,6 +251,29 @@ def test_language(spark):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_parts_of_a_long_text(monkeypatch, spark):
+    """A text read in parts has the n-grams, hashes and pieces of the whole."""
+    from lectern.llm import op10_language_id as op10
+    from lectern.llm import textblock
+
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))) for _ in range(3000))
+    raw, at = text_bytes(pa.array([text]))
+    whole, hashes = np.sort(ngrams(pa.array([text]))[0]), textblock.Words(raw, at).hashes()
+    rows = [(1, text), (2, "x" * 5000 + " " + text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pieces = sorted(map(tuple, op8.token_pieces(docs, TOKENIZER, 128).collect()))
+    monkeypatch.setattr(op10, "PART", 1000)
+    monkeypatch.setattr(textblock, "BLOCK_BYTES", 1000)
+    assert np.array_equal(np.sort(np.concatenate([b for b, _ in op10.ngram_parts(pa.array([text]))])), whole)
+    assert np.array_equal(textblock.Words(raw, at).hashes(), hashes)
+    cuts = list(textblock.parts_of(raw, textblock.SPACE, 1000))
+    assert len(cuts) > 5 and cuts[0][0] == 0 and cuts[-1][1] == len(raw) and all(a[1] == b[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    cache = ChunkIds(TOKENIZER)
+    apart = [ids_of(cache, [raw[a:b].tobytes().decode()])[0] for a, b in cuts]
+    assert sum(apart, []) == ids_of(cache, [text])[0] and len(pieces) > 20
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from lectern.llm.op6_minhash import near_duplicates

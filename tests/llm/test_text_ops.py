@@ -210,7 +210,7 @@ def test_lines(spark):
         (8, line[1] + "\nsomething\n" + line[3]),
     ]
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(frame(spark, rows)).collect()}
-    assert got == {1: (4, 0, rows[0][1]), 2: (6, 4, "own words\n\nmore"), 3: (4, 4, ""), 4: (2, 0, rows[3][1]), 5: (2, 0, "short\nother"), 6: (0, 0, None), 7: (0, 0, ""), 8: (3, 2, "something")}
+    assert got == {1: (4, 0, rows[0][1]), 2: (6, 4, "own words\n\nmore"), 3: (4, 4, ""), 4: (2, 0, rows[3][1]), 5: (2, 1, "other"), 6: (0, 0, None), 7: (0, 0, ""), 8: (3, 2, "something")}
     kept = dedup_lines(frame(spark, rows), keep=("h",)).where("doc_id = 2").first()
     assert kept.h == "x" and kept.text == "own words\n\nmore"
 
@@ -227,10 +227,38 @@ def test_lines_beside_rarer_ones(spark):
         (20, "before\n" + "\n".join(short) + "\nafter"),
         (21, "other\n" + "\n".join(short) + "\nend"),
         (30, f"{own}\ntail"),
-        (31, f"{own}\ntail"),  # the tail is in no run of ten words that begins there
+        (31, f"{own}\ntail"),
+        (40, f"y\n{licence}\n{more}\nnew 40"),  # the second stands in a later document, too
+        (41, f"{more}\nnew 40"),
     ]
     got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
-    assert (got[2], got[3], got[4], got[20], got[21], got[30], got[31]) == (f"{own}\n{more}", "", "x\ny", rows[10][1], "other\nend", "tail", "")
+    assert (got[2], got[3], got[4], got[20], got[21], got[30], got[31]) == (f"{own}\n{more}", "", "x\ny", "before\nafter", "other\nend", "tail", "")
+    assert (got[40], got[41]) == ("new 40", "")
+
+
+def test_lines_against_brute_force(spark):
+    """With lines that stand once in a document, as many go as the longest common subsequences with their first holders have."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        lines = rng.sample([f"line {k}" for k in range(150)], rng.randrange(2, 25))
+        rows.append((i + 1, "\n".join(sorted(lines) if rng.random() < 0.5 else lines)))
+    first, want = {}, {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            first.setdefault(x, i)
+    for i, t in rows:
+        want[i] = 0
+        for a in {first[x] for x in t.split("\n")} - {i}:
+            x, y = ([z for z in text.split("\n") if first[z] == a] for text in (dict(rows)[a], t))
+            table = np.zeros((len(x) + 1, len(y) + 1), int)
+            for p in range(len(x)):
+                for q in range(len(y)):
+                    table[p + 1, q + 1] = table[p, q] + 1 if x[p] == y[q] else max(table[p, q + 1], table[p + 1, q])
+            want[i] += int(table[-1, -1])
+    got = {r.doc_id: r for r in dedup_lines(frame(spark, rows)).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == want and all(len(r.text.split("\n")) == r.n_lines - r.n_removed or not r.text for r in got.values())
+    assert sum(want.values()) > 100
 
 
 def test_decontamination(spark):
@@ -274,6 +302,9 @@ def test_many_items_take_several_passes(spark, monkeypatch):
     docs = [(i, f"a b {t} c") for i, t in items]
     got = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(7)]
+    more = spark.createDataFrame([*docs, (50, "clean"), (51, None), (None, f"z {items[2][1]}"), (52, "")], DOCS)
+    kept = without_contaminated(more, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [50, 51, 52]
 
 
 def test_empty_tables_and_missing_ids(spark):
