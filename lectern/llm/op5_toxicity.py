@@ -36,6 +36,7 @@ class Chain:
     categories: list[str]
     words: list[np.ndarray]  # for each category one weight for each bucket
     extra: list[np.ndarray]  # bias, then a weight for each earlier category
+    shift: list[float]  # for each category what brings its log odds from the sample's rows to those of all labels
 
     def probabilities(self, column: pa.Array) -> np.ndarray:
         bucket, text = word_buckets(column)
@@ -49,7 +50,8 @@ class Chain:
         for k, (w, extra) in enumerate(zip(self.words, self.extra, strict=True)):
             logit = np.bincount(text, w[bucket], minlength=len(column)) + extra[0] + p[:, :k] @ extra[1:]
             p[:, k] = 1 / (1 + np.exp(-logit))
-        return p
+        odds = np.log(np.clip(p, 1e-12, 1)) - np.log(np.clip(1 - p, 1e-12, 1)) + np.array(self.shift)
+        return 1 / (1 + np.exp(-odds))
 
 
 def _fit(rows: list[np.ndarray], dense: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +63,24 @@ def _fit(rows: list[np.ndarray], dense: np.ndarray, target: np.ndarray) -> tuple
     return w[:BUCKETS], w[BUCKETS:]
 
 
-def train_chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str], fold: np.ndarray, odds: np.ndarray | None = None) -> Chain:
+def shift_to(p: np.ndarray, weight: np.ndarray, share: float) -> float:
+    """The shift of log odds after which the weighted mean of the probabilities is the given share."""
+    odds = np.log(np.clip(p, 1e-12, 1)) - np.log(np.clip(1 - p, 1e-12, 1))
+    lo, hi = -30.0, 30.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if np.average(1 / (1 + np.exp(-odds - mid)), weights=weight) < share else (lo, mid)
+    return (lo + hi) / 2
+
+
+def train_chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str], fold: np.ndarray, weight: np.ndarray | None = None) -> Chain:
     """rows: the distinct buckets of each text; labels: one 0/1 column for each category, in chain order.
 
-    odds: for each category the log odds by which positives are over-represented in the rows.
+    weight: for how many labelled documents each row stands.  The chain itself learns from the rows as they are; what it gives
+    out is brought to the weighted shares, for every category.
     """
-    chain, dense = Chain(categories, [], []), np.ones((len(rows), 1))
+    chain, dense = Chain(categories, [], [], []), np.ones((len(rows), 1))
+    weight = np.ones(len(rows)) if weight is None else weight
     for k in range(len(categories)):
         out = np.zeros(len(rows))
         for f in range(FOLDS):
@@ -74,10 +88,9 @@ def train_chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str
             words, extra = _fit([rows[i] for i in fit], dense[fit], labels[fit, k])
             out[rest] = [1 / (1 + np.exp(-(words[rows[i]].sum() + dense[i] @ extra))) for i in rest]
         words, extra = _fit(rows, dense, labels[:, k])
-        if odds is not None:
-            extra = extra - np.append(odds[k], np.zeros(len(extra) - 1))
         chain.words.append(words)
         chain.extra.append(extra)
+        chain.shift.append(shift_to(out, weight, float(np.average(labels[:, k], weights=weight))))
         dense = np.column_stack([dense, out])
     return chain
 
@@ -126,11 +139,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], pe
     if found is None:
         return docs.select("doc_id", *[F.lit(None).cast("double").alias(f"p_{c}") for c in categories])
     rows, y, fold = found
-    share = labels.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in categories]).first()
-    logit = lambda p: float(np.log(max(p, 1e-6) / max(1 - p, 1e-6)))
-    odds = np.array([logit(y[:, k].mean()) - logit(share[k]) for k in range(len(categories))])
-    odds[:-1] = 0  # only the last is drawn by class; earlier ones feed it as they were in training
-    shared = docs.sparkSession.sparkContext.broadcast(train_chain(rows, y, categories, fold, odds))  # BUCKETS weights for each category
+    # Rows are drawn by the last category: each stands for as many labelled documents as its class has for a row.
+    whole = {r[0]: r[1] for r in labels.select("doc_id", *categories).dropna().groupBy("doc_id").agg(F.max(categories[-1]).cast("int").alias("c")).groupBy("c").agg(F.count(F.lit(1))).collect()}
+    weight = np.array([whole[c] for c in y[:, -1].tolist()]) / np.bincount(y[:, -1], minlength=2)[y[:, -1]]
+    shared = docs.sparkSession.sparkContext.broadcast(train_chain(rows, y, categories, fold, weight))  # BUCKETS weights for each category
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -141,7 +153,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], pe
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents judged toxic, with the chain's probabilities."""
+    """The documents judged toxic, with the chain's probabilities.  The labels know one toxic category only; low quality, which is
+    none, goes before it in the chain as a category that toxicity depends on."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     scored = score_toxicity(docs, labels, ["low_quality", "toxic"])
