@@ -25,11 +25,28 @@ ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
 #: Term frequencies are shares of a text; this brings their products with the weights near one.
 SCALE = 3.0
+#: Characters of one part of a very long text.
+PART = 1 << 19
+
+
+def ngram_parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ngrams() of a block; of one very long text a part at a time."""
+    if len(column) > 1 or column.nbytes <= 2 * PART:
+        yield ngrams(column)
+        return
+    text, over = "\x02" + (column[0].as_py() or "").lower() + "\x03", max(ORDERS) - 1
+    for a in range(0, len(text), PART):
+        # The last n-grams of a part begin in it and end in the next.
+        yield _ngrams([text[a : a + PART + over]], PART)
 
 
 def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the character n-grams of a block of texts, and the text of each; case is folded."""
-    texts = [("\x02" + (t or "").lower() + "\x03") for t in column.to_pylist()]
+    return _ngrams([("\x02" + (t or "").lower() + "\x03") for t in column.to_pylist()])
+
+
+def _ngrams(texts: list[str], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of these texts, those that begin in the first `most` characters."""
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=at[1:])
@@ -37,7 +54,7 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     found, owners = [], []
     for n in ORDERS:
-        h = mix(p.windows(n) + np.uint64(n))
+        h = mix(p.windows(n) + np.uint64(n))[:most]
         inside = owner[: len(h)] == owner[n - 1 : n - 1 + len(h)]
         found.append((h[inside] & np.uint64(BUCKETS - 1)).astype(np.int64))
         owners.append(owner[: len(h)][inside])
@@ -50,8 +67,8 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(BUCKETS + 1, np.int64)
         for block in blocks(batches, "text", 1 << 19):
-            bucket, text = ngrams(block.column(0))
-            df[:-1] += np.bincount(np.unique(text * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
+            parts = [np.unique(text * BUCKETS + bucket) for bucket, text in ngram_parts(block.column(0))]
+            df[:-1] += np.bincount(np.unique(np.concatenate(parts)) % BUCKETS if len(parts) > 1 else parts[0] % BUCKETS, minlength=BUCKETS)
             df[-1] += block.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df)), pa.array(df[df > 0])], names=["bucket", "n"])
 
@@ -83,9 +100,12 @@ class Model:
     temperature: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        bucket, text = ngrams(column)
-        size = np.bincount(text, minlength=len(column)).clip(1)
-        return np.stack([np.bincount(text, self.weight[bucket, k], minlength=len(column)) * SCALE / size + self.bias[k] for k in range(len(self.languages))], axis=1)
+        size, total = np.zeros(len(column), np.int64), np.zeros((len(self.languages), len(column)))
+        for bucket, text in ngram_parts(column):
+            size += np.bincount(text, minlength=len(column))
+            for k in range(len(self.languages)):
+                total[k] += np.bincount(text, self.weight[bucket, k], minlength=len(column))
+        return (total * SCALE / size.clip(1) + self.bias[:, None]).T
 
     def probabilities(self, column: pa.Array) -> np.ndarray:
         return softmax(self.scores(column) / self.temperature)
@@ -164,27 +184,25 @@ def train(docs: DataFrame, per_language: int = 600) -> Model | None:
     return Model(languages, (weight[:-1] * idf[:, None]).astype(np.float64), weight[-1], temperature)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Add lang_pred and score to the columns `keep`; only the text is looked at."""
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    name = "text" if "text" in keep else "__text"
-    letters_first = docs.select(F.col("text").rlike(r"\p{L}").alias("__letters"), *([] if name == "text" else [F.col("text").alias(name)]), *keep)
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(others, lang_pred, score) for rows of (text, others); only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of BUCKETS rows and one column for each language
+    letters_first = docs.select(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text", "others")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for block in blocks(batches, name, 1 << 19):
-            letters = np.asarray(block.column(0).fill_null(False).to_pylist(), bool)
+        for block in blocks(batches, "text", 1 << 19):
+            letters = np.asarray(block.column(0).to_pylist(), bool)
             if model is None:
                 best, score = np.zeros(len(letters), int), np.zeros(len(letters))
                 names = np.array([UNDETERMINED], object)
             else:
-                p = model.probabilities(block.column(block.schema.get_field_index(name)))
+                p = model.probabilities(block.column(1))
                 best, score, names = p.argmax(axis=1), p.max(axis=1), np.array([*model.languages, UNDETERMINED], object)
             best, score = np.where(letters, best, len(names) - 1), np.where(letters, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*(block.column(block.schema.get_field_index(k)) for k in keep), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([block.column(2), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["others", "lang_pred", "score"])
 
-    return letters_first.mapInArrow(task, schema)
+    return letters_first.mapInArrow(task, f"others {docs.schema['others'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -196,13 +214,18 @@ def identify_languages(docs: DataFrame, per_language: int = 600, keep: tuple[str
 
     Learns only from text and non-null lang of documents that are not held out (crc32 of doc_id as text, modulo 4, is not
     2).  A null text, an empty one or one without a letter gets 'und' and score 0; so does all if nothing can be learnt.
-    Rows without a doc_id count as not held out only for prediction: they are never learnt from.
+    Rows without a doc_id count as not held out only for prediction: they are never learnt from.  Repeated rows are predicted
+    each; the columns kept may have any names but those three.  A very long text is read in parts.  An empty table gives an empty table.
     """
+    if clash := {"held_out", "lang_pred", "score"} & set(keep):
+        raise ValueError(f"these columns are made here: {sorted(clash)}")
     lean_batches(docs.sparkSession)
-    learn = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    learn = docs.where("doc_id is not null and lang is not null and text is not null").where(~held).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(learn, per_language)
-    found = predict(docs.withColumn("__held", F.coalesce(held_out(F.col("doc_id")), F.lit(False))), model, [*keep, "__held"])
-    return found.select(*keep, F.col("__held").alias("held_out"), "lang_pred", "score")
+    others = F.struct(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("kept"), held.alias("held")).alias("others")
+    found = predict(docs.select(F.col("text").cast("string").alias("text"), others), model)
+    return found.select(*[F.col(f"others.kept.`{k}`") for k in keep], F.col("others.held").alias("held_out"), "lang_pred", "score")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
