@@ -2,6 +2,11 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the next one's
 documents.  All but the last return the columns of the documents table.
+
+Nulls and awkward rows: a null or empty text has no language and goes in the first stage, as does a text without a letter; a
+null in lang, source or n_chars is kept; a row without a doc_id is no holder of lines and no near duplicate of any other, and stays
+where its text may.  Repeated rows are scored each, their lines go or stay together, and one of them is left by the near-duplicate
+stage.  Empty tables and an empty benchmark give empty or unchanged tables.  Columns beyond COLUMNS are not carried.
 """
 
 from __future__ import annotations
@@ -35,9 +40,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates the document with the smallest doc_id stays, and of repeated rows of it one."""
     gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
