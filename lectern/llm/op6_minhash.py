@@ -7,7 +7,7 @@ similarity of their signatures, a few bit counts, sorts out most, and full shing
 confirm the rest.  A pair of similarity 0.75 shares no band with a chance of 5 in a million.
 
 Groups of copies stay linear: equal sets are one vertex; in each bucket the members are
-first linked with leaders; only buckets that still hold several components are
+first linked with leaders, in several turns; only buckets that still hold several components are
 searched pair by pair, members of one component never being compared.
 """
 
@@ -27,6 +27,8 @@ from .textblock import BASES, LOWER, Prefix, Words, blocks, mix, text_bytes
 HASHES, BANDED, ROWS, BITS = 768, 128, 4, 2
 #: Pairs that look less similar than this are not confirmed: 4.5 standard deviations of the estimate below 0.75.
 LEAST_ESTIMATE = 0.665
+#: Further turns in which buckets of several components choose a leader.
+TURNS = 3
 #: So many ids (8 bytes each) are broadcast to pick documents; more are shuffled, and the texts with them.
 BROADCAST_IDS = 500_000
 _rng = np.random.default_rng(6)
@@ -137,6 +139,13 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
+def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, label) of the members of buckets that hold several components."""
+    members = saved(rows.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "members")
+    several = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n")
+    return split_join(members, saved(several, "several"), ["key"], "n")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -166,12 +175,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     near = pairs.join(signed.alias("l"), F.col("a") == F.col("l.id")).join(signed.alias("r"), F.col("b") == F.col("r.id")).where(close).select("a", "b")
     links = confirmed(docs, near, size, percent)
     labels = components(links)
-    # Buckets that still hold several components: each member with the members of other components near its size,
+    # Buckets that still hold several components get further leaders, each its own: whoever is like the leader joins it, so
+    # that a family of which the most central leader was no member does not meet pair by pair.
+    for turn in range(TURNS):
+        mixed = saved(mixed_buckets(rows, labels), f"mixed-{turn}")
+        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("draw"), "id", "label")).alias("lead")
+        leads = saved(mixed.groupBy("key").agg(drawn, F.count(F.lit(1)).alias("n")).select("key", F.col("lead.id").alias("leader"), F.col("lead.label").alias("leader_label"), "n"), "leads")
+        pairs = split_join(mixed, leads, ["key"], "n").where("label <> leader_label").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        near = pairs.join(signed.alias("l"), F.col("a") == F.col("l.id")).join(signed.alias("r"), F.col("b") == F.col("r.id")).where(close).select("a", "b")
+        fresh = confirmed(docs, near, size, percent)
+        if fresh.isEmpty():
+            break
+        links = saved(links.unionByName(fresh), "links")
+        labels = components(links)
+    # What is left there: each member with the members of other components near its size,
     # once for each pair, in the first band that both share.
     grouped = classes.select("id", "n_shingles", "bands", "sig").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     grouped = grouped.withColumn("step", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))))
-    members = rows.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n")
+    mixed = mixed_buckets(rows, labels).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rest = split_join(rows.select("key", "id", "band"), saved(mixed, "mixed"), ["key"], "n")
     rest = saved(rest.join(grouped.hint("shuffle_hash"), "id"), "mixed")
     left = rest.withColumn("step", F.explode(F.array("step", F.col("step") + 1))).alias("l")
