@@ -26,7 +26,8 @@ def uid(template: str, **columns: Column) -> Column:
 
 
 def rendered(value: Column) -> Column:
-    return value.cast("string")
+    """A field as it stands in an identifier: truth values are written True and False."""
+    return F.when(F.typeof(value) == "boolean", F.initcap(value.cast("string"))).otherwise(value.cast("string"))
 
 
 def uuid5(name: Column) -> Column:

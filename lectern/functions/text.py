@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns that decide which text passes.
@@ -44,12 +44,13 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    """How many words(), without making them."""
+    return F.regexp_count(text, F.lit("(?U)\\S+"))
 
 
 def stripped(text: Column) -> Column:
-    """Without white space at both ends, no-break space included."""
-    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+    """Without white space at both ends, no-break space and the separators U+001C to U+001F included."""
+    return F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
 
 
 def sentences(text: Column) -> Column:
@@ -63,18 +64,21 @@ def _rejoined(pieces: Column) -> Column:
 def split_long(text: Column, limits: Limits = Limits()) -> Column:
     """Pieces of a paragraph: whole if short, else greedily packed sentences, sentences that are too long cut by words.
 
-    The packing is a fold with an accumulator of finished pieces, the open piece and its words, so it stays in the plan.
+    The packing is a fold that numbers the piece of each sentence, so it stays in the plan and words are counted once.
     """
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    parts = F.transform(sentences(text), lambda x: F.struct(x.alias("text"), word_count(x).alias("n")))
+    start = F.struct(F.lit(0).alias("piece"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("of"))
 
     def add(state: Column, sentence: Column) -> Column:
-        w = word_count(sentence)
-        full = (F.size(state["open"]) > 0) & (state["n"] + w > limits.target_words)
-        return F.when(full, F.struct(F.concat(state["parts"], F.array(_rejoined(state["open"]))).alias("parts"), F.array(sentence).alias("open"), w.alias("n"))).otherwise(
-            F.struct(state["parts"].alias("parts"), F.concat(state["open"], F.array(sentence)).alias("open"), (state["n"] + w).alias("n"))
-        )
+        full = (state["n"] > 0) & (state["n"] + sentence["n"] > limits.target_words)
+        piece = state["piece"] + full.cast("int")
+        # A sentence without words opens a piece as any other, so an open piece counts at least one.
+        return F.struct(piece.alias("piece"), F.greatest(F.when(full, 0).otherwise(state["n"]) + sentence["n"], F.lit(1)).alias("n"), F.concat(state["of"], F.array(piece)).alias("of"))
 
-    packed = F.aggregate(sentences(text), start, add, lambda s: F.concat(s["parts"], F.when(F.size(s["open"]) > 0, F.array(_rejoined(s["open"]))).otherwise(F.array().cast("array<string>"))))
+    of = F.aggregate(parts, start, add, lambda state: state["of"])
+    numbered = F.arrays_zip(of.alias("piece"), parts.alias("part"))
+    last = F.coalesce(F.array_max(of), F.lit(-1))
+    packed = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.transform(F.filter(numbered, lambda x: x["piece"] == k), lambda x: x["part"]["text"]), " "))).otherwise(F.array().cast("array<string>"))
 
     def cut(piece: Column) -> Column:
         tokens = words(piece)
@@ -85,15 +89,19 @@ def split_long(text: Column, limits: Limits = Limits()) -> Column:
     return F.when(word_count(text) <= limits.max_words, F.array(text)).otherwise(pieces)
 
 
+#: A word with a capital behind its first letter that is not all capitals (apostrophes aside), of three characters and more.
+MIXED = "(?=[A-Za-z’']{3})(?=[A-Za-z’'][A-Za-z’']*[A-Z])(?![A-Z’']*+(?![A-Za-z’']))"
+#: A word without a vowel, of four characters and more.
+MUTE = "(?=[A-Za-z’']{4})(?![A-Za-z’']*[aeiouyAEIOUY])"
+SUSPECT = f"(?<![A-Za-z’'])(?:{MIXED}|{MUTE})[A-Za-z’']++|{JUNK}"
+
+
 def damage_parts(text: Column) -> tuple[Column, Column]:
-    """(suspicious words and characters, words): both add up over texts, their quotient is the damage."""
-    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    letters = lambda w: F.regexp_replace(w, "[’']", "")
-    mixed = lambda w: (F.length(w) > 2) & F.substring(w, 2, 1 << 30).rlike("[A-Z]") & ~(letters(w).rlike("^[A-Z]+$"))
-    mute = lambda w: (F.length(w) > 3) & ~w.rlike("[aeiouyAEIOUY]")
-    bad = F.size(F.filter(found, lambda w: mixed(w) | mute(w)))
-    junk = F.size(F.regexp_extract_all(text, F.lit(JUNK), F.lit(0)))
-    return bad + junk, F.size(found)
+    """(suspicious words and characters, words): both add up over texts, their quotient is the damage.
+
+    One pattern finds all that is suspicious, and neither list of matches is looked at again.
+    """
+    return F.regexp_count(text, F.lit(SUSPECT)), F.regexp_count(text, F.lit(WORD))
 
 
 def damage(text: Column) -> Column:
@@ -106,13 +114,37 @@ def junk_ratio(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(1.0)).otherwise(1.0 - clean / F.length(text))
 
 
+def measured(df: DataFrame, text: str, into: str = "m") -> DataFrame:
+    """Add a struct of what the gate and the statistics look at (words, bad, found, chars, clean), computed once for each row.
+
+    The sum over its parts keeps the optimiser from putting the patterns into each use again.
+    """
+    bad, found = damage_parts(F.col(text))
+    parts = {"words": word_count(F.col(text)), "bad": bad, "found": found, "chars": F.length(text), "clean": F.length(F.regexp_replace(F.col(text), CLEAN, ""))}
+    once = F.transform(F.array(F.struct(*[v.alias(k) for k, v in parts.items()])), lambda x: x)
+    return df.withColumn(into, F.explode(once))
+
+
+def damage_of(m: str = "m") -> Column:
+    return F.when(F.col(f"{m}.found") == 0, F.lit(1.0)).otherwise(F.col(f"{m}.bad") / F.col(f"{m}.found"))
+
+
+def junk_of(m: str = "m") -> Column:
+    return F.when(F.col(f"{m}.chars") == 0, F.lit(1.0)).otherwise(1.0 - F.col(f"{m}.clean") / F.col(f"{m}.chars"))
+
+
+def reason_of(m: str = "m", limits: Limits = Limits()) -> Column:
+    """Which gate a measured paragraph fails first ('short', 'damage' or 'junk'), null if none."""
+    return F.when(F.col(f"{m}.words") < limits.min_words, "short").when(damage_of(m) > limits.max_damage, "damage").when(junk_of(m) > limits.max_junk, "junk")
+
+
 def gate_reason(text: Column, limits: Limits = Limits()) -> Column:
-    """Which gate a paragraph fails first ('short', 'damage' or 'junk'), null if none."""
+    """reason_of() for a text that is not measured yet."""
     return F.when(word_count(text) < limits.min_words, "short").when(damage(text) > limits.max_damage, "damage").when(junk_ratio(text) > limits.max_junk, "junk")
 
 
 def gate_message(text: Column, limits: Limits = Limits()) -> Column:
-    """The reason in words, as it is recorded with a dropped paragraph."""
+    """The reason in words, as it is recorded with a dropped paragraph.  Fixed values: the three sentences."""
     n, d, j = word_count(text), damage(text) * 100, junk_ratio(text) * 100
     return (
         F.when(n < limits.min_words, F.format_string(f"too short (%d word(s) < {limits.min_words})", n))

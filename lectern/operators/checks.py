@@ -60,17 +60,20 @@ def identity_probe(incoming: DataFrame, stored: DataFrame, key: list[str], slug:
 
 
 def same_title(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Holders of an incoming title under another code, unless both authors are known and differ."""
-    other = stored.select(F.col("title"), F.col("code").alias("other_code"), F.col("author").alias("other_author"))
-    joined = incoming.select("title", "code", "author").join(other, "title")
+    """Holders of an incoming title under another code, unless both authors are known and differ: title, code, other_code.
+
+    Points are brought down to one row for each title, code and author before they meet.
+    """
+    mine = incoming.select("title", "code", "author").distinct()
+    other = stored.select("title", F.col("code").alias("other_code"), F.col("author").alias("other_author")).distinct()
     differ = F.coalesce(F.col("author") != F.col("other_author"), F.lit(False))
-    return joined.where((F.col("code") != F.col("other_code")) & ~differ)
+    return mine.join(other, "title").where((F.col("code") != F.col("other_code")) & ~differ).select("title", "code", "other_code").distinct()
 
 
 def paired(originals: DataFrame, translations: DataFrame) -> DataFrame:
-    """Codes of the translations that name each original, sorted."""
-    named = translations.where("lang <> 'en'").select(F.col("book_pair").alias("code"), F.concat_ws(":", "lang", "code").alias("pair"))
-    return originals.join(named, "code").groupBy("code").agg(F.array_sort(F.collect_set("pair")).alias("pairs"))
+    """(code, pair) for each translation that names an original, each pair once."""
+    named = translations.where("lang <> 'en'").select(F.col("book_pair").alias("code"), F.concat_ws(":", "lang", "code").alias("pair")).distinct()
+    return originals.select("code").distinct().join(named, "code")
 
 
 def cosine_gate(vectors: DataFrame, fixture: DataFrame, cosine: Column, least: float, expected: float | None = None) -> DataFrame:
@@ -80,3 +83,134 @@ def cosine_gate(vectors: DataFrame, fixture: DataFrame, cosine: Column, least: f
     if expected is not None:
         status = status.when(F.col("cosine") < expected, "suspicious")
     return joined.withColumn("status", status.otherwise("ok"))
+
+
+def cosine_summary(compared: DataFrame, cosine: str = "cosine", worst: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(least, mean and number of the cosines of a calibration, its `worst` entries by id): null cosines count as missing."""
+    facts = compared.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(cosine).isNull()).alias("missing"), F.min(cosine).alias("least"), F.avg(cosine).alias("mean"))
+    return facts, compared.where(F.col(cosine).isNotNull()).orderBy(cosine, "id").limit(worst)
+
+
+def canary_gate(canaries: DataFrame, stored: DataFrame, cosine: Column) -> DataFrame:
+    """Canaries of a first-version pack by collection and id: 'missing', 'below' the larger of 0.95 and the cosine that the pack
+    expects, or 'ok'."""
+    joined = canaries.join(stored, ["collection", "id"], "left").withColumn("cosine", F.round(cosine, 6))
+    least = F.greatest(F.lit(0.95), F.coalesce("cosine_expected_min", F.lit(0.0)))
+    return joined.withColumn("status", F.when(F.col("cosine").isNull(), "missing").when(F.col("cosine") < least, "below").otherwise("ok"))
+
+
+def uncovered(fixture: DataFrame, points: DataFrame, profile: str) -> DataFrame:
+    """Fixture entries of a profile that the points lack."""
+    return fixture.where(F.col("profile") == profile).join(points.select("id"), "id", "left_anti")
+
+
+def inspected(blocks: DataFrame, book: list[str]) -> DataFrame:
+    """For each book its blocks, paragraphs (first pieces), keys that several paragraphs share, and blocks of split paragraphs."""
+    keys = blocks.groupBy(*book, "para_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("chunk") == 0).alias("heads"), F.count_if(F.col("chunks") > 1).alias("split"))
+    return keys.groupBy(*book).agg(F.sum("n").alias("blocks"), F.sum("heads").alias("paragraphs"), F.count_if(F.col("heads") > 1).alias("collided"), F.sum("split").alias("split"))
+
+
+def described(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Books of an index with the number of their translations and the first of them."""
+    named = pairs.groupBy(F.col("code").alias("book_code")).agg(F.count(F.lit(1)).alias("translations"), F.min("pair").alias("first_translation"))
+    return index.join(named, "book_code", "left").withColumn("translations", F.coalesce("translations", F.lit(0)))
+
+
+# ---- one table of violations: rule, subject, detail
+
+VIOLATION = ("rule", "subject", "detail")
+
+
+def violation(df: DataFrame, rule: str, subject: Column, detail: Column) -> DataFrame:
+    return df.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail"))
+
+
+def metadata_violations(books: DataFrame, required: tuple[str, ...] = ("title", "author", "corpus")) -> DataFrame:
+    """Books of a manifest that lack a field, translations without an original, and originals with a slash in their name."""
+    book = F.concat_ws(":", "lang", "book_code")
+    gaps = F.filter(F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", c) for c in required]), lambda x: x.isNotNull())
+    missing = books.select("*", F.explode(gaps).alias("field"))
+    alone = books.where((F.col("lang") != "en") & (F.coalesce("book_pair", F.lit("")) == ""))
+    slash = books.where(F.col("book_pair").contains("/"))
+    return (
+        violation(missing, "metadata", book, F.col("field"))
+        .unionByName(violation(alone, "no original", book, F.lit("")))
+        .unionByName(violation(slash, "pair code", book, F.col("book_pair")))
+    )
+
+
+def import_violations(books: DataFrame, stored: DataFrame, incoming_ids: DataFrame, stored_ids: DataFrame, overwrite: bool = False) -> DataFrame:
+    """What refuses an import, as one table: incomplete metadata, another work under a known code, a title held by another code,
+    and, unless `overwrite`, points that would be overwritten (one row for each book with their number).
+
+    books, stored: lang, book_code, book_pair, title, author, corpus, slug; incoming_ids: lang, book_code, id; stored_ids: id.
+    """
+    book = F.concat_ws(":", "lang", "book_code")
+    clash = identity_probe(books, stored.select("lang", "book_code", "slug").distinct(), ["lang", "book_code"], "slug").where("status = 'collision'")
+    of = lambda df: df.select(F.concat_ws("|", "lang", "title").alias("title"), F.col("book_code").alias("code"), "author").where("title is not null")
+    twins = same_title(of(books), of(stored))
+    made = metadata_violations(books).unionByName(violation(clash, "collision", book, F.col("slug"))).unionByName(violation(twins, "same title", F.col("code"), F.col("other_code")))
+    if overwrite:
+        return made
+    there = incoming_ids.join(stored_ids.select("id").distinct(), "id", "left_semi").groupBy("lang", "book_code").agg(F.count(F.lit(1)).alias("n"))
+    return made.unionByName(violation(there, "overwrite", book, F.col("n")))
+
+
+def delete_violations(asked: DataFrame, points: DataFrame) -> DataFrame:
+    """What refuses a deletion: books without points, another number of points than was stated, originals that translations
+    still name.  asked: lang, book_code, n (the number expected, or null); points: lang, book_code, book_pair."""
+    book = F.concat_ws(":", "lang", "book_code")
+    counts = points.groupBy("lang", "book_code").agg(F.count(F.lit(1)).alias("found"))
+    both = asked.dropDuplicates(["lang", "book_code"]).join(counts, ["lang", "book_code"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    named = points.where("lang <> 'en' and book_pair is not null").select(F.col("lang").alias("t_lang"), F.col("book_code").alias("t_code"), F.col("book_pair").alias("book_code")).distinct()
+    # A translation that goes, too, names nothing any more.
+    kept = named.join(asked.select(F.col("lang").alias("t_lang"), F.col("book_code").alias("t_code")), ["t_lang", "t_code"], "left_anti")
+    held = asked.where("lang = 'en'").join(kept, "book_code")
+    return (
+        violation(both.where("found = 0"), "no points", book, F.lit(""))
+        .unionByName(violation(both.where("found > 0 and found <> n"), "count", book, F.col("found")))
+        .unionByName(violation(held, "paired", book, F.concat_ws(":", "t_lang", "t_code")))
+    )
+
+
+def left_over(asked: DataFrame, points: DataFrame) -> DataFrame:
+    """Books that still have points after their deletion, with the number: none, if all went well."""
+    return points.join(asked.select("lang", "book_code").distinct(), ["lang", "book_code"], "left_semi").groupBy("lang", "book_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def book_violations(blocks: DataFrame, book: list[str]) -> DataFrame:
+    """One report on the blocks of books (book, para_key, page, seq, chunk, chunks, text): empty texts, sequence numbers that occur
+    twice or are not dense, and pieces that do not make whole paragraphs."""
+    name = F.concat_ws(":", *book)
+    empty = blocks.where(F.coalesce(F.trim("text"), F.lit("")) == "")
+    twice = duplicates(blocks, [*book, "para_key", "seq"])
+    gaps = density(blocks, [*book, "para_key"], "seq")
+    parts = partition_violations(blocks, [*book, "para_key"], "seq", "chunk", "chunks")
+    return (
+        violation(empty, "empty text", name, F.col("para_key"))
+        .unionByName(violation(twice, "duplicate", name, F.concat_ws("#", "para_key", F.col("seq").cast("string"))))
+        .unionByName(violation(gaps, "density", name, F.col("para_key")))
+        .unionByName(violation(parts, "partition", name, F.col("para_key")))
+    )
+
+
+def bible_violations(verses: DataFrame, edition: str, key: str) -> DataFrame:
+    """Rules of an edition: a proper name, strict verse keys, no key twice, no page, author or split of its own."""
+    from ..functions import osis
+
+    name = F.col(edition)
+    extra = F.filter(F.array(*[F.when(F.col(c).isNotNull(), c) for c in ("page", "para", "author", "title", "book_pair") if c in verses.columns]), lambda x: x.isNotNull())
+    made = violation(verses.select(edition).distinct().where(~osis.is_edition(name)), "edition", name, F.lit(""))
+    made = made.unionByName(violation(verses.where(~osis.is_verse(F.col(key))), "key", name, F.col(key)))
+    made = made.unionByName(violation(duplicates(verses, [edition, key]), "duplicate", name, F.col(key)))
+    made = made.unionByName(violation(verses.select(edition, key, F.explode(extra).alias("field")), "forbidden", name, F.concat_ws(" ", key, "field")))
+    if "chunks" in verses.columns:
+        made = made.unionByName(violation(verses.where("chunks > 1"), "split", name, F.col(key)))
+    return made
+
+
+def agreement(books: DataFrame, columns: tuple[str, ...] = ("profile", "id_rule")) -> DataFrame:
+    """Columns in which the books of one pack do not agree, with the number of different values."""
+    facts = books.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("values")) for c in columns])
+    return facts.select(F.inline(rows)).where("values > 1")

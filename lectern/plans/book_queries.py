@@ -73,8 +73,7 @@ def ref_expand(t: Tables) -> DataFrame:
         .when(kind == 3, at)
         .otherwise(F.concat(at, F.lit("-"), F.concat_ws(".", book, (c + 1).cast("string"))))
     )
-    keys = osis.expand_refs(t.orders.select("o_orderkey", ref.alias("ref")))
-    return keys.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("keys"), F.min_by("key", "key_pos").alias("first_key"), F.max_by("key", "key_pos").alias("last_key"))
+    return osis.ref_bounds(t.orders.select("o_orderkey", ref.alias("ref"))).select("o_orderkey", "keys", "first_key", "last_key")
 
 
 @query(f"""WITH e AS (SELECT DISTINCT {BOOKS}[(l_partkey % 66 + 1)::INT] || '.' || (l_orderkey % 150 + 1) || '.' || (l_suppkey % 60 + 1) AS key FROM lineitem),
@@ -228,7 +227,7 @@ def same_title(t: Tables) -> DataFrame:
 def paired(t: Tables) -> DataFrame:
     translations = t.supplier.select(F.when(F.col("s_suppkey") % 3 == 0, "en").otherwise("de").alias("lang"), F.col("s_suppkey").cast("string").alias("code"), F.col("s_nationkey").alias("book_pair"))
     found = checks.paired(t.nation.select(F.col("n_nationkey").alias("code")), translations)
-    return found.select("code", F.element_at("pairs", 1).alias("first"), F.size("pairs").alias("n"))
+    return found.groupBy("code").agg(F.min("pair").alias("first"), F.count(F.lit(1)).cast("int").alias("n"))
 
 
 @query("""WITH e AS (SELECT o_orderkey AS k, (o_orderkey % 4)::BIGINT AS n FROM orders WHERE o_orderkey % 10 <> 0), f AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)

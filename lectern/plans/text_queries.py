@@ -51,18 +51,18 @@ def sentence_split(t: Tables) -> DataFrame:
 
 @query(LINES + f"SELECT doc_id, para, {REASON.format('text')} AS reason FROM n", long="para")
 def quality_gate(t: Tables) -> DataFrame:
-    return _lines(t).select("doc_id", "para", T.gate_reason(F.col("text")).alias("reason"))
+    return T.measured(_lines(t), "text").select("doc_id", "para", T.reason_of().alias("reason"))
 
 
 @query(f"SELECT doc_id, {BAD.format('text')} AS bad, {FOUND.format('text')} AS words, round({DAMAGE.format('text')}, 6) AS damage, round({JUNK.format('text')}, 6) AS junk FROM documents", long="words bad")
 def damage_score(t: Tables) -> DataFrame:
-    bad, n = T.damage_parts(F.col("text"))
-    return t.documents.select("doc_id", bad.alias("bad"), n.alias("words"), F.round(T.damage(F.col("text")), 6).alias("damage"), F.round(T.junk_ratio(F.col("text")), 6).alias("junk"))
+    rows = T.measured(t.documents.select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.col("m.bad").alias("bad"), F.col("m.found").alias("words"), F.round(T.damage_of(), 6).alias("damage"), F.round(T.junk_of(), 6).alias("junk"))
 
 
 @query(LINES + f"SELECT doc_id, para, reason, substring(text, 1, 80) AS preview FROM (SELECT *, {REASON.format('text')} AS reason FROM n) WHERE reason IS NOT NULL", long="para")
 def dropped_detail(t: Tables) -> DataFrame:
-    reasons = _lines(t).withColumn("reason", T.gate_reason(F.col("text"))).where("reason is not null")
+    reasons = T.measured(_lines(t), "text").withColumn("reason", T.reason_of()).where("reason is not null")
     return reasons.select("doc_id", "para", "reason", F.substring("text", 1, 80).alias("preview"))
 
 
@@ -73,8 +73,7 @@ SELECT doc_id, count(*) AS blocks_in, count(reason) AS dropped, coalesce(sum(w)
   round(CASE WHEN coalesce(sum(f) FILTER (reason IS NULL), 0) = 0 THEN 0 ELSE sum(bad) FILTER (reason IS NULL) / sum(f) FILTER (reason IS NULL) END, 6)::DOUBLE AS damage FROM g GROUP BY doc_id"""
 )
 def extraction_stats(t: Tables) -> DataFrame:
-    bad, n = T.damage_parts(F.col("text"))
-    rows = _lines(t).withColumns({"reason": T.gate_reason(F.col("text")), "w": T.word_count(F.col("text")), "bad": bad, "f": n})
+    rows = T.measured(_lines(t), "text").select("doc_id", T.reason_of().alias("reason"), F.col("m.words").alias("w"), F.col("m.bad").alias("bad"), F.col("m.found").alias("f"))
     kept = lambda c: F.sum(F.when(F.col("reason").isNull(), F.col(c)))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks_in"), F.count("reason").alias("dropped"), F.coalesce(kept("w"), F.lit(0)).alias("words"), F.round(F.when(F.coalesce(kept("f"), F.lit(0)) == 0, 0.0).otherwise(kept("bad") / kept("f")), 6).alias("damage"))
 

@@ -121,6 +121,66 @@ def test_store(spark, tmp_path):
         store.check_fingerprint("f2")
 
 
+def test_store_survives_crashes(spark, tmp_path, monkeypatch):
+    """A change that dies at any step leaves what was there before; a dead writer's lock does not block for ever."""
+    store = CorpusStore(spark, f"file://{tmp_path}/points", parts=4)
+    frame = lambda *r: spark.createDataFrame(list(r), "id string, x int")
+    store.upsert(frame(*((str(i), i) for i in range(20))))
+    before = rows(store.read())
+
+    def died(*_):
+        raise RuntimeError("dead")
+
+    with pytest.raises(RuntimeError):
+        store._commit(died)
+    with monkeypatch.context() as m:  # after the rows, before the pointer
+        m.setattr(store, "_point", died)
+        with pytest.raises(RuntimeError):
+            store.upsert(frame(("1", 99)))
+    assert rows(store.read()) == before
+    (tmp_path / "points" / "pointer-9.json").write_text('{"versions": [')  # torn
+    assert rows(store.read()) == before
+    store.upsert(frame(("1", 100), ("1", 7), ("new", 5)))
+    assert dict(rows(store.read())) == dict(before) | {"1": 100, "new": 5}
+    assert rows(CorpusStore(spark, store.path).read()) == rows(store.read())
+    (tmp_path / "points" / "LOCK").touch()
+    with pytest.raises(Busy):
+        store.upsert(frame(("z", 1)))
+    CorpusStore(spark, store.path, stale=-1).upsert(frame(("z", 1)))
+    assert "z" in dict(rows(store.read()))
+    folders = {f for v in store._state()["versions"][-1]["parts"].values() for f in [v]}
+    assert len(folders) > 1  # only touched parts were written anew
+
+
+def test_violations(spark):
+    books = spark.createDataFrame([("en", "A", None, "T", "me", "egw", "s1"), ("de", "B", None, "U", "", "egw", "s2"), ("de", "C", "A/B", "V", "you", "egw", None)], "lang string, book_code string, book_pair string, title string, author string, corpus string, slug string")
+    stored = spark.createDataFrame([("en", "A", "T", "me", "other"), ("en", "Z", "T", "me", "s9")], "lang string, book_code string, title string, author string, slug string")
+    ids = spark.createDataFrame([("en", "A", 1), ("en", "A", 2), ("de", "B", 3)], "lang string, book_code string, id int")
+    got = rows(checks.import_violations(books, stored, ids, ids.where("id < 3").select("id")))
+    assert got == [("collision", "en:A", "s1"), ("metadata", "de:B", "author"), ("no original", "de:B", ""), ("overwrite", "en:A", "2"), ("pair code", "de:C", "A/B"), ("same title", "A", "Z")]
+    points = spark.createDataFrame([("en", "A", None), ("en", "A", None), ("de", "D", "A")], "lang string, book_code string, book_pair string")
+    asked = spark.createDataFrame([("en", "A", 3), ("en", "X", None)], "lang string, book_code string, n long")
+    assert rows(checks.delete_violations(asked, points)) == [("count", "en:A", "2"), ("no points", "en:X", ""), ("paired", "en:A", "de:D")]
+    assert rows(checks.left_over(asked, points)) == [("en", "A", 2)]
+    verses = spark.createDataFrame([("kjv", "Gen.1.1", None), ("kjv", "Gen.1.1", None), ("kjv", "Gen.01.2", 4), ("K V", "Gen.1.3", None)], "bible string, osis string, page int")
+    assert {(r.rule, r.subject) for r in checks.bible_violations(verses, "bible", "osis").collect()} == {("edition", "K V"), ("key", "kjv"), ("duplicate", "kjv"), ("forbidden", "kjv")}
+    packs = spark.createDataFrame([("sop", "a"), ("sop", "b")], "profile string, id_rule string")
+    assert rows(checks.agreement(packs)) == [("id_rule", 2)]
+
+
+def test_stages(spark):
+    log = spark.createDataFrame([("j", "open", "ok"), ("j", "preflight", "ok"), ("j", "write", "failed")], "job string, stage string, status string")
+    assert [r.stage for r in jobs.stages_to_run(log, "job").orderBy("position").collect()] == ["open", "contract", "probe", "write", "verify", "report"]
+    states = spark.createDataFrame([("a", "running"), ("b", "done")], "job string, status string")
+    assert rows(jobs.interrupted(states)) == [("a", "interrupted"), ("b", "done")]
+    seen = []
+    with pytest.raises(ZeroDivisionError):
+        jobs.run_stages({"open": lambda: None, "preflight": lambda: seen.append("no"), "write": lambda: 1 / 0}, {"open", "preflight"}, lambda *x: seen.append(x))
+    assert seen == [("open", "running"), ("open", "ok"), ("write", "running"), ("write", "failed")]
+    events = spark.createDataFrame([("j", 2.0, 10, 40), ("j", 5.0, 20, 40), ("k", 0.0, 0, 3)], "job string, elapsed_s double, done int, total int")
+    assert rows(jobs.pace(events, "job").select("job", "rate", "eta_s")) == [("j", 4.0, 5.0), ("k", None, None)]
+
+
 def test_jobs(spark):
     events = spark.createDataFrame([("j", 3), ("j", 1), ("k", 2)], "job string, at int")
     numbered = jobs.numbered(events, "job", ["at"])
