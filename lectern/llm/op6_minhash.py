@@ -175,11 +175,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     near = pairs.join(signed.alias("l"), F.col("a") == F.col("l.id")).join(signed.alias("r"), F.col("b") == F.col("r.id")).where(close).select("a", "b")
     links = confirmed(docs, near, size, percent)
     labels = components(links)
-    # Buckets that still hold several components get further leaders, each its own: whoever is like the leader joins it, so
-    # that a family of which the most central leader was no member does not meet pair by pair.
+    # Buckets that still hold several components get further leaders, drawn by id alone, so that one member leads all buckets
+    # of its family: whoever is like it joins it, and a family of which the most central leader was no member does not meet pair by pair.
     for turn in range(TURNS):
         mixed = saved(mixed_buckets(rows, labels), f"mixed-{turn}")
-        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("draw"), "id", "label")).alias("lead")
+        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("draw"), "id", "label")).alias("lead")
         leads = saved(mixed.groupBy("key").agg(drawn, F.count(F.lit(1)).alias("n")).select("key", F.col("lead.id").alias("leader"), F.col("lead.label").alias("leader_label"), "n"), "leads")
         pairs = split_join(mixed, leads, ["key"], "n").where("label <> leader_label").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         near = pairs.join(signed.alias("l"), F.col("a") == F.col("l.id")).join(signed.alias("r"), F.col("b") == F.col("r.id")).where(close).select("a", "b")
