@@ -57,7 +57,7 @@ def sop_lookup(points: DataFrame, queries: list, codes: list[str] | None = None,
     limit = clamp(limit, 1, 20)
     asked = query_table(points.sparkSession, queries, codes)
     own = points.where(F.col("lang") == lang)
-    vectors = own.select(F.xxhash64("id").alias("id"), "vector", "book_code")
+    vectors = own.select("id", "vector", "book_code")
     per_code = asked.withColumn("book_code", F.explode_outer("codes"))
     named, free = per_code.where("book_code is not null"), per_code.where("book_code is null")
     # Each (query, code) is a search of its own; the best of a query's codes are ranked together.
@@ -69,7 +69,7 @@ def sop_lookup(points: DataFrame, queries: list, codes: list[str] | None = None,
     empty = asked.join(first.select("query_id").distinct(), "query_id", "left_anti")
     second = search.cosine_topk(vectors, empty.select("query_id", "vector"), limit, FALLBACK_SCORE).withColumn("pass", F.lit(2))
     hits = first.unionByName(second).withColumnRenamed("id", "point")
-    shown = own.select(F.xxhash64("id").alias("point"), "book_code", "page", "para_key", F.col("raw_text").alias("text"), *provenance())
+    shown = own.select(F.col("id").alias("point"), "book_code", "page", "para_key", F.col("raw_text").alias("text"), *provenance())
     return hits.join(shown, "point").drop("point").withColumn("score", F.round("score", 3)).orderBy("query_id", "rank")
 
 
@@ -126,8 +126,8 @@ def bible_list_translations(verses: DataFrame) -> DataFrame:
 def bible_search(verses: DataFrame, vector: list[float], bible: str | None = None, limit: int = 5, min_score: float = 0.5) -> DataFrame:
     own = verses if bible is None else verses.where(F.col("bible") == bible)
     query = query_table(verses.sparkSession, [vector], None).select("query_id", "vector")
-    hits = search.cosine_topk(own.select(F.xxhash64("id").alias("id"), "vector"), query, clamp(limit, 1, 20), min_score)
-    return own.withColumn("point", F.xxhash64("id")).join(hits.select(F.col("id").alias("point"), "score", "rank"), "point").select("osis", "bible", "text", "score", "rank").orderBy("rank")
+    hits = search.cosine_topk(own.select("id", "vector"), query, clamp(limit, 1, 20), min_score)
+    return own.withColumn("point", F.col("id")).join(hits.select(F.col("id").alias("point"), "score", "rank"), "point").select("osis", "bible", "text", "score", "rank").orderBy("rank")
 
 
 def _requested(spark: SparkSession, ref: str) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +142,7 @@ def _requested(spark: SparkSession, ref: str) -> tuple[DataFrame, DataFrame]:
     if not n:
         raise ValueError("no reference given")
     if n > osis.MAX_KEYS:
-        raise ValueError(f"reference spans too many verses (>{osis.MAX_KEYS}); split it")
+        raise ValueError(f"more than {osis.MAX_KEYS} verses are asked for")
     return expanded, keys
 
 
