@@ -66,11 +66,15 @@ def tool_context(t: Tables) -> DataFrame:
     return tools.sop_context(_points(t), book.source if book else "", "4.0").select("page", "para_key", "text", "is_target")
 
 
-@query("""SELECT e.source AS book_pair, ((e.doc_id // 10) || '.' || (e.doc_id % 10)) AS en_key, md5(coalesce(e.text, '')) AS text FROM documents d JOIN documents e ON e.doc_id = d.doc_id - 1 AND e.source = d.source WHERE d.doc_id = 41""")
+@query("""WITH n AS (SELECT e.doc_id, e.source, e.text FROM documents d JOIN documents e ON e.doc_id = d.doc_id - 1 AND e.source = d.source WHERE d.doc_id % 2 = 1)
+SELECT source AS book_pair, (doc_id // 10) || '.' || (doc_id % 10) AS en_key, md5(coalesce(text, '')) AS text FROM n ORDER BY doc_id LIMIT 1""")
 def tool_parallel(t: Tables) -> DataFrame:
-    """The English paragraph that the German one of document 41 names."""
-    book = t.documents.where("doc_id = 41").select("source").first()
-    return tools.sop_parallel(_points(t), book.source if book else "", "4.1").select("book_pair", "en_key", "text")
+    """The English paragraph that the first German one with an original in its own book names."""
+    before = t.documents.select((F.col("doc_id") + 1).alias("doc_id"), "source")
+    book = t.documents.where("doc_id % 2 = 1").select("doc_id", "source").join(before, ["doc_id", "source"]).orderBy("doc_id").first()
+    if book is None:
+        return tools.sop_parallel(_points(t), "", "0.0").select("book_pair", "en_key", "text")
+    return tools.sop_parallel(_points(t), book.source, f"{book.doc_id // 10}.{book.doc_id % 10}").select("book_pair", "en_key", "text")
 
 
 @query("""SELECT source AS book_code, (doc_id // 10)::INT AS page, (doc_id // 10) || '.' || (doc_id % 10) AS para_key FROM documents WHERE doc_id % 2 = 0 AND doc_id % 31 = 4 ORDER BY doc_id::VARCHAR LIMIT 200""")
