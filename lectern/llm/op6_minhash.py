@@ -27,8 +27,9 @@ from .textblock import BASES, LOWER, Prefix, Words, blocks, mix, text_bytes
 HASHES, BANDED, ROWS, BITS = 768, 128, 4, 2
 #: Pairs that look less similar than this are not confirmed: 4.5 standard deviations of the estimate below 0.75.
 LEAST_ESTIMATE = 0.665
-#: Further turns in which buckets of several components choose a leader.
-TURNS = 3
+#: Further turns, at most, in which buckets of several components choose a leader; none is needed once
+#: their members meet no more than so many others on average.  The search pair by pair that follows is exact in any case.
+TURNS, FEW_MET = 3, 32
 #: So many ids (8 bytes each) are broadcast to pick documents; more are shuffled, and the texts with them.
 BROADCAST_IDS = 500_000
 _rng = np.random.default_rng(6)
@@ -139,11 +140,22 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
-def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, label) of the members of buckets that hold several components."""
-    members = saved(rows.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "members")
+def mixed_buckets(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(key, id, band, label) of the members of buckets that hold several components, and how many members such a row meets."""
+    members = saved(rows.select("key", "id", "band").join(labels, "id", "left").select("key", "id", "band", F.coalesce("label", "id").alias("label")), "members")
     several = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n")
-    return split_join(members, saved(several, "several"), ["key"], "n")
+    several = saved(several, "several")
+    met = several.agg(F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).first()[0]
+    return saved(split_join(members, several, ["key"], "n"), "mixed"), met or 0.0
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links; those are (a, b) pairs of labels, an id without one being its own."""
+    over = saved(components(links), "over")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(over.select(F.col("id").alias("label"), F.col("label").alias("low")), "label", "left")
+    sizes = saved(sizes.select("label", F.coalesce("low", "label").alias("low"), "n"), "sizes")
+    known = split_join(labels, sizes, ["label"], "n").select("id", F.col("low").alias("label"))
+    return saved(known.unionByName(over.join(labels.select("id"), "id", "left_anti")), "labels")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -161,7 +173,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = saved(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id").alias("x")).select("s1", "s2", "id", "x.*"), "classes")
     buckets = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    close = (similarity("l.sig", "r.sig") >= LEAST_ESTIMATE) & (100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles"))
+    like_sized = 100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles")
+    close = like_sized & (similarity("l.sig", "r.sig") >= LEAST_ESTIMATE)
     # Rows of buckets that several share; how often a document meets others there tells how central it is.
     again = saved(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "again")
     rows = saved(split_join(buckets, again.select("key", "k", F.col("k").alias("n")), ["key"], "n"), "buckets")
@@ -172,36 +185,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     leader = -F.col("lead.minus")
     pairs = led.select(F.least("id", leader).alias("a"), F.greatest("id", leader).alias("b")).distinct()
     signed = classes.select("id", "n_shingles", "sig")
-    near = pairs.join(signed.alias("l"), F.col("a") == F.col("l.id")).join(signed.alias("r"), F.col("b") == F.col("r.id")).where(close).select("a", "b")
-    links = confirmed(docs, near, size, percent)
-    labels = components(links)
-    # Buckets that still hold several components get further leaders, drawn by id alone, so that one member leads all buckets
-    # of its family: whoever is like it joins it, and a family of which the most central leader was no member does not meet pair by pair.
-    for turn in range(TURNS):
-        mixed = saved(mixed_buckets(rows, labels), f"mixed-{turn}")
-        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("draw"), "id", "label")).alias("lead")
-        leads = saved(mixed.groupBy("key").agg(drawn, F.count(F.lit(1)).alias("n")).select("key", F.col("lead.id").alias("leader"), F.col("lead.label").alias("leader_label"), "n"), "leads")
-        pairs = split_join(mixed, leads, ["key"], "n").where("label <> leader_label").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        near = pairs.join(signed.alias("l"), F.col("a") == F.col("l.id")).join(signed.alias("r"), F.col("b") == F.col("r.id")).where(close).select("a", "b")
-        fresh = confirmed(docs, near, size, percent)
-        if fresh.isEmpty():
+
+    def close_ones(pairs: DataFrame) -> DataFrame:
+        return pairs.join(signed.alias("l"), F.col("a") == F.col("l.id")).join(signed.alias("r"), F.col("b") == F.col("r.id")).where(close).select(*pairs.columns)
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        """The labels (x, y) of the pairs (a, b) that are confirmed."""
+        pairs = saved(pairs, "pairs")
+        return saved(confirmed(docs, pairs.select("a", "b"), size, percent).join(pairs, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "fresh")
+
+    labels = components(confirmed(docs, close_ones(pairs), size, percent))
+    # While members of mixed buckets would meet many others, the buckets get further leaders, drawn by id alone, so that one
+    # member leads all buckets of its family; each member is compared with one leader a turn that looks like it.  A turn that
+    # does not halve what is met is the last.  A bucket of one component never becomes mixed again.
+    before = float("inf")
+    for turn in range(TURNS + 1):
+        rows, met = mixed_buckets(rows, labels)
+        if met <= FEW_MET or met > before / 2 or turn == TURNS:
             break
-        links = saved(links.unionByName(fresh), "links")
-        labels = components(links)
+        before = met
+        lead = F.struct(F.xxhash64(F.lit(turn), "id").alias("draw"), F.col("id").alias("b"), F.col("label").alias("y"))
+        leads = saved(rows.groupBy("key").agg(F.min(lead).alias("lead"), F.count(F.lit(1)).alias("n")), "leads")
+        pairs = split_join(rows, leads, ["key"], "n").where("label <> lead.y").select(F.col("id").alias("a"), F.col("label").alias("x"), "lead.*").distinct()
+        links = fresh(close_ones(pairs).groupBy("a", "x").agg(F.min(F.struct("draw", "b", "y")).alias("lead")).select("a", "x", "lead.b", "lead.y"))
+        if not links.isEmpty():
+            labels = merged(labels, links)
     # What is left there: each member with the members of other components near its size,
     # once for each pair, in the first band that both share.
-    grouped = classes.select("id", "n_shingles", "bands", "sig").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    grouped = grouped.withColumn("step", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))))
-    mixed = mixed_buckets(rows, labels).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rest = split_join(rows.select("key", "id", "band"), saved(mixed, "mixed"), ["key"], "n")
-    rest = saved(rest.join(grouped.hint("shuffle_hash"), "id"), "mixed")
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent)))
+    rest = saved(rows.join(classes.select("id", "n_shingles", "bands", "sig").hint("shuffle_hash"), "id").withColumn("step", step), "rest")
     left = rest.withColumn("step", F.explode(F.array("step", F.col("step") + 1))).alias("l")
-    first_shared = F.least(*[F.when(F.col("l.bands")[i] == F.col("r.bands")[i], i).otherwise(HASHES) for i in range(BANDED // ROWS)])
+    first_shared = F.coalesce(*[F.when(F.col("l.bands")[i] == F.col("r.bands")[i], i) for i in range(BANDED // ROWS)])
     ordered = F.struct("l.n_shingles", "l.id") < F.struct("r.n_shingles", "r.id")
-    cross = left.join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.step") == F.col("r.step")) & (F.col("l.label") != F.col("r.label")) & ordered & close & (F.col("l.band") == first_shared))
-    more = confirmed(docs, cross.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")), size, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    cross = left.join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.step") == F.col("r.step")) & (F.col("l.label") != F.col("r.label")) & ordered & like_sized & (F.col("l.band") == first_shared) & close)
+    links = fresh(cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.label").alias("x"), F.col("r.label").alias("y")))
+    if not links.isEmpty():
+        labels = merged(labels, links)
     vertex = full.join(classes.select("s1", "s2", F.col("id").alias("vertex")), ["s1", "s2"]).select("doc_id", "vertex")
     found = vertex.join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "vertex")).alias("component"))
     return sketch.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"))
