@@ -58,6 +58,23 @@ def payload_problems(profile: str, present: Column, payload_text: Column) -> Col
     return F.array_sort(F.concat(missing, unknown, blank))
 
 
+def payload(profile: str, columns: list[str]) -> Column:
+    """A block as the JSON text of its payload, from columns named as the profile's keys.
+
+    Required keys stand there even if null or no column; optional ones only where they have a value, and the place of a
+    piece only where its paragraph has several.
+    """
+    several = F.col("chunks") > 1 if "chunks" in columns else F.lit(False)
+    there = lambda k: F.when(several, F.col(k)) if k in ("chunk", "chunks") else F.col(k)
+    required = F.struct(*[(F.col(k) if k in columns else F.lit(None).cast("string")).alias(k) for k in REQUIRED[profile]])
+    made = F.to_json(required, {"ignoreNullFields": "false"})
+    known = [k for k in OPTIONAL[profile] if k in columns]
+    if not known:
+        return made
+    rest = F.to_json(F.struct(*[there(k).alias(k) for k in known]), {"ignoreNullFields": "true"})
+    return F.when(rest == "{}", made).otherwise(F.concat(F.substr(made, F.lit(1), F.length(made) - 1), F.lit(","), F.substr(rest, F.lit(2))))
+
+
 def sidecar(source: str | Path) -> dict:
     """Options from '<source>.meta.toml', if it is there."""
     path = Path(f"{source}.meta.toml")
