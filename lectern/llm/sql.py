@@ -60,3 +60,19 @@ f AS (SELECT a.* FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE a.doc_id = b
 SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, f.start, f.length, f.period, 1000 * f.length // f.period AS exponent_milli, sha256(coalesce(s.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
 FROM d LEFT JOIN s USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+OP12_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+x AS (SELECT lang, k, phrase, f AS a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT x.lang, x.phrase, a, (2000000::HUGEINT * a // (l.f::HUGEINT + r.f))::BIGINT AS score, cut, l.f AS l, r.f AS r FROM x
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(f) AS held FROM (SELECT lang, w, f, k, z, unnest(range(1, k - z + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS z FROM c)) GROUP BY ALL),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM b LEFT JOIN h USING (lang, phrase) WHERE held IS NULL OR 100::HUGEINT * held < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
