@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op1_line_dedup import op1_line_dedup
 from .op10_language_id import op10_language_id
+from .op11_pitman_yor import op11_pitman_yor
 from .op12_collocations import op12_collocations
 from .op13_periodic_runs import op13_periodic_runs
 from .op2_substring_dedup import op2_substring_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix_array": op9_suffix_array,
     "op10_language_id": op10_language_id,
+    "op11_pitman_yor": op11_pitman_yor,
     "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }
