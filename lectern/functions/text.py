@@ -64,28 +64,33 @@ def _rejoined(pieces: Column) -> Column:
 def split_long(text: Column, limits: Limits = Limits()) -> Column:
     """Pieces of a paragraph: whole if short, else greedily packed sentences, sentences that are too long cut by words.
 
-    The packing is a fold that numbers the piece of each sentence, so it stays in the plan and words are counted once.
+    One pass over the sentences carries the words of the open piece and where the pieces begin; what a lambda needs twice is bound to
+    its variable, so nothing is evaluated again for each piece.
     """
     parts = F.transform(sentences(text), lambda x: F.struct(x.alias("text"), word_count(x).alias("n")))
-    start = F.struct(F.lit(0).alias("piece"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("of"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
 
     def add(state: Column, sentence: Column) -> Column:
-        full = (state["n"] > 0) & (state["n"] + sentence["n"] > limits.target_words)
-        piece = state["piece"] + full.cast("int")
-        # A sentence without words opens a piece as any other, so an open piece counts at least one.
-        return F.struct(piece.alias("piece"), F.greatest(F.when(full, 0).otherwise(state["n"]) + sentence["n"], F.lit(1)).alias("n"), F.concat(state["of"], F.array(piece)).alias("of"))
-
-    of = F.aggregate(parts, start, add, lambda state: state["of"])
-    numbered = F.arrays_zip(of.alias("piece"), parts.alias("part"))
-    last = F.coalesce(F.array_max(of), F.lit(-1))
-    packed = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.transform(F.filter(numbered, lambda x: x["piece"] == k), lambda x: x["part"]["text"]), " "))).otherwise(F.array().cast("array<string>"))
-
-    def cut(piece: Column) -> Column:
-        tokens = words(piece)
+        opens = (state["at"] == 0) | (state["n"] + sentence["n"] > limits.target_words)
+        starts = F.when(opens, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"])
+        return F.struct((state["at"] + 1).alias("at"), F.when(opens, sentence["n"]).otherwise(state["n"] + sentence["n"]).alias("n"), starts.alias("starts"))
+
+    def bound(value: Column, use) -> Column:
+        return F.flatten(F.transform(F.array(value), use))
+
+    def joined(sentence: Column, starts: Column) -> Column:
+        until = lambda k: F.coalesce(F.get(starts, k + 1), F.size(sentence))
+        return F.transform(starts, lambda s, k: _rejoined(F.transform(F.slice(sentence, s + 1, until(k) - s), lambda x: x["text"])))
+
+    def cut(tokens: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(limits.target_words))
-        return F.when(F.size(tokens) <= limits.max_words, F.array(piece)).otherwise(F.transform(starts, lambda i: _rejoined(F.slice(tokens, i + 1, limits.target_words))))
+        return F.transform(starts, lambda i: _rejoined(F.slice(tokens, i + 1, limits.target_words)))
+
+    def pieces_of(piece: Column) -> Column:
+        return F.when(word_count(piece) <= limits.max_words, F.array(piece)).otherwise(bound(words(piece), cut))
 
-    pieces = F.filter(F.flatten(F.transform(packed, cut)), lambda p: stripped(p) != "")
+    packed = bound(parts, lambda p: bound(F.aggregate(p, start, add, lambda state: state["starts"]), lambda s: joined(p, s)))
+    pieces = F.filter(F.flatten(F.transform(packed, pieces_of)), lambda p: stripped(p) != "")
     return F.when(word_count(text) <= limits.max_words, F.array(text)).otherwise(pieces)
 
 

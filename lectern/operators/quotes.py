@@ -1,54 +1,179 @@
-"""Verification of quotations against a corpus."""
+"""Verification of quotations against a corpus.
+
+A quotation meets the texts that share its rare word sequences: sequences of `gram` words are joined by their hash, each
+quotation keeps those that occur least, and what they hit is a candidate with the diagonal on which it lies.  Each candidate is
+then aligned word by word in a band about its diagonals, and the best alignment of a quotation decides its verdict.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Quotations that one automaton holds; more take several passes over the corpus.
-QUOTES_AT_ONCE = 20_000
+#: Sequences of quotations that are broadcast to the texts at most (a hash each); beyond, both sides are shuffled.
+BROADCAST_GRAMS = 1 << 20
+#: Diagonals of one candidate, and how many words an alignment may leave out or put in beyond them.
+DIAGONALS, SLACK = 64, 64
+MATCH, MISS = 2, -1
+#: Cells of the alignments that are made together.
+CELLS = 1 << 22
+VERDICTS = ("verified", "wording differs", "incomplete", "wrong reference", "not found")
+
+
+def tokens_of(text: Column) -> Column:
+    """The words of the normal form."""
+    return F.filter(F.split(T.normal_form(text), " "), lambda w: w != "")
+
+
+def grams_of(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, pos, gram) for each sequence of n words; rows have key and words."""
+    at = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
+    # The words are bound to a variable, else each place would make them anew.
+    made = F.transform(F.array("words"), lambda w: F.transform(at, lambda i: F.xxhash64(F.lit(n), F.slice(w, i + 1, n))))
+    return rows.select(key, F.posexplode(F.element_at(made, 1)).alias("pos", "gram"))
+
 
+def hits_of(quotes: DataFrame, texts: DataFrame, gram: int, anchors: int) -> DataFrame:
+    """(item_id, doc_id, at): places where an anchor of a quotation lies, as that of the quotation's first word.
 
-def verify(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    Quotations of fewer than `gram` words are looked for whole.
+    """
+    found = None
+    for n in range(1, gram + 1):
+        own = quotes.where(F.size("words") == n if n < gram else F.size("words") >= n)
+        if own.isEmpty():
+            continue
+        asked = grams_of(own, "item_id", n)
+        wanted = asked.select("gram").distinct()
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_GRAMS else wanted
+        places = grams_of(texts, "doc_id", n).join(wanted, "gram", "left_semi")
+        often = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        rare = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "pos"))
+        chosen = asked.join(often, "gram").withColumn("_rn", rare).where(F.col("_rn") <= anchors).select("item_id", "gram", F.col("pos").alias("q"))
+        hit = chosen.join(places, "gram").select("item_id", "doc_id", (F.col("pos") - F.col("q")).alias("at")).distinct()
+        found = hit if found is None else found.unionByName(hit)
+    return quotes.sparkSession.createDataFrame([], "item_id bigint, doc_id bigint, at int") if found is None else found
+
+
+def verify(quotes: DataFrame, docs: DataFrame, gram: int = 4) -> DataFrame:
     """For each quotation whether a document has it exactly, up to case and punctuation, or not at all.
 
     quotes: item_id, text; docs: doc_id, text.  Returns item_id, verdict, documents (that have its normal form) and
-    first_doc.  All quotations of a pass are looked for at once by an automaton in each task, so the
-    corpus is scanned once for QUOTES_AT_ONCE of them and only hits are shuffled.
+    first_doc.  A quotation without words is in no document, a null text is no quotation.
     """
-    quotes = quotes.where("text is not null").select("item_id", "text", T.normal_form(F.col("text")).alias("normal"))
-    passes = max(1, -(-quotes.count() // QUOTES_AT_ONCE))
-    found = None
-    for k in range(passes):
-        rows = [tuple(r) for r in quotes.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()]  # about QUOTES_AT_ONCE
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def task(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            automaton, by_form = ahocorasick.Automaton(), {}
-            for item, text, form in shared.value:
-                if form:
-                    by_form.setdefault(f" {form} ", []).append((item, text))
-            for form in by_form:
-                automaton.add_word(form, form)
-            if by_form:
-                automaton.make_automaton()
-            for part in parts:
-                hits = []
-                for doc, text, form in zip(part["doc_id"], part["text"], part["normal"], strict=True):
-                    forms = {f for _, f in automaton.iter(f" {form} ")} if by_form else ()
-                    hits += [(item, doc, quote in text) for f in forms for item, quote in by_form[f]]
-                yield pd.DataFrame(hits, columns=["item_id", "doc_id", "exact"])
-
-        own = docs.where("text is not null").select("doc_id", "text", T.normal_form(F.col("text")).alias("normal")).mapInPandas(task, "item_id bigint, doc_id bigint, exact boolean")
-        found = own if found is None else found.unionByName(own)
-    counts = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("exact").alias("exact"), F.min("doc_id").alias("first_doc"))
+    quotes = quotes.where("text is not null").select("item_id", "text", tokens_of(F.col("text")).alias("words"))
+    docs = docs.where("text is not null").select("doc_id", "text", tokens_of(F.col("text")).alias("words"))
+    # One rare sequence is enough: where it is not, the quotation cannot be.
+    hits = hits_of(quotes, docs, gram, 1).where("at >= 0")
+    both = hits.join(quotes.select("item_id", F.col("text").alias("quote"), F.col("words").alias("asked")), "item_id").join(docs, "doc_id")
+    same = both.where(F.slice("words", F.col("at") + 1, F.size("asked")) == F.col("asked"))
+    by_doc = same.groupBy("item_id", "doc_id").agg(F.max(F.col("text").contains(F.col("quote"))).alias("exact"))
+    counts = by_doc.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("exact").alias("exact"), F.min("doc_id").alias("first_doc"))
     joined = quotes.select("item_id").join(counts, "item_id", "left")
     verdict = F.when(F.col("exact"), "exact").when(F.col("documents") > 0, "normalised").otherwise("none")
     return joined.select("item_id", verdict.alias("verdict"), F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
+
+
+def aligned(quotes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Local alignments of quotations (rows of numbers, filled up with -2) with their windows (filled up with -1), in a band: word i of
+    a quotation meets the places i .. i + width - 1 of its window, which is as much longer.  Score, words matched, first and end place.
+
+    Row i of the band holds the best score that ends at word i and place i + k; a word left out or put in costs as much as one that differs.
+    """
+    rows, n = quotes.shape
+    width = windows.shape[1] - n
+    steps = np.arange(width)
+    score, came = np.zeros((rows, width + 1), np.int32), np.zeros((n, rows, width), np.int8)
+    best, last, end = np.zeros(rows, np.int32), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    for i in range(n):
+        same = windows[:, i : i + width] == quotes[:, i : i + 1]
+        diagonal = score[:, :-1] + np.where(same, MATCH, MISS)
+        skipped = score[:, 1:] + MISS  # a word of the quotation that the text has not
+        here = np.maximum(np.maximum(diagonal, skipped), 0)
+        # Words of the text that the quotation has not: the best of all before, less one for each.
+        here = np.maximum(np.maximum.accumulate(here - MISS * steps, axis=1) + MISS * steps, 0)
+        came[i] = np.where(here == 0, 0, np.where(here == diagonal, np.where(same, 1, 2), np.where(here == skipped, 3, 4)))
+        score[:, :-1] = here
+        k = here.argmax(axis=1)
+        top = here[np.arange(rows), k]
+        better = top > best
+        best, last, end = np.where(better, top, best), np.where(better, i, last), np.where(better, k, end)
+    i, k, matched, first = last.copy(), end.copy(), np.zeros(rows, np.int64), last + end
+    open_ = np.flatnonzero(best > 0)
+    while len(open_):
+        step = came[i[open_], open_, k[open_]]
+        open_, step = open_[step > 0], step[step > 0]
+        level = step <= 2
+        matched[open_] += step == 1
+        first[open_[level]] = i[open_[level]] + k[open_[level]]
+        i[open_] -= step <= 3
+        k[open_] += np.where(step == 3, 1, np.where(step == 4, -1, 0))
+        open_ = open_[(i[open_] >= 0) & (k[open_] >= 0) & (k[open_] < width)]
+    return best, matched, first, last + end + 1
+
+
+def _judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates of like lengths are aligned together, a bounded number of cells at a time."""
+    width = DIAGONALS + 2 * SLACK
+    for part in parts:
+        part = part.iloc[np.argsort([len(x) for x in part["asked"]], kind="stable")]
+        sizes, a = [len(x) for x in part["asked"]], 0
+        while a < len(part):
+            b = a + 1
+            while b < len(part) and (b + 1 - a) * sizes[b] * width <= CELLS:
+                b += 1
+            quotes, windows = np.full((b - a, sizes[b - 1]), -2), np.full((b - a, sizes[b - 1] + width), -1)
+            for r in range(a, b):
+                numbers = {w: i for i, w in enumerate(dict.fromkeys(part["asked"].iat[r]))}
+                quotes[r - a, : sizes[r]] = [numbers[w] for w in part["asked"].iat[r]]
+                words = part["words"].iat[r]
+                windows[r - a, : len(words)] = [numbers.get(w, -1) for w in words]
+            score, matched, first, end = aligned(quotes, windows)
+            low = part["low"].to_numpy()[a:b]
+            yield pd.DataFrame({"item_id": part["item_id"].to_numpy()[a:b], "doc_id": part["doc_id"].to_numpy()[a:b], "score": score, "matched": matched, "first": low + first, "end": low + end})
+            a = b
+
+
+def verdicts(quotes: DataFrame, docs: DataFrame, gram: int = 3, anchors: int = 8, least: float = 0.6) -> DataFrame:
+    """One verdict for each quotation, with the place that it comes from.
+
+    quotes: item_id, text and cited (the doc_id that it is said to come from, or null); docs: doc_id, text.  Returns item_id,
+    verdict, doc_id, first and end (places of words in the document), words (of the quotation), matched and score.
+
+    'verified': the words stand there in one piece, in the cited document if one is cited; 'wrong reference': they do, but in
+    other documents only; 'incomplete': all words stand there in their order, but the source has words between them; 'wording
+    differs': at least the share `least` of the words can be aligned; 'not found': less, or no common sequence of `gram` words
+    among the quotation's `anchors` rarest.  Of equal alignments that of the cited document counts, then the
+    smallest doc_id and place.  At most SLACK words are skipped or inserted on one side of a candidate's diagonals.  A null text or one
+    without words is not found; item_id is unique; documents that repeat a doc_id count as several texts of it.
+    """
+    asked = quotes.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("cited").cast("bigint").alias("cited"), F.coalesce(tokens_of(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens_of(F.col("text")).alias("words"))
+    hits = hits_of(asked, texts, gram, anchors)
+    places = hits.select("item_id", "doc_id", F.floor(F.col("at") / DIAGONALS).cast("int").alias("block")).distinct()
+    low = F.col("block") * DIAGONALS - SLACK
+    both = places.join(asked.select("item_id", F.col("words").alias("asked")), "item_id").join(texts, "doc_id")
+    # Only the words in reach travel on; those before the text are made up for by empty ones.
+    size = F.size("asked") + DIAGONALS + 2 * SLACK
+    window = F.concat(F.array_repeat(F.lit(""), F.greatest(-low, F.lit(0))), F.slice("words", F.greatest(low, F.lit(0)) + 1, F.greatest(size + F.least(low, F.lit(0)), F.lit(0))))
+    judged = both.select("item_id", "doc_id", low.alias("low"), "asked", window.alias("words")).mapInPandas(_judge, "item_id bigint, doc_id bigint, score int, matched int, first int, end int")
+    facts = asked.select("item_id", "cited", F.size("words").alias("n"))
+    scored = judged.join(facts, "item_id").withColumn("there", F.coalesce(F.col("doc_id") == F.col("cited"), F.lit(False)))
+    best = scored.groupBy("item_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), (~F.col("there")).alias("elsewhere"), "doc_id", "first", "end", "matched", "score")).alias("b"))
+    made = facts.join(best, "item_id", "left").select("item_id", "cited", "n", "b.*")
+    whole = (F.col("matched") == F.col("n")) & (F.col("n") > 0)
+    verdict = (
+        F.when(whole & (F.col("end") - F.col("first") == F.col("n")), F.when(F.col("cited").isNull() | ~F.col("elsewhere"), "verified").otherwise("wrong reference"))
+        .when(whole, "incomplete")
+        .when(F.col("matched") >= F.col("n") * least, "wording differs")
+        .otherwise("not found")
+    )
+    found = verdict != "not found"
+    keep = lambda c: F.when(found, F.col(c)).alias(c)
+    return made.select("item_id", verdict.alias("verdict"), keep("doc_id"), keep("first"), keep("end"), F.col("n").alias("words"), keep("matched"), keep("score"))

@@ -3,7 +3,8 @@
 A version is written whole before its pointer is made, and pointers are made anew under the next number, never
 replaced: the highest one that can be read counts.  A crash at any step leaves the pointer before, and with it
 all data; the version before is the undo.  One writer at a time: a lock file, made atomically by the file system,
-refuses the second until it is older than `stale` seconds, after which its writer counts as dead.
+refuses the second until it is older than `stale` seconds, after which its writer counts as dead.  The lock holds its owner's
+name: a writer that was taken for dead makes no pointer and takes nobody else's lock away.
 
 Rows are dealt into parts by a hash of their key.  A change writes the parts it touches; a version is a list of part folders,
 old ones and new.  Inside a part rows are ordered by the columns `order`, so that filters on these skip row groups.
@@ -77,8 +78,9 @@ class CorpusStore:
     # ---- lock
 
     @contextmanager
-    def _locked(self) -> Iterator[None]:
-        lock = self._path("LOCK")
+    def _locked(self) -> Iterator[str]:
+        """Hold the lock; gives the owner's name."""
+        lock, owner = self._path("LOCK"), uuid.uuid4().hex
         self._fs.mkdirs(self._path(""))
         try:
             age = time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000
@@ -87,13 +89,32 @@ class CorpusStore:
         except Exception:  # there is none
             pass
         try:
-            self._fs.create(lock, False).close()
+            stream = self._fs.create(lock, False)
         except Exception as e:
             raise Busy(self.path) from e
+        stream.write(owner.encode())
+        stream.close()
         try:
-            yield
+            yield owner
         finally:
-            self._fs.delete(lock, True)
+            if self._owner() == owner:
+                self._fs.delete(lock, True)
+
+    def _owner(self) -> str | None:
+        try:
+            stream = self._fs.open(self._path("LOCK"))
+            try:
+                return bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+        except Exception:  # nobody
+            return None
+
+    def _renew(self, owner: str) -> None:
+        """Before what cannot be taken back: the lock must still be ours, and is young again."""
+        if self._owner() != owner:
+            raise Busy(f"{self.path}: the lock was taken by another writer")
+        self._fs.setTimes(self._path("LOCK"), int(time.time() * 1000), -1)
 
     def break_lock(self) -> None:
         """Take away the lock of a writer that is known to be dead."""
@@ -131,10 +152,14 @@ class CorpusStore:
     def _part(self, width: int) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(width)).cast("int")
 
-    def _commit(self, make: Callable[[DataFrame | None], DataFrame], touched: DataFrame | None = None) -> int:
-        """Write a version: all parts, or those of the keys in `touched`."""
-        with self._locked():
+    def _commit(self, make: Callable[[DataFrame | None], DataFrame], touched: DataFrame | None = None, note: Callable[[dict], dict | None] = lambda state: {}) -> int | None:
+        """Write a version: all parts, or those of the keys in `touched`.  `note` sees the state under the lock and gives what else the
+        new pointer says, or None if there is nothing to do."""
+        with self._locked() as owner:
             state = self._state()
+            said = note(state)
+            if said is None:
+                return None
             version, width = state["next"], state["width"]
             parts = None
             if touched is not None and state["versions"]:
@@ -148,7 +173,8 @@ class CorpusStore:
             filled = [int(s.getPath().getName()[6:]) for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("_part=")]
             current = {k: v for k, v in before.items() if int(k) not in (parts or [])} | {str(k): folder for k in filled}
             versions = [*state["versions"], {"number": version, "parts": current}][-self.keep :]
-            self._point(state | {"versions": versions, "next": version + 1, "schema": rows.schema.jsonValue()})
+            self._renew(owner)
+            self._point(state | said | {"versions": versions, "next": version + 1, "schema": rows.schema.jsonValue()})
             self._sweep(state, versions)
             return version
 
@@ -158,10 +184,23 @@ class CorpusStore:
         for folder in {f for v in state["versions"] for f in v["parts"].values()} - used:
             self._fs.delete(self._path(folder), True)
 
-    def upsert(self, rows: DataFrame) -> int:
+    def upsert(self, rows: DataFrame, note: Callable[[dict], dict | None] = lambda state: {}) -> int | None:
         """Rows replace those of the same key; of repeated keys in `rows` the last by all columns stays.  Returns the new version."""
         rows = one_of_each(rows, self.key)
-        return self._commit(lambda old: rows if old is None else merged(old, rows, self.key), rows)
+        return self._commit(lambda old: rows if old is None else merged(old, rows, self.key), rows, note)
+
+    def note(self, note: Callable[[dict], dict | None]) -> None:
+        """Add to what the pointer says, without a new version."""
+        with self._locked() as owner:
+            state = self._state()
+            said = note(state)
+            if said:
+                self._renew(owner)
+                self._point(state | said)
+
+    def told(self, key: str) -> dict:
+        """What was noted under a key."""
+        return self._state().get(key) or {}
 
     def delete(self, where: Column) -> int:
         """Delete what matches; a condition that is null does not match."""
@@ -196,12 +235,13 @@ class CorpusStore:
 
     def check_fingerprint(self, fingerprint: str) -> None:
         """Remember the embedding contract at first; later refuse another."""
-        state = self._state()
-        if state["fingerprint"] not in (None, fingerprint):
-            raise ValueError("these vectors come from another embedding contract")
-        if state["fingerprint"] is None:
-            self._fs.mkdirs(self._path(""))
-            self._point(state | {"fingerprint": fingerprint})
+
+        def first(state: dict) -> dict:
+            if state["fingerprint"] not in (None, fingerprint):
+                raise ValueError("these vectors come from another embedding contract")
+            return {} if state["fingerprint"] else {"fingerprint": fingerprint}
+
+        self.note(first)
 
 
 def one_of_each(rows: DataFrame, key: str) -> DataFrame:

@@ -261,3 +261,24 @@ def quote_verify(t: Tables) -> DataFrame:
     from ..operators.quotes import verify
 
     return verify(t.benchmark, t.documents)
+
+
+#: Words 11 to 50 of the longer documents as quotations of five kinds: as they stand, with another source, with two words changed, with words left out, made up.
+QUOTED = """WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id AS item_id, doc_id % 5 AS kind, array_to_string(CASE WHEN doc_id % 5 = 3 THEN w[11:25] || w[36:50] ELSE w[11:50] END, ' ') AS t, CASE WHEN doc_id % 5 = 1 THEN doc_id + 1 ELSE doc_id END AS cited FROM d WHERE len(w) >= 60 AND doc_id % 10 < 5)
+"""
+
+
+@query(QUOTED + """SELECT item_id, CASE WHEN kind = 2 THEN 'wording differs' WHEN kind = 4 THEN 'not found'
+  WHEN contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || t || ' ') THEN 'verified' WHEN kind = 3 THEN 'incomplete' ELSE 'wrong reference' END AS verdict,
+  CASE kind WHEN 3 THEN 30 ELSE 40 END AS words FROM q LEFT JOIN d ON d.doc_id = q.cited""", long="words")
+def quote_verdicts(t: Tables) -> DataFrame:
+    from ..operators.quotes import tokens_of, verdicts
+
+    kind, w = F.col("doc_id") % 5, F.slice("w", 11, 40)
+    taken = t.documents.select("doc_id", tokens_of(F.col("text")).alias("w")).where("size(w) >= 60 and doc_id % 10 < 5")
+    changed = F.transform(w, lambda x, i: F.when(i.isin(9, 29), F.lit("zzqx")).otherwise(x))
+    made_up = F.transform(w, lambda x, i: F.concat(F.lit("zzqx"), i.cast("string"), F.col("doc_id").cast("string")))
+    said = F.when(kind == 2, changed).when(kind == 3, F.concat(F.slice("w", 11, 15), F.slice("w", 36, 15))).when(kind == 4, made_up).otherwise(w)
+    quotes = taken.select(F.col("doc_id").alias("item_id"), F.array_join(said, " ").alias("text"), F.when(kind == 1, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("cited"))
+    return verdicts(quotes, t.documents).select("item_id", "verdict", "words")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,15 @@ class Tables:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
 
+def scratch_folder(t: Tables) -> str:
+    """A new folder that driver and executors share, for a query that writes files; it goes when the driver ends."""
+    spark = t._spark
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return where.toString()
+
+
 def widened(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: df[c].cast("long") for c in columns}) if columns else df
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..functions import vectors as V
-from ..operators import checks
-from ..sources import contract
-from .registry import Tables, query
+from ..operators import checks, rules
+from ..sources import contract, packs
+from .registry import Tables, query, scratch_folder
 
 #: Each vector beside the following one, as a calibration beside its fixture; the last has none.
 COMPARED = """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -107,3 +108,50 @@ def payloads(t: Tables) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 50 + 1850).alias("year"), F.lit(1).alias("chunk"), F.when(F.col("doc_id") % 4 == 0, 2).otherwise(1).alias("chunks"),
     )
     return blocks.select("doc_id", contract.payload("sop", blocks.columns).alias("payload"))
+
+
+@query("""SELECT label::VARCHAR AS book_code, count(*) AS n, count(DISTINCT vec_id) AS uids, sum(vec_id)::BIGINT AS numbers,
+round(sum(embedding[1]::DOUBLE), 4) AS first, round(sum(embedding[64]::DOUBLE), 4) AS last, 0::BIGINT AS problems FROM embeddings GROUP BY label""")
+def pack_round_trip(t: Tables) -> DataFrame:
+    """Vectors written as packs, checked and read again."""
+    uid = F.concat(F.lit("en:v:"), F.col("vec_id").cast("string"))
+    payload = F.to_json(F.struct(F.lit("en").alias("lang"), F.col("label").cast("string").alias("book_code"), F.col("vec_id").alias("number")))
+    folder = scratch_folder(t)
+    packs.write_packs(t.embeddings.select(uid.alias("uid"), ids.uuid5(uid).alias("id"), payload.alias("payload"), F.col("embedding").alias("vector")), folder, blockRows="1024")
+    got = packs.read_packs(t._spark, folder).select("uid", F.from_json("payload", "book_code string, number bigint").alias("p"), "vector")
+    sums = got.groupBy("p.book_code").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("uid").alias("uids"), F.sum("p.number").alias("numbers"), F.round(F.sum(F.element_at("vector", 1).cast("double")), 4).alias("first"), F.round(F.sum(F.element_at("vector", 64).cast("double")), 4).alias("last")
+    )
+    wrong = packs.pack_problems(t._spark, folder).agg(F.count(F.lit(1)).alias("problems"))
+    return sums.crossJoin(F.broadcast(wrong))
+
+
+#: Conversations as paragraphs of books of twenty; each turn is a piece.  Some lack a turn, have one twice, or belong to books with gaps in their fields.
+RULED = """WITH c AS (SELECT conv_id // 20 AS book, conv_id::VARCHAR AS para_key, turn AS seq, turn AS chunk, count(*) OVER (PARTITION BY conv_id) AS chunks, CASE WHEN conv_id % 13 = 0 AND turn = 1 THEN ' ' ELSE text END AS text FROM conversations),
+b AS (SELECT * FROM c WHERE para_key::BIGINT % 7 <> 0 OR seq <> 1 UNION ALL SELECT * FROM c WHERE para_key::BIGINT % 11 = 0 AND seq < 2),
+p AS (SELECT *, sum(CASE WHEN chunk = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY book, para_key ORDER BY seq) AS grp FROM b),
+g AS (SELECT book, para_key, grp, count(*) AS n, min(chunks) AS a, max(chunks) AS z, min(chunk) AS c, max(chunk) AS d, count(DISTINCT chunk) AS e FROM p GROUP BY ALL),
+v AS (SELECT book, 'empty text' AS rule, para_key || '#' || seq AS detail FROM b WHERE coalesce(trim(text), '') = ''
+UNION SELECT book, 'duplicate', para_key || '#' || seq FROM b GROUP BY book, para_key, seq HAVING count(*) > 1
+UNION SELECT book, 'density', para_key FROM b GROUP BY book, para_key HAVING min(seq) <> 0 OR max(seq) <> count(*) - 1 OR count(DISTINCT seq) <> count(*)
+UNION SELECT book, 'partition', para_key FROM g WHERE grp = 0 OR a <> z OR n <> z OR c <> 0 OR d <> n - 1 OR e <> n
+UNION SELECT book, 'metadata', 'title' FROM b WHERE book % 3 = 0 UNION SELECT book, 'metadata', 'author' FROM b WHERE book % 2 = 0
+UNION SELECT book, 'id rule', 'bible/v1' FROM b WHERE book % 4 = 1 UNION SELECT book, 'target', 'contract' FROM b WHERE book % 5 = 2)
+"""
+
+
+@query(RULED + """SELECT book, rule, count(*) AS n, array_to_string(list_sort(list(detail))[1:10], ' ') AS listed FROM v GROUP BY book, rule""")
+def rule_report(t: Tables) -> DataFrame:
+    return rules.report(rules.violations(_ruled(t), ["book"], "c1"), ["book"]).withColumn("listed", F.array_join("listed", " "))
+
+
+def _ruled(t: Tables) -> DataFrame:
+    conv, turn = F.col("conv_id"), F.col("turn")
+    sizes = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("chunks"))
+    rows = t.conversations.join(sizes, "conv_id").withColumn("text", F.when((conv % 13 == 0) & (turn == 1), " ").otherwise(F.col("text")))
+    times = F.when((conv % 7 != 0) | (turn != 1), 1).otherwise(0) + F.when((conv % 11 == 0) & (turn < 2), 1).otherwise(0)
+    rows = rows.withColumn("time", F.explode(F.array_repeat(F.lit(1), times)))
+    book = F.floor(conv / 20)
+    fields = [F.lit("B").alias("book_code"), F.lit("en").alias("lang"), F.when(book % 3 != 0, "t").alias("title"), F.lit("pioneers").alias("corpus"), F.when(book % 2 != 0, "a").alias("author"), F.lit(1900).alias("year")]
+    fields += [F.lit("sop").alias("profile"), F.when(book % 4 == 1, "bible/v1").otherwise("sop/seq").alias("id_rule"), F.lit("sop").alias("target_profile"), F.when(book % 5 == 2, "c2").otherwise("c1").alias("target_contract")]
+    return rows.select(book.alias("book"), conv.cast("string").alias("para_key"), turn.alias("seq"), turn.alias("chunk"), "chunks", "text", *fields)

@@ -78,9 +78,16 @@ def extraction_stats(t: Tables) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks_in"), F.count("reason").alias("dropped"), F.coalesce(kept("w"), F.lit(0)).alias("words"), F.round(F.when(F.coalesce(kept("f"), F.lit(0)) == 0, 0.0).otherwise(kept("bad") / kept("f")), 6).alias("damage"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, text, list_transform(string_split(regexp_replace(text, '([.!?;:])["”’'']?[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)),
+  lambda x: {{'done': []::VARCHAR[], 'open': x, 'n': {WORDS.format('x')}}}) AS l FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, list_reduce(l, lambda a, b: CASE WHEN a.n + b.n > 220 THEN {{'done': list_append(a.done, a.open), 'open': b.open, 'n': b.n}} ELSE {{'done': a.done, 'open': a.open || ' ' || b.open, 'n': a.n + b.n}} END) AS r FROM s WHERE {WORDS.format('text')} > 300),
+q AS (SELECT doc_id, generate_subscripts(r.done, 1) AS i, unnest(r.done) AS t FROM p UNION ALL SELECT doc_id, len(r.done) + 1, r.open FROM p),
+w AS (SELECT *, regexp_extract_all(t, '\\S+') AS v FROM q),
+c AS (SELECT doc_id, i, 0 AS j, t FROM w WHERE len(v) <= 300 UNION ALL SELECT doc_id, i, j, array_to_string(v[j + 1:j + 220], ' ') FROM (SELECT *, unnest(range(0, len(v), 220)) AS j FROM w WHERE len(v) > 300)),
+o AS (SELECT doc_id, i, j, t FROM c WHERE trim(t) <> '' UNION ALL SELECT doc_id, 0, 0, text FROM s WHERE {WORDS.format('text')} <= 300)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS seq, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk,
+  count(*) OVER (PARTITION BY doc_id) AS chunks, {WORDS.format('t')} AS words, md5(t) AS digest FROM o""", long="seq chunk chunks words")
 def chunk_long(t: Tables) -> DataFrame:
-    """Greedy packing is a fold, which SQL has not; it is tested against a plain loop."""
     docs = t.documents.where("text is not null").select("doc_id", F.lit("1.1").alias("para_key"), F.lit(0).alias("pos"), "text")
     return corpus.chunks_of(docs, ["doc_id", "para_key"], ["pos"]).select("doc_id", "seq", "chunk", "chunks", "words", F.md5("text").alias("digest"))
 

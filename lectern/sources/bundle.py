@@ -2,14 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import struct
-import zipfile
-from collections.abc import Iterator
-from io import BytesIO
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,39 +36,3 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     if not check_bundle(spark, path).isEmpty():
         raise ValueError(f"{path} does not hold what its manifest says")
     return spark.read.parquet(f"{path}/points")
-
-
-def floats(data: bytes, dim: int) -> np.ndarray:
-    """Little-endian float32 rows."""
-    return np.frombuffer(data, "<f4").reshape(-1, dim)
-
-
-def packed(vector: list[float]) -> bytes:
-    return struct.pack(f"<{len(vector)}f", *vector)
-
-
-def read_packs(spark: SparkSession, path: str, rows: int = 1000) -> DataFrame:
-    """(file, n, point, vector) of ZIP packs: lines of points.jsonl beside rows of vectors.f32, which must be as many.
-
-    Each pack is read in one task, as its two entries belong together by position; it is streamed in blocks of rows.
-    """
-
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for file, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(BytesIO(content)) as pack:
-                    if pack.testzip():
-                        raise ValueError(f"{file}: damaged entry {pack.testzip()}")
-                    manifest = json.loads(pack.read("manifest.json"))
-                    if str(manifest["schema"]).partition("/")[2].partition(".")[0] not in ("1", "2"):
-                        raise ValueError(f"{file}: schema {manifest['schema']} is not known")
-                    dim = int(manifest["embedding"]["dim"])
-                    points = pack.read("points.jsonl").decode().splitlines()
-                    vectors = floats(pack.read("vectors.f32"), dim)
-                if len(points) != len(vectors):
-                    raise ValueError(f"{file}: {len(points)} points, {len(vectors)} vectors")
-                for at in range(0, len(points), rows):
-                    own = points[at : at + rows]
-                    yield pd.DataFrame({"file": file, "n": range(at, at + len(own)), "point": own, "vector": list(vectors[at : at + rows])})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(task, "file string, n bigint, point string, vector array<float>")

@@ -1,6 +1,5 @@
 import io
 import json
-import struct
 import zipfile
 
 import pytest
@@ -94,21 +93,6 @@ def test_bundle_round_trip(spark, tmp_path):
         bundle.read_bundle(spark, path)
 
 
-def test_packs(spark, tmp_path):
-    def pack(name, vectors):
-        with zipfile.ZipFile(tmp_path / name, "w") as z:
-            z.writestr("manifest.json", json.dumps({"schema": "pack/2", "embedding": {"dim": 2}}))
-            z.writestr("points.jsonl", '{"id": "1"}\n{"id": "2"}\n')
-            z.writestr("vectors.f32", struct.pack(f"<{len(vectors)}f", *vectors))
-
-    pack("a.zip", [1, 2, 3, 4])
-    got = bundle.read_packs(spark, str(tmp_path / "a.zip")).orderBy("n").collect()
-    assert [(json.loads(r.point)["id"], r.vector) for r in got] == [("1", [1.0, 2.0]), ("2", [3.0, 4.0])]
-    pack("b.zip", [1, 2])
-    with pytest.raises(Exception, match="2 points, 1 vectors"):
-        bundle.read_packs(spark, str(tmp_path / "b.zip")).collect()
-
-
 def test_remap(spark):
     cases = {
         ("luther1912", "Ps.51.1"): "Ps.51.3",
