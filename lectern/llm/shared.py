@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def consumed(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more, and let go of the shuffle files of what was made of them.
+
+    Spark drops the files of a shuffle when the driver's garbage collection finds that nobody holds it.
+    """
+    for t in tables:
+        if path := getattr(t, "_saved_at", None):
+            removed(t.sparkSession, path)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def removed(spark: SparkSession, path: str) -> None:
