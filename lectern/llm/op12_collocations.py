@@ -18,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import removed, saved, shared_folder
+from .shared import bucket_of, removed, saved, shared_folder
 
 #: So many frequent groups at most are broadcast to the occurrences; beyond, both are shuffled.
 BROADCAST_GROUPS = 1 << 20
@@ -152,8 +152,12 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
     inner = F.expr("flatten(transform(sequence(2, k - 1), s -> transform(sequence(1, k - s + 1), i -> array_join(slice(w, i, s), ' '))))")
     holders = longer.where("k > 2").select("lang", "f", F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("held"))
     kept = judged.join(holders, ["lang", "phrase"], "left").where(F.col("held").isNull() | (exact(F.col("held")) * 100 < exact(F.col("a")) * cover))
-    ranked = kept.select("lang", F.expr("row_number() over (partition by lang order by worst.score desc, a desc, phrase)").cast("long").alias("rank"), "phrase", "a", "worst.l", "worst.r", "worst.score")
-    return ranked.where(F.col("rank") <= most).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # A language may hold most candidates: the best of each of its parts come first, then the best of these.
+    order = "order by worst.score desc, a desc, phrase"
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = kept.withColumn("part", bucket_of(F.col("phrase"), parts)).withColumn("rank", F.expr(f"row_number() over (partition by lang, part {order})")).where(F.col("rank") <= most)
+    ranked = best.withColumn("rank", F.expr(f"row_number() over (partition by lang {order})").cast("long")).where(F.col("rank") <= most)
+    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "worst.l", "worst.r", "n", "worst.score")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
