@@ -83,8 +83,11 @@ def sparse_rows(docs: DataFrame) -> pa.Table:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 1 << 19):
-            bucket, text = ngrams(block.column(0))
-            key, count = np.unique(text * BUCKETS + bucket, return_counts=True)
+            parts = [np.unique(text * BUCKETS + bucket, return_counts=True) for bucket, text in ngram_parts(block.column(0))]
+            key, count = parts[0]
+            if len(parts) > 1:
+                key, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                count = np.bincount(which, np.concatenate([c for _, c in parts])).astype(np.int64)
             ends = np.searchsorted(key, np.arange(block.num_rows + 1) * BUCKETS).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (key % BUCKETS, count)]
             yield pa.RecordBatch.from_arrays([block.column(1), block.column(2), *lists], names=["lang", "fold", "bucket", "count"])
@@ -155,9 +158,11 @@ def fit_temperature(scores: np.ndarray, target: np.ndarray) -> float:
 def train(docs: DataFrame, per_language: int = 600) -> Model | None:
     """Fit on documents with text, lang and doc_id; about `per_language` of each language, spread by a hash of doc_id.
 
-    A fifth of the sample only serves the calibration.  None if there is nothing to learn from.
+    Of rows that share language and doc_id one is learnt from, so the sample has its bound however often ids repeat.  A fifth of it only
+    serves the calibration.  None if there is nothing to learn from.
     """
-    counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
+    ids = docs.select("lang", "doc_id").distinct()
+    counts = {r.lang: r.n for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
     if not counts:
         return None
     df, total = document_frequency(docs)
@@ -165,7 +170,8 @@ def train(docs: DataFrame, per_language: int = 600) -> Model | None:
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(rate)
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    table = sparse_rows(docs.where(draw < rate).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5))))
+    chosen = docs.where(draw < rate).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    table = sparse_rows(chosen.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5))))
     languages = sorted(counts)
     idf = np.log((1 + total) / (1 + df)) + 1
     features, counts_ = ([np.asarray(x) for x in table.column(c).to_pylist()] for c in ("bucket", "count"))
@@ -215,7 +221,7 @@ def identify_languages(docs: DataFrame, per_language: int = 600, keep: tuple[str
     Learns only from text and non-null lang of documents that are not held out (crc32 of doc_id as text, modulo 4, is not
     2).  A null text, an empty one or one without a letter gets 'und' and score 0; so does all if nothing can be learnt.
     Rows without a doc_id count as not held out only for prediction: they are never learnt from.  Repeated rows are predicted
-    each; the columns kept may have any names but those three.  A very long text is read in parts.  An empty table gives an empty table.
+    each, and of those that share language and doc_id the smallest text is learnt from; the columns kept may have any names but those three.  A very long text is read in parts.  An empty table gives an empty table.
     """
     if clash := {"held_out", "lang_pred", "score"} & set(keep):
         raise ValueError(f"these columns are made here: {sorted(clash)}")
