@@ -116,8 +116,9 @@ def sample_rows(docs: DataFrame, labels: DataFrame, categories: list[str], per_c
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((pairs % BUCKETS).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([block.column(0), *block.columns[2:], lists], names=[*block.schema.names[:1], *block.schema.names[2:], "bucket"])
 
-    # The sample has about 2 * per_class rows whatever the tables' size, so it may be broadcast.
-    joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "fold", *categories)
+    # The sample has about 2 * per_class rows whatever the tables' size, so it may be broadcast; of rows that share a doc_id one is learnt from.
+    own = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    joined = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "fold", *categories)
     table = joined.mapInArrow(task, "doc_id long, fold long, " + ", ".join(f"{c} int" for c in categories) + ", bucket array<int>").toArrow().sort_by("doc_id")
     if not table.num_rows:
         return None
@@ -129,9 +130,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], pe
     """Probability of each category, in chain order, for every document: doc_id and one p_<category> column each.
 
     Reads doc_id and text of `docs`; `labels` holds doc_id and one 0/1 column for each category, the last being the one
-    that matters.  Rows that miss a label are not learnt from; of repeated labels the largest counts.  A null or empty text
+    that matters.  Rows that miss a label are not learnt from; of repeated labels the largest counts.
+    Of labelled rows that share a doc_id the smallest text is learnt from; each is scored.  Categories may have any names but doc_id, text,
+    fold and bucket.  A very long text is one block of its task, with some 50 bytes for each word.  An empty table gives an empty table.  A null or empty text
     has no words and gets the probabilities of the bias alone; without any labelled document all probabilities are null.
     """
+    if clash := {"doc_id", "text", "fold", "bucket"} & set(categories):
+        raise ValueError(f"these names are used here: {sorted(clash)}")
     lean_batches(docs.sparkSession)
     docs = document_columns(docs)
     found = sample_rows(docs, labels, categories, per_class)
