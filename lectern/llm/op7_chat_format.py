@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .shared import saved
 
-NO_TURN = (1 << 63) - 1
 #: Turns 0 to 1023 of a pair make its first row, the next 1024 its second: few pairs have more than one.
 CHUNK_BITS = 10
 #: So many pairs of several rows (two longs each) are broadcast; more are shuffled.
@@ -54,10 +53,10 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     prefix of turns, that is, every turn before the first one at which number, role or text of the two sides differ, rendered
     once; what follows on each side is its completion.  A mask lists, as (first, end) in characters of its completion, what a
     model learns from: what the assistant says, with the end mark, but not the role tags.  A part without turns is an empty
-    text.  Sides that agree entirely are all prompt; a pair with one side only has no prompt.  Rows without pair_id or turn are
+    text.  Sides that agree entirely are no pair and are left out; a pair with one side only has no prompt.  Rows without pair_id or turn are
     left out, null roles and texts count as empty, and of repeated turns the smallest by role and text counts.  A pair whose
-    turns reach beyond number 1023 continues in further rows (chunk 1, 2, ...), so that a conversation of any length is
-    rendered whole and none has to fit one row.  An empty table gives an empty table.
+    turns reach beyond number 1023 continues in further rows (chunk 1, 2, ...), so that a conversation of any number of turns is
+    rendered whole; the texts of up to 1,024 turns of both sides share a row, which must be less than 2 GB.  An empty table gives an empty table.
     """
     a, b = one_per_turn(chosen).withColumnRenamed("said", "c"), one_per_turn(rejected).withColumnRenamed("said", "r")
     both = a.join(b, ["pair_id", "turn"], "full_outer").withColumn("d", F.col("c").isNull() | F.col("r").isNull() | (F.col("c") != F.col("r")))
@@ -69,7 +68,8 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     n = several.count()
     if n:
         rows = rows.join(F.broadcast(several) if n <= BROADCAST_PAIRS else several, "pair_id", "left").withColumn("split", F.coalesce("least", "split"))
-    rows = rows.withColumn("split", F.coalesce("split", F.lit(NO_TURN)))
+    # Where no turn differs there is nothing to prefer.
+    rows = rows.where("split is not null")
     after = F.filter("turns", lambda x: x["turn"] >= F.col("split"))
     said = {
         "prompt": F.transform(F.filter("turns", lambda x: x["turn"] < F.col("split")), lambda x: x["c"]),
@@ -107,7 +107,7 @@ WITH t AS (
 ), cut AS (
   SELECT *, coalesce(min(CASE WHEN c <> r THEN turn END) OVER (PARTITION BY pair_id), 9223372036854775807) AS split FROM p
 ), seg AS (
-  SELECT pair_id, turn, turn // 1024 AS chunk, turn < split AS shared, c.r = 'assistant' AS c_loss, r.r = 'assistant' AS r_loss,
+  SELECT pair_id, turn, split, turn // 1024 AS chunk, turn < split AS shared, c.r = 'assistant' AS c_loss, r.r = 'assistant' AS r_loss,
     '<|im_start|>' || c.r || chr(10) AS c_head, c.t || '<|im_end|>' || chr(10) AS c_said,
     '<|im_start|>' || r.r || chr(10) AS r_head, r.t || '<|im_end|>' || chr(10) AS r_said FROM cut
 ), pos AS (
@@ -120,5 +120,5 @@ SELECT pair_id, chunk,
   coalesce(string_agg(r_head || r_said, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected,
   coalesce(string_agg((c_end - length(c_said)) || '-' || c_end, ',' ORDER BY turn) FILTER (NOT shared AND c_loss), '') AS chosen_mask,
   coalesce(string_agg((r_end - length(r_said)) || '-' || r_end, ',' ORDER BY turn) FILTER (NOT shared AND r_loss), '') AS rejected_mask
-FROM pos GROUP BY pair_id, chunk
+FROM pos WHERE split < 9223372036854775807 GROUP BY pair_id, chunk
 """

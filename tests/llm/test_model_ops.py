@@ -100,13 +100,40 @@ def test_toxicity(spark):
     labels += [(5, None, 1), (999, 1, 1), (0, 1, 1)]
     docs = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, toxic int")
     got = {r.doc_id: r for r in score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, low int, toxic int"), ["low", "toxic"]).collect()}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and all(got[i].p_toxic is not None for i in got)
+    with pytest.raises(ValueError, match="fold"):
+        score_toxicity(docs, spark.createDataFrame([], "doc_id long, fold int"), ["fold"])
     held = [(got[i].p_toxic >= 0.5) == (i % 4 == 0) for i in range(300, 400)]
     assert np.mean(held) >= 0.95 and got[501].p_toxic < 0.5
     without = score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"), ["toxic"])
     assert without.where("p_toxic is null").count() == len(rows)
 
 
+def test_repeated_ids_keep_the_sample_small(spark):
+    """One labelled id with 20,001 rows is one row of the sample."""
+    from lectern.llm import op5_toxicity as op5
+    from lectern.llm import op10_language_id as op10
+
+    docs = spark.range(20_001).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs = docs.unionByName(spark.range(100, 130).select(F.col("id").alias("doc_id"), F.lit("other words").alias("text")))
+    labels = spark.createDataFrame([(7, 1)] + [(i, 0) for i in range(100, 130)], "doc_id long, toxic int")
+    rows, y, _ = op5.sample_rows(docs, labels, ["toxic"], 100)
+    assert len(rows) == 31 and y.sum() == 1
+    seen = []
+    original = op10.sparse_rows
+
+    def counted(df):
+        seen.append(df.count())
+        return original(df)
+
+    op10.sparse_rows = counted
+    try:
+        assert op10.train(docs.withColumn("lang", F.when(F.col("doc_id") == 7, "a").otherwise("b")), 100) is not None
+    finally:
+        op10.sparse_rows = original
+    assert seen == [31]
+
+
 def test_category_shares():
     """Rows that stand for more labelled documents count more: mean probabilities follow the labels' shares."""
     p, weight = np.array([0.9, 0.8, 0.2, 0.1]), np.array([1.0, 1.0, 9.0, 9.0])
@@ -121,7 +148,6 @@ def test_preferences(spark, monkeypatch):
     one = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
     want = {
         1: (one("user", "hi"), one("assistant", "good") + one("user", "more"), one("assistant", "bad"), ["good<|im_end|>\n"], ["bad<|im_end|>\n"]),
-        2: (one("user", "same"), "", "", [], []),
         3: ("", one("user", "alone"), "", [], []),
         4: (one("user", ""), one("assistant", "x"), one("assistant", "z"), ["x<|im_end|>\n"], ["z<|im_end|>\n"]),
     }
