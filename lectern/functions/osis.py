@@ -40,7 +40,7 @@ def canonical_order(key: Column) -> Column:
 
 
 def split_refs(refs: Column) -> Column:
-    return F.filter(F.transform(F.split(refs, "[;,]"), F.trim), lambda r: r != "")
+    return F.filter(F.transform(F.split(refs, "[;,]"), lambda r: F.trim(r)), lambda r: r != "")
 
 
 def bounded_refs(refs: DataFrame) -> DataFrame:

@@ -110,12 +110,63 @@ def inspected(blocks: DataFrame, book: list[str]) -> DataFrame:
     return keys.groupBy(*book).agg(F.sum("n").alias("blocks"), F.sum("heads").alias("paragraphs"), F.count_if(F.col("heads") > 1).alias("collided"), F.sum("split").alias("split"))
 
 
+def coverage(verses: DataFrame, edition: str, key: str, chunks: str | None = None) -> DataFrame:
+    """For each edition its books, chapters and verses, how many of its keys are no verses, how many verses are split, and the canonical
+    books that it lacks, in canonical order.  The books of an edition are at most those of the canon, whatever its size."""
+    from ..functions import osis
+
+    valid = osis.is_verse(F.col(key))
+    book, chapter = F.substring_index(key, ".", 1), F.substring_index(key, ".", 2)
+    rows = verses.select(edition, F.col(key).alias("_key"), F.when(valid, book).alias("_book"), F.when(valid, chapter).alias("_chapter"), (F.coalesce(F.col(chunks), F.lit(1)) > 1 if chunks else F.lit(False)).alias("_split"))
+    by_chapter = rows.groupBy(edition, "_book", "_chapter").agg(F.count(F.lit(1)).alias("n"), F.count_if("_split").alias("split"))
+    facts = by_chapter.groupBy(edition).agg(
+        F.collect_set("_book").alias("_books"), F.count("_chapter").alias("chapters"), F.sum(F.when(F.col("_book").isNotNull(), F.col("n")).otherwise(0)).alias("verses"),
+        F.sum("split").alias("split"), F.sum(F.when(F.col("_book").isNull(), F.col("n")).otherwise(0)).alias("invalid"),
+    )
+    missing = F.array_except(F.array(*map(F.lit, osis.BOOKS)), "_books")
+    return facts.select(edition, F.size("_books").alias("books"), "chapters", "verses", "split", "invalid", missing.alias("missing"))
+
+
 def described(index: DataFrame, pairs: DataFrame) -> DataFrame:
     """Books of an index with the number of their translations and the first of them."""
     named = pairs.groupBy(F.col("code").alias("book_code")).agg(F.count(F.lit(1)).alias("translations"), F.min("pair").alias("first_translation"))
     return index.join(named, "book_code", "left").withColumn("translations", F.coalesce("translations", F.lit(0)))
 
 
+def after_import(books: DataFrame, points: DataFrame, sample: int = 3, required: tuple[str, ...] = ("title", "author", "corpus"), near: int = 1) -> DataFrame:
+    """What is wrong with books that were imported: (lang, book_code, problem, detail).
+
+    'count': the table has another number of points than the manifest (detail: expected and found); 'metadata': a required field that
+    the book's first point lacks; 'unreachable': a stored point that a search with its own vector, among the points of its language
+    and book, does not find among the `near` first, where a point that is exactly as near counts as itself (detail: the id).  Of each
+    book the `sample` smallest ids are searched for, so queries grow with the books and not with their points.
+
+    books: lang, book_code, n; points: id, lang, book_code, vector and the required fields.
+    """
+    from .search import cosine_topk
+
+    key = ["lang", "book_code"]
+    asked = books.select(*key, F.col("n").alias("want"))
+    facts = points.groupBy(*key).agg(F.count(F.lit(1)).alias("got"), F.min_by(F.struct(*required), "id").alias("m"))
+    both = asked.join(facts, key, "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    counts = both.where("got <> want").select(*key, F.lit("count").alias("problem"), F.concat_ws(" ", F.col("want").cast("string"), F.col("got").cast("string")).alias("detail"))
+    lacking = F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col(f"m.{c}").cast("string")), F.lit("")) == "", c) for c in required]))
+    gaps = both.where("got > 0").select(*key, F.lit("metadata").alias("problem"), F.explode(lacking).alias("detail"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+    mine = points.join(F.broadcast(asked.select(*key)), key, "left_semi").withColumn("_rn", rank).where(F.col("_rn") <= sample).select("id", "vector", *key)
+    # The search leaves out the query's own id, so the sample asks under names of its own.
+    queries = mine.select(F.concat(F.lit("?"), F.col("id").cast("string")).alias("query_id"), F.coalesce("vector", F.array().cast("array<float>")).alias("vector"), *key, F.col("id").alias("own"))
+    whole = queries.where("size(vector) > 0")
+    there = points.select(F.col("id").cast("string").alias("id"), "vector", *key).where("size(vector) > 0")
+    hits = cosine_topk(there, whole.select("query_id", "vector", *key), near, None, tuple(key))
+    self_score = F.when(F.expr("exists(vector, x -> x <> 0)"), 1.0)
+    best = hits.groupBy("query_id").agg(F.max(F.struct("score", "id")).alias("b"), F.collect_set("id").alias("ids"))
+    judged = queries.join(best, "query_id", "left").withColumn("self", self_score)
+    found = F.coalesce(F.array_contains("ids", F.col("own").cast("string")) & F.col("self").isNotNull(), F.lit(False)) | F.coalesce(F.col("b.score") >= F.col("self"), F.lit(False))
+    lost = judged.where(~found).select(*key, F.lit("unreachable").alias("problem"), F.col("own").cast("string").alias("detail"))
+    return counts.unionByName(gaps).unionByName(lost)
+
+
 # ---- one table of violations: rule, subject, detail
 
 VIOLATION = ("rule", "subject", "detail")

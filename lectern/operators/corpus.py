@@ -22,6 +22,28 @@ def none_of(*conditions: Column) -> Column:
     return keep
 
 
+def any_of(groups: list[list[Column]]) -> Column:
+    """should: at least one of the groups of conditions, of which each must hold; a condition that is null does not."""
+    found = F.lit(False)
+    for conditions in groups:
+        every = F.lit(True)
+        for c in conditions:
+            every = every & F.coalesce(c, F.lit(False))
+        found = found | every
+    return found
+
+
+def retrieved(points: DataFrame, ids: DataFrame, pos: str = "pos") -> DataFrame:
+    """Points of a list of ids (id and `pos`), in its order by `pos`: missing ids are left out, one that is asked for twice comes once."""
+    first = ids.where("id is not null").groupBy("id").agg(F.min(pos).alias(pos))
+    return points.join(first, "id")
+
+
+def attributable(points: DataFrame, corpus: str = "egw") -> DataFrame:
+    """Points whose words may be given under the main author's name: those of the main corpus; one without a corpus belongs to it."""
+    return points.where(F.coalesce(F.nullif(F.col("corpus"), F.lit("")), F.lit(corpus)) == corpus)
+
+
 def is_empty(column: Column, array: bool = False) -> Column:
     return column.isNull() | ((F.size(column) == 0) if array else (column == ""))
 

@@ -6,7 +6,9 @@ all data; the version before is the undo.  One writer at a time: a lock file, ma
 refuses the second until it is older than `stale` seconds, after which its writer counts as dead.  The lock holds its owner's
 name: a writer that was taken for dead makes no pointer and takes nobody else's lock away.
 
-Rows are dealt into parts by a hash of their key.  A change writes the parts it touches; a version is a list of part folders,
+Rows are dealt into parts by a hash of their key or, with `by`, by a hash of these columns and, inside each of its groups of `spread` parts, of
+the key: a language and book then has a few parts of its own, which is all that read_only() opens, and a hot one is still in several.
+A key must always come with the same values of `by`.  A change writes the parts it touches; a version is a list of part folders,
 old ones and new.  Inside a part rows are ordered by the columns `order`, so that filters on these skip row groups.
 """
 
@@ -30,8 +32,9 @@ class Busy(RuntimeError):
 class CorpusStore:
     """A table of points under a folder that all executors reach."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "id", keep: int = 5, parts: int = 64, order: tuple[str, ...] = (), stale: float = 24 * 3600):
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", keep: int = 5, parts: int = 64, order: tuple[str, ...] = (), stale: float = 24 * 3600, by: tuple[str, ...] = (), spread: int = 8):
         self.spark, self.path, self.key, self.keep, self.parts, self.order, self.stale = spark, path.rstrip("/"), key, keep, parts, order, stale
+        self.by, self.spread = tuple(by), min(spread, parts) if by else parts
         self._jvm = spark._jvm
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -61,7 +64,7 @@ class CorpusStore:
             state = self._read_pointer(number)
             if state is not None:
                 return state
-        return {"number": -1, "versions": [], "next": 0, "fingerprint": None, "width": self.parts, "schema": None}
+        return {"number": -1, "versions": [], "next": 0, "fingerprint": None, "width": self.parts, "by": list(self.by), "spread": self.spread, "schema": None}
 
     def _point(self, state: dict) -> None:
         """Make the next pointer: written aside, then renamed to a name that is free.  Then old pointers go."""
@@ -147,10 +150,30 @@ class CorpusStore:
         table = self._table(self._state())
         return None if table is None else table.drop("_part")
 
+    def read_only(self, **values) -> DataFrame | None:
+        """The current points with these values in the columns `by`, from the parts that can hold them; null matches nothing."""
+        if set(values) != set(self.by) or not values:
+            raise ValueError(f"a value is needed for each of {list(self.by)}")
+        state = self._state()
+        group = self.spark.range(1).select(self._group(state, *[F.lit(values[c]) for c in self.by])).first()[0]
+        table = self._table(state, list(range(group * state["spread"], (group + 1) * state["spread"])))
+        if table is None:
+            return None
+        for c in self.by:
+            table = table.where(F.col(c) == F.lit(values[c]))
+        return table.drop("_part")
+
     # ---- writing
 
-    def _part(self, width: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(width)).cast("int")
+    def _part(self, state: dict) -> Column:
+        width, by, spread = state["width"], state.get("by") or [], state.get("spread") or state["width"]
+        if by != list(self.by):
+            raise ValueError(f"{self.path} is dealt by {by or [self.key]}")
+        own = F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(spread if by else width))
+        return (self._group(state, *[F.col(c) for c in by]) * spread + own).cast("int") if by else own.cast("int")
+
+    def _group(self, state: dict, *values: Column) -> Column:
+        return F.pmod(F.xxhash64(*[v.cast("string") for v in values]), F.lit(max(1, state["width"] // state["spread"])))
 
     def _commit(self, make: Callable[[DataFrame | None], DataFrame], touched: DataFrame | None = None, note: Callable[[dict], dict | None] = lambda state: {}) -> int | None:
         """Write a version: all parts, or those of the keys in `touched`.  `note` sees the state under the lock and gives what else the
@@ -160,14 +183,14 @@ class CorpusStore:
             said = note(state)
             if said is None:
                 return None
-            version, width = state["next"], state["width"]
+            version, part = state["next"], self._part(state)
             parts = None
             if touched is not None and state["versions"]:
-                parts = sorted(r[0] for r in touched.select(self._part(width)).distinct().collect())  # no more than `width`
+                parts = sorted(r[0] for r in touched.select(part).distinct().collect())  # no more than the table has
             old = self._table(state, parts)
             folder = f"v{version}-{uuid.uuid4().hex[:8]}"
             made = make(None if old is None else old.drop("_part"))
-            rows = made.withColumn("_part", self._part(width)).repartition("_part").sortWithinPartitions("_part", *self.order)
+            rows = made.withColumn("_part", part).repartition("_part").sortWithinPartitions("_part", *self.order)
             rows.write.partitionBy("_part").parquet(f"{self.path}/{folder}")
             before = state["versions"][-1]["parts"] if state["versions"] and parts is not None else {}
             filled = [int(s.getPath().getName()[6:]) for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("_part=")]
@@ -207,7 +230,7 @@ class CorpusStore:
         return self._commit(lambda old: old.where(~F.coalesce(where, F.lit(False))))
 
     def delete_ids(self, ids: DataFrame) -> int:
-        return self._commit(lambda old: old.join(ids.select(self.key), self.key, "left_anti"), ids)
+        return self._commit(lambda old: old.join(ids.select(self.key), self.key, "left_anti"), None if self.by else ids)
 
     def rollback(self) -> int:
         """Back to the version before; returns it."""

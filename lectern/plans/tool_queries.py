@@ -77,6 +77,18 @@ def tool_parallel(t: Tables) -> DataFrame:
     return tools.sop_parallel(_points(t), book.source, f"{book.doc_id // 10}.{book.doc_id % 10}").select("book_pair", "en_key", "text")
 
 
+@query("""WITH b AS (SELECT doc_id, 'b' || doc_id // 40 AS book, (doc_id // 10) || '.' || (doc_id % 10) AS key, md5(coalesce(text, '')) AS text FROM documents)
+SELECT 'de' AS lang, x.book, x.key, x.text FROM b x JOIN b y ON x.doc_id = y.doc_id + 1 AND x.book = y.book AND x.doc_id % 2 = 1 AND y.book = 'b1' AND y.key = '4.2'
+UNION ALL SELECT 'en', x.book, x.key, x.text FROM b x JOIN b y ON x.doc_id = y.doc_id - 1 AND x.book = y.book AND y.doc_id % 2 = 1 AND y.book = 'b1' AND y.key = '4.3'""")
+def tool_parallel_both(t: Tables) -> DataFrame:
+    """From English to German and back, forty documents to a book."""
+    code = F.concat(F.lit("b"), F.floor(F.col("id").cast("long") / 40))
+    points = _points(t).withColumns({"book_code": code, "book_pair": F.when(F.col("lang") == "de", code)})
+    there = tools.sop_parallel(points, "b1", "4.2", "en", "de").select(F.lit("de").alias("lang"), F.col("t_book").alias("book"), F.col("t_key").alias("key"), "text")
+    back = tools.sop_parallel(points, "b1", "4.3", "de", "en").select(F.lit("en").alias("lang"), F.col("book_pair").alias("book"), F.col("en_key").alias("key"), "text")
+    return there.unionByName(back)
+
+
 @query("""SELECT source AS book_code, (doc_id // 10)::INT AS page, (doc_id // 10) || '.' || (doc_id % 10) AS para_key FROM documents WHERE doc_id % 2 = 0 AND doc_id % 31 = 4 ORDER BY doc_id::VARCHAR LIMIT 200""")
 def tool_by_bible_ref(t: Tables) -> DataFrame:
     """Paragraphs that cite a verse: at most 200, as the tool returns."""
@@ -110,6 +122,13 @@ def tool_bible_lookup(t: Tables) -> DataFrame:
     return tools.bible_lookup(_bible(t), "Gen.1; Exod.2", ["plain", "kjv"])[0]
 
 
+@query(EDITIONS + """SELECT pos AS ref_pos, ref FROM (VALUES (0, 'Gen.1.1-Gen.1.9', 'Gen', 1, 1, 9), (1, 'Obad.149', 'Obad', 149, 1, 999), (2, 'Ps.400.1', 'Ps', 400, 1, 1), (3, 'Exod.2.5', 'Exod', 2, 5, 5), (4, 'Rev.3', 'Rev', 3, 1, 999)) AS r(pos, ref, book, chapter, lo, hi)
+WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.bible = 'plain' AND starts_with(osis, r.book || '.' || r.chapter || '.') AND b.verse BETWEEN lo AND hi)""", long="ref_pos")
+def tool_lookup_missing(t: Tables) -> DataFrame:
+    """References that match nothing in an edition, in the order asked for."""
+    return tools.bible_lookup(_bible(t), "Gen.1.1-Gen.1.9; Obad.149, Ps.400.1 ;Exod.2.5; Rev.3;", "plain")[1].select("ref_pos", "ref")
+
+
 SCORED = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, p.label AS label, round(list_cosine_similarity(q.e, p.e), 6) AS score FROM v q JOIN v p ON q.vec_id IN (0, 1, 2))
 """

@@ -130,12 +130,9 @@ def bible_search(verses: DataFrame, vector: list[float], bible: str | None = Non
     return own.withColumn("point", F.col("id")).join(hits.select(F.col("id").alias("point"), "score", "rank"), "point").select("osis", "bible", "text", "score", "rank").orderBy("rank")
 
 
-def _requested(spark: SparkSession, ref: str) -> tuple[DataFrame, DataFrame]:
-    """The references asked for, and the keys that they stand for with the position of each key's first mention."""
-    refs = [r.strip() for r in re.split(r"[;,]", ref) if r.strip()]
-    if not refs:
-        raise ValueError("no reference given")
-    asked = spark.createDataFrame(list(enumerate(refs)), "ref_pos int, ref string")
+def _requested(spark: SparkSession, ref: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The references asked for, their keys, and each key with the position of its first mention."""
+    asked = spark.createDataFrame([(ref,)], "refs string").select(F.posexplode(osis.split_refs(F.col("refs"))).alias("ref_pos", "ref"))
     expanded = osis.expand_refs(asked)
     keys = expanded.groupBy("key").agg(F.min(F.struct("ref_pos", "key_pos")).alias("pos"))
     n = keys.limit(osis.MAX_KEYS + 1).count()
@@ -143,7 +140,7 @@ def _requested(spark: SparkSession, ref: str) -> tuple[DataFrame, DataFrame]:
         raise ValueError("no reference given")
     if n > osis.MAX_KEYS:
         raise ValueError(f"more than {osis.MAX_KEYS} verses are asked for")
-    return expanded, keys
+    return asked, expanded, keys
 
 
 def bible_lookup(verses: DataFrame, ref: str, bible: str | list[str] | None = None, numbering: str = "edition") -> tuple[DataFrame, DataFrame]:
@@ -152,7 +149,7 @@ def bible_lookup(verses: DataFrame, ref: str, bible: str | list[str] | None = No
     if numbering not in ("edition", "kjv"):
         raise ValueError("numbering must be 'edition' or 'kjv'")
     spark = verses.sparkSession
-    expanded, keys = _requested(spark, ref)
+    asked, expanded, keys = _requested(spark, ref)
     bibles = [bible] if isinstance(bible, str) else list(bible or [])
     own = verses if not bibles else verses.where(F.col("bible").isin(bibles))
     own = corpus.first_per(own, ["bible", "osis"], [F.col("id")])
@@ -171,5 +168,5 @@ def bible_lookup(verses: DataFrame, ref: str, bible: str | list[str] | None = No
     order = F.array_position(F.array(*map(F.lit, bibles)), F.col("bible")) if bibles else F.lit(0)
     shown = found.withColumn("_b", F.when(order == 0, len(bibles) + 1).otherwise(order)).orderBy("pos", "_b", "bible").select("osis", "bible", "text", "kjv_osis")
     hit = expanded.join(found.select(F.col("kjv_osis").alias("key")).distinct(), "key", "left_semi").select("ref_pos").distinct()
-    missing = spark.createDataFrame(list(enumerate(r.strip() for r in re.split(r"[;,]", ref) if r.strip())), "ref_pos int, ref string").join(hit, "ref_pos", "left_anti").orderBy("ref_pos")
+    missing = asked.join(hit, "ref_pos", "left_anti").orderBy("ref_pos")
     return shown, missing

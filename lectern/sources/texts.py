@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -112,7 +113,8 @@ def html_blocks(pages: DataFrame, column: str = "html") -> DataFrame:
     return rows.withColumn("text", text).where("text <> ''")
 
 
-EPUB = "file string, doc_no int, href string, html string, title string, creator string, date string, rights string"
+EPUB = "file string, doc_no int, href string, html string, title string, creator string, date string, rights string, problem string"
+_EPUB = pa.schema([(c, pa.int32() if c == "doc_no" else pa.string()) for c in ("file", "doc_no", "href", "html", "title", "creator", "date", "rights", "problem")])
 
 
 def _attribute(tag: str, name: str) -> str | None:
@@ -143,17 +145,27 @@ def _spine(book: zipfile.ZipFile) -> tuple[list[tuple[str, str]], dict[str, str]
     return pages, meta
 
 
-def read_epub(spark: SparkSession, path: str) -> DataFrame:
-    """(file, doc_no, href, html, title, creator, date, rights) of the pages of EPUB files, in reading order."""
+def read_epub(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+    """(file, doc_no, href, html, title, creator, date, rights, problem) of the pages of EPUB files, in reading order.
 
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for file, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as book:
-                    pages, meta = _spine(book)
-                yield pd.DataFrame([(file, i + 1, href, page, *(meta.get(k) for k in ("title", "creator", "date", "rights"))) for i, (href, page) in enumerate(pages)], columns=["file", "doc_no", "href", "html", "title", "creator", "date", "rights"])
+    A file that is none fails the job or, if not `strict`, is one row with a problem and no page.  A book is opened by one task.
+    """
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(task, EPUB)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as book:
+                        pages, meta = _spine(book)
+                except (zipfile.BadZipFile, KeyError, TypeError) as e:
+                    if strict:
+                        raise
+                    yield pa.RecordBatch.from_pylist([{"file": file, "doc_no": 0, "problem": f"not an EPUB: {e}"}], schema=_EPUB)
+                    continue
+                facts = {k: meta.get(k) for k in ("title", "creator", "date", "rights")}
+                yield pa.RecordBatch.from_pylist([{"file": file, "doc_no": i + 1, "href": href, "html": page} | facts for i, (href, page) in enumerate(pages)], schema=_EPUB)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(task, EPUB)
 
 
 def sop_json_blocks(files: DataFrame) -> DataFrame:
