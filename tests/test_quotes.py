@@ -96,6 +96,47 @@ def test_copies(spark, corpus):
     assert [(got[i].verdict, got[i].doc_id, got[i].first) for i in range(4)] == [("verified", 3, 10), ("verified", 51, 0), ("verified", 52, 400), ("wrong reference", 3, 10)]
 
 
+def test_short_end(spark, corpus):
+    """Words that stand further on count, even if the best piece leaves them off: fewer than half of those between them."""
+    long = ["enatre"] * 23 + ["whed"] * 23 + ["thonnt"] * 23
+    part, other = corpus[3][10:50], corpus[5][10:50]
+    cases = [(long[10:25] + long[35:50], 50, 50, 40), (other[:20] + other[34:], 5, 5, 40), (other[:4] + other[30:], None, 5, 40)]
+    # A copy with one word changed scores better than the whole with the words between.
+    cases.append((part[:15] + part[25:], 3, 3, 40))
+    more = {50: long, 51: part[:15] + ["zzz"] + part[26:]}
+    got = said(spark, corpus | more, [(" ".join(t), c) for t, c, *_ in cases])
+    for i, (text, _, doc, span) in enumerate(cases):
+        r = got[i]
+        assert (r.verdict, r.doc_id, r.end - r.first, r.matched, r.score) == ("incomplete", doc, span, len(text), 3 * len(text) - span), (i, r)
+
+
+def test_in_order():
+    rng = random.Random(4)
+    for _ in range(200):
+        letters = rng.choice([2, 3, 6])
+        text = [rng.randrange(letters) for _ in range(rng.randrange(1, 30))]
+        quote = [rng.randrange(letters) for _ in range(rng.randrange(1, 8))]
+        spans = []
+        for i in range(len(text)):
+            at = i - 1
+            for q in quote:
+                at = text.index(q, at + 1) if q in text[at + 1 :] else len(text)
+                if at == len(text) or at >= i and text[i] != quote[0]:
+                    break
+            else:
+                spans.append((at + 1 - i, at + 1, i))
+        # A second row is longer, so that the first is filled up.
+        n, size = len(quote) + 2, len(text) + len(quote) + 4
+        quotes, windows = np.full((2, n), -2), np.full((2, n + size), -1)
+        quotes[0, : len(quote)], windows[0, : len(text)] = quote, text
+        between, first, end = (x[0] for x in Q.in_order(quotes, np.array([len(quote), n]), windows))
+        if spans:
+            span, stop, start = min(spans)
+            assert (between, first, end) == (span - len(quote), start, stop)
+        else:
+            assert between == -1
+
+
 def test_no_quotations(spark, corpus):
     assert said(spark, corpus, []) == {}
     none = Q.verdicts(spark.createDataFrame([(1, "a b c", None, 0)], QUOTES), spark.createDataFrame([], DOCS)).collect()
