@@ -59,15 +59,40 @@ def identity_probe(incoming: DataFrame, stored: DataFrame, key: list[str], slug:
     return incoming.join(there, key, "left").withColumn("status", status).drop("_slug", "_there")
 
 
+#: Rows of holders that are broadcast at most; beyond, the incoming codes of each title are dealt to so many parts.
+BROADCAST_HOLDERS, DEALT = 1 << 20, 32
+#: What an author is met by: the same author, one who is not known by one who is, any by one who is not known.
+SAME, UNKNOWN, ANY = range(3)
+
+
+def _authors(df: DataFrame, sure: list[int], unsure: list[int]) -> DataFrame:
+    """Rows (title, code, kind, author, several) by which codes meet, of the kinds `sure` if all authors of a code are known, else
+    `unsure`: SAME for each author, other kinds without one.  `several` holds the authors where they are more than one."""
+    per = df.groupBy("title", "code").agg(F.collect_set("author").alias("authors"), F.count_if(F.col("author").isNull()).alias("unknown"))
+    kinds = F.when(F.col("unknown") == 0, F.array(*map(F.lit, sure))).otherwise(F.array(*map(F.lit, unsure)))
+    rows = per.select("title", "code", "authors", F.explode(kinds).alias("kind"))
+    said = F.when(F.col("kind") == SAME, F.col("authors")).otherwise(F.array(F.lit(None).cast(df.schema["author"].dataType)))
+    return rows.select("title", "code", "kind", F.when(F.size("authors") > 1, F.col("authors")).alias("several"), F.explode(said).alias("author"))
+
+
 def same_title(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Holders of an incoming title under another code, unless both authors are known and differ: title, code, other_code.
 
-    Points are brought down to one row for each title, code and author before they meet.
+    Points are brought down to one row for each title and code before they meet.  A pair is met by one key only and written where it is
+    met: pairs, of which a title that many codes hold has a great many, are neither shuffled nor kept.
     """
-    mine = incoming.select("title", "code", "author").distinct()
-    other = stored.select("title", F.col("code").alias("other_code"), F.col("author").alias("other_author")).distinct()
-    differ = F.coalesce(F.col("author") != F.col("other_author"), F.lit(False))
-    return mine.join(other, "title").where((F.col("code") != F.col("other_code")) & ~differ).select("title", "code", "other_code").distinct()
+    mine = _authors(incoming, [SAME, UNKNOWN], [ANY])
+    other = _authors(stored, [SAME, ANY], [UNKNOWN, ANY]).withColumnsRenamed({c: f"other_{c}" for c in ("title", "code", "kind", "several", "author")})
+    keys = (F.col("title") == F.col("other_title")) & (F.col("kind") == F.col("other_kind")) & F.col("author").eqNullSafe(F.col("other_author"))
+    if other.count() <= BROADCAST_HOLDERS:
+        other = F.broadcast(other)
+    else:
+        mine = mine.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(DEALT)).cast("int"))
+        other = other.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+        keys = keys & (F.col("part") == F.col("other_part"))
+    # Of authors that two codes share the first one counts.
+    once = F.coalesce(F.col("author") == F.array_min(F.array_intersect("several", "other_several")), F.lit(True))
+    return mine.join(other, keys & (F.col("code") != F.col("other_code")) & ((F.col("kind") != SAME) | once)).select("title", "code", "other_code")
 
 
 def paired(originals: DataFrame, translations: DataFrame) -> DataFrame:

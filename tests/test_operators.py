@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +220,17 @@ def test_file_stream(spark, tmp_path):
     for _ in range(2):
         append_new(spark, f"{tmp_path}/in", rows_.schema, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_same_title_pairs(spark, monkeypatch):
+    """Each pair once, also of codes with several authors; pairs are not shuffled to be told apart."""
+    rng = random.Random(6)
+    made = lambda n: [(rng.choice(["A", "B", None]), rng.randrange(12), rng.choice(["x", "y", "z", "z", None])) for _ in range(n)]
+    mine, other = made(40), made(40)
+    want = sorted({(t, c, d) for t, c, a in mine for u, d, b in other if t is not None and t == u and c != d and (a is None or b is None or a == b)})
+    sides = [spark.createDataFrame(x, "title string, code long, author string") for x in (mine, other)]
+    assert sorted(map(tuple, checks.same_title(*sides).collect())) == want
+    plan = checks.same_title(*sides)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0] and "Aggregate" in plan
+    monkeypatch.setattr(checks, "BROADCAST_HOLDERS", 0)
+    assert sorted(map(tuple, checks.same_title(*sides).collect())) == want
