@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # Patterns that decide which text passes.
 SENTENCE_END = "(?<=[.!?;:])[\"”’']?\\s+"
@@ -119,15 +123,101 @@ def junk_ratio(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(1.0)).otherwise(1.0 - clean / F.length(text))
 
 
+#: Characters that are measured together; a longer text is cut before a space, as no count reaches across it.
+BLOCK = 1 << 20
+_SPACE, _WORD, _CAPITAL, _SMALL, _VOWEL, _JUNK, _CLEAN = (1 << i for i in range(7))
+MEASURES = ("words", "bad", "found", "chars", "clean")
+
+
+def _classes() -> np.ndarray:
+    """The classes of each character below U+3002 by the patterns above; the last entry stands for all others."""
+    table = np.zeros(0x3002, np.uint8)
+
+    def put(chars, bit: int) -> None:
+        table[[ord(c) for c in chars]] |= bit
+
+    small, capital = map(chr, range(97, 123)), list(map(chr, range(65, 91)))
+    put("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))), _SPACE)
+    put(small, _SMALL | _WORD | _CLEAN)
+    put(capital, _CAPITAL | _WORD | _CLEAN)
+    put("’'", _WORD)
+    put("aeiouyAEIOUY", _VOWEL)
+    put("^~`|\\{}<>", _JUNK)
+    put("0123456789\t\n\v\f\r .,;:!?'’‘\"“”()[]{}—–-/&%$#*@+=°£§¶†‡", _CLEAN)
+    return table
+
+
+_CLASSES = _classes()
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts by number, cut and gathered to blocks of about BLOCK characters."""
+    at, block, size = [], [], 0
+    for i, text in enumerate(texts):
+        low = 0
+        while low < len(text):
+            high = len(text) if len(text) - low <= BLOCK else text.find(" ", low + BLOCK)
+            high = len(text) if high < 0 else high
+            at.append(i)
+            block.append(text[low:high])
+            size, low = size + high - low, high
+            if size >= BLOCK:
+                yield at, block
+                at, block, size = [], [], 0
+    if block:
+        yield at, block
+
+
+def measures(texts: list[str]) -> np.ndarray:
+    """MEASURES of each text, a row for each: what word_count(), damage_parts(), the length and CLEAN count, in one look at its characters."""
+    out = np.zeros((len(MEASURES), len(texts)), np.int64)
+    for at, block in _pieces(texts):
+        # A line break between two texts parts them, as it is in no word.
+        code = np.frombuffer("\n".join(["", *block, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        cls = _CLASSES[np.minimum(code, len(_CLASSES) - 1)]
+        sizes = np.fromiter(map(len, block), np.int64, len(block))
+        ends = np.cumsum(sizes + 1)  # of the line break behind each text
+        firsts = ends - sizes
+
+        def within(bits: np.ndarray) -> np.ndarray:
+            """Before each character: how many before it have the bits."""
+            return np.concatenate([[0], np.cumsum(bits, dtype=np.int32)])
+
+        def count(bits: np.ndarray) -> np.ndarray:
+            total = within(bits)
+            return total[ends] - total[firsts]
+
+        space, word = (cls & _SPACE) > 0, (cls & _WORD) > 0
+        starts, stops = np.flatnonzero(word[1:] & ~word[:-1]) + 1, np.flatnonzero(word[:-1] & ~word[1:]) + 1
+        capital, small, vowel = within((cls & _CAPITAL) > 0), within((cls & _SMALL) > 0), within((cls & _VOWEL) > 0)
+        long = stops - starts
+        mixed = (long >= 3) & (capital[stops] > capital[starts + 1]) & (small[stops] > small[starts])
+        mute = (long >= 4) & (vowel[stops] == vowel[starts])
+        bad = (cls & _JUNK) > 0
+        bad[starts[mixed | mute]] = True
+        begun = np.zeros(len(cls), bool)
+        begun[starts] = True
+        heads = np.zeros(len(cls), bool)
+        heads[1:] = ~space[1:] & space[:-1]
+        found = (count(heads), count(bad), count(begun), sizes, count((cls & _CLEAN) > 0))
+        for row, n in zip(out, found):
+            np.add.at(row, at, n)
+    return out.T
+
+
+@F.arrow_udf(StructType([StructField(name, IntegerType()) for name in MEASURES]))
+def _measured(column: pa.Array) -> pa.Array:
+    given = column.cast(pa.large_binary()).to_pylist()
+    found, none = measures([(x or b"").decode("utf-8", "replace") for x in given]).T, np.array([x is None for x in given], bool)
+    return pa.StructArray.from_arrays([pa.array(n.astype(np.int32), mask=none) for n in found], list(MEASURES))
+
+
 def measured(df: DataFrame, text: str, into: str = "m") -> DataFrame:
     """Add a struct of what the gate and the statistics look at (words, bad, found, chars, clean), computed once for each row.
 
-    The sum over its parts keeps the optimiser from putting the patterns into each use again.
+    A function that counts as not deterministic is not put into each use again.
     """
-    bad, found = damage_parts(F.col(text))
-    parts = {"words": word_count(F.col(text)), "bad": bad, "found": found, "chars": F.length(text), "clean": F.length(F.regexp_replace(F.col(text), CLEAN, ""))}
-    once = F.transform(F.array(F.struct(*[v.alias(k) for k, v in parts.items()])), lambda x: x)
-    return df.withColumn(into, F.explode(once))
+    return df.withColumn(into, _measured.asNondeterministic()(F.col(text)))
 
 
 def damage_of(m: str = "m") -> Column:

@@ -105,8 +105,9 @@ def inverted(reverse: DataFrame, en_key: str, own_keys: str) -> DataFrame:
 def paragraphs_of(docs: DataFrame, separator: str = "\\n\\s*\\n+") -> DataFrame:
     """Split text into trimmed paragraphs numbered from 1; empty ones take no number, ones that a gate drops later do."""
     clean = F.transform(F.split("text", separator), lambda p: F.regexp_replace(T.stripped(p), "[ \\t]+", " "))
-    rows = docs.withColumn("_p", F.filter(clean, lambda p: p != "")).select(*[c for c in docs.columns if c != "text"], F.posexplode("_p").alias("para", "text"))
-    return rows.withColumn("para", F.col("para") + 1)
+    # The outer form, as for the other the optimiser makes all paragraphs a second time to ask whether there are any.
+    rows = docs.withColumn("_p", F.filter(clean, lambda p: p != "")).select(*[c for c in docs.columns if c != "text"], F.posexplode_outer("_p").alias("para", "text"))
+    return rows.where("text is not null").withColumn("para", F.col("para") + 1)
 
 
 def chunks_of(paragraphs: DataFrame, key: list[str], order: list[str], limits: T.Limits = T.Limits()) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import uuid
 
 import pytest
@@ -129,3 +130,22 @@ def test_vectors(spark):
     tokens = spark.createDataFrame([([[1.0, 0.0], [0.0, 2.0], [9.0, 9.0]], [1, 1, 0])], "v array<array<double>>, m array<int>")
     pooled = tokens.select(vectors.mean_pool(F.col("v"), F.col("m"))).first()[0]
     assert [round(x, 6) for x in pooled] == [0.447214, 0.894427]
+
+
+def test_measures(spark, monkeypatch):
+    """Each count is what its pattern finds, also in texts that are cut; one look at the text, not a pattern for each count."""
+    rng = random.Random(5)
+    signs = list("aAeEbBxXyY'’ \t\x0b\x1c\x85\u00a0\u2003\u3000\ufeff^~`|\\{}<>.,é—§ж漢😀0") + ["word ", "McDonald ", "'TIS ", "xkcd "]
+    rows = [(i, "".join(rng.choice(signs) for _ in range(rng.randrange(40)))) for i in range(600)] + [(600, None), (601, ""), (602, "a" * 300 + " bCd" * 300)]
+    docs = spark.createDataFrame(rows, "i long, text string").repartition(2)
+    bad, found = T.damage_parts(F.col("text"))
+    by_pattern = docs.select("i", T.word_count(F.col("text")).alias("words"), bad.alias("bad"), found.alias("found"), F.length("text").alias("chars"), F.length(F.regexp_replace("text", T.CLEAN, "")).alias("clean"))
+    want = {r.i: tuple(r)[1:] for r in by_pattern.collect()}
+    got = T.measured(docs, "text").select("i", "m.*")
+    assert got.columns[1:] == list(T.MEASURES)
+    assert {r.i: tuple(r)[1:] for r in got.collect()} == want
+    monkeypatch.setattr(T, "BLOCK", 50)
+    whole = [r for r in rows if r[1] is not None]
+    assert [tuple(m) for m in T.measures([t for _, t in whole]).tolist()] == [want[i] for i, _ in whole]
+    plan = T.measured(docs, "text").where(T.reason_of().isNotNull())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_measured(") == 1 and "regexp" not in plan
