@@ -8,6 +8,7 @@ best piece) decides its verdict.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,22 @@ def grams_of(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.select(key, F.posexplode(F.element_at(made, 1)).alias("pos", "gram"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, made once and read from then on; the table goes when the driver ends."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/quotes-{uuid.uuid4().hex}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(where.toString())
+    return spark.read.schema(df.schema).parquet(where.toString())
+
+
+def hit_only(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The documents that hits (kept()) name, before any work on the texts of the others."""
+    ids = hits.select("doc_id").distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_GRAMS else ids, "doc_id", "left_semi")
+
+
 def hits_of(quotes: DataFrame, texts: DataFrame, gram: int, anchors: int) -> DataFrame:
     """(item_id, doc_id, at): places where an anchor of a quotation lies, as that of the quotation's first word.
 
@@ -53,7 +70,8 @@ def hits_of(quotes: DataFrame, texts: DataFrame, gram: int, anchors: int) -> Dat
         asked = grams_of(own, "item_id", n)
         wanted = asked.select("gram").distinct()
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_GRAMS else wanted
-        places = grams_of(texts, "doc_id", n).join(wanted, "gram", "left_semi")
+        # The texts are cut into sequences once; what is left is counted, then looked up.
+        places = kept(grams_of(texts, "doc_id", n).join(wanted, "gram", "left_semi"))
         often = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         rare = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "pos"))
         chosen = asked.join(often, "gram").withColumn("_rn", rare).where(F.col("_rn") <= anchors).select("item_id", "gram", F.col("pos").alias("q"))
@@ -69,10 +87,12 @@ def verify(quotes: DataFrame, docs: DataFrame, gram: int = 4) -> DataFrame:
     first_doc.  A quotation without words is in no document, a null text is no quotation.
     """
     quotes = quotes.where("text is not null").select("item_id", "text", tokens_of(F.col("text")).alias("words"))
-    docs = docs.where("text is not null").select("doc_id", "text", tokens_of(F.col("text")).alias("words"))
+    docs = docs.where("text is not null").select("doc_id", "text")
+    tokenised = lambda rows: rows.select("doc_id", "text", tokens_of(F.col("text")).alias("words"))
     # One rare sequence is enough: where it is not, the quotation cannot be.
-    hits = hits_of(quotes, docs, gram, 1).where("at >= 0")
-    both = hits.join(quotes.select("item_id", F.col("text").alias("quote"), F.col("words").alias("asked")), "item_id").join(docs, "doc_id")
+    hits = kept(hits_of(quotes, tokenised(docs), gram, 1).where("at >= 0"))
+    asked = quotes.select("item_id", F.col("text").alias("quote"), F.col("words").alias("asked"))
+    both = hits.join(asked, "item_id").join(tokenised(hit_only(docs, hits)), "doc_id")
     same = both.where(F.slice("words", F.col("at") + 1, F.size("asked")) == F.col("asked"))
     by_doc = same.groupBy("item_id", "doc_id").agg(F.max(F.col("text").contains(F.col("quote"))).alias("exact"))
     counts = by_doc.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("exact").alias("exact"), F.min("doc_id").alias("first_doc"))
@@ -181,11 +201,12 @@ def verdicts(quotes: DataFrame, docs: DataFrame, gram: int = 3, anchors: int = 8
     without words is not found; item_id is unique; documents that repeat a doc_id count as several texts of it.
     """
     asked = quotes.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("cited").cast("bigint").alias("cited"), F.coalesce(tokens_of(F.col("text")), F.array().cast("array<string>")).alias("words"))
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens_of(F.col("text")).alias("words"))
-    hits = hits_of(asked, texts, gram, anchors)
+    docs = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    tokenised = lambda rows: rows.select("doc_id", tokens_of(F.col("text")).alias("words"))
+    hits = kept(hits_of(asked, tokenised(docs), gram, anchors))
     places = hits.select("item_id", "doc_id", F.floor(F.col("at") / DIAGONALS).cast("int").alias("block")).distinct()
     low = F.col("block") * DIAGONALS - SLACK
-    both = places.join(asked.select("item_id", F.col("words").alias("asked")), "item_id").join(texts, "doc_id")
+    both = places.join(asked.select("item_id", F.col("words").alias("asked")), "item_id").join(tokenised(hit_only(docs, hits)), "doc_id")
     # Only the words in reach travel on; those before the text are made up for by empty ones.
     size = F.size("asked") + DIAGONALS + 2 * SLACK
     window = F.concat(F.array_repeat(F.lit(""), F.greatest(-low, F.lit(0))), F.slice("words", F.greatest(low, F.lit(0)) + 1, F.greatest(size + F.least(low, F.lit(0)), F.lit(0))))

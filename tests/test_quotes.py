@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import quotes as Q
 
@@ -137,6 +138,24 @@ def test_in_order():
             assert between == -1
 
 
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_texts_are_cut_once(spark, corpus, monkeypatch, bound):
+    """One pass over the texts finds the sequences, another those that are hit; only these are aligned."""
+    monkeypatch.setattr(Q, "BROADCAST_GRAMS", bound)
+    seen = spark.sparkContext.accumulator(0)
+
+    def looked(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in corpus.items()], "doc_id long, text string").repartition(3)
+    watched = docs.select("doc_id", F.udf(looked, "string").asNondeterministic()("text").alias("text"))
+    quotes = spark.createDataFrame([(1, " ".join(corpus[7][5:30])), (2, " ".join(corpus[9][20:29]).upper()), (3, "no such words here")], "item_id long, text string")
+    got = {r.item_id: (r.verdict, r.documents, r.first_doc) for r in Q.verify(quotes, watched).collect()}
+    assert got == {1: ("exact", 1, 7), 2: ("normalised", 1, 9), 3: ("none", 0, None)}
+    assert seen.value == 2 * len(corpus)
+
+
 def test_no_quotations(spark, corpus):
     assert said(spark, corpus, []) == {}
     none = Q.verdicts(spark.createDataFrame([(1, "a b c", None, 0)], QUOTES), spark.createDataFrame([], DOCS)).collect()
