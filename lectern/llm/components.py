@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     twice as far in each round; the tables of a round go to the shared folder.
     """
     links = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))

@@ -7,8 +7,9 @@ similarity of their signatures, a few bit counts, sorts out most, and full shing
 confirm the rest.  A pair of similarity 0.75 shares no band with a chance of 5 in a million.
 
 Groups of copies stay linear: equal sets are one vertex; in each bucket the members are
-first linked with leaders, in several turns; only buckets that still hold several components are
-searched pair by pair, members of one component never being compared.
+first linked with leaders, in several turns where that saves much; only buckets that still hold several
+components are searched pair by pair, members of one component never being compared.  Large ones are searched in
+tiles, so no task holds a whole bucket.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import document_columns, lean_batches, saved, split_join
-from .textblock import BASES, LOWER, Prefix, Words, blocks, mix, text_bytes
+from .textblock import BASES, LOWER, Prefix, Words, blocks, mix, ranges, text_bytes
 
 HASHES, BANDED, ROWS, BITS = 768, 128, 4, 2
 #: Pairs that look less similar than this are not confirmed: 4.5 standard deviations of the estimate below 0.75.
@@ -30,6 +31,10 @@ LEAST_ESTIMATE = 0.665
 #: Further turns, at most, in which buckets of several components choose a leader; none is needed once
 #: their members meet no more than so many others on average.  The search pair by pair that follows is exact in any case.
 TURNS, FEW_MET = 3, 32
+#: So many comparisons in all are made at once: a turn, some fifteen tables, takes longer than they do.
+FEW_COMPARISONS = 1 << 26
+#: Members of a tile of a bucket, on average; a bucket of several tiles is searched pair of tiles by pair of tiles.
+TILE = 2048
 #: So many ids (8 bytes each) are broadcast to pick documents; more are shuffled, and the texts with them.
 BROADCAST_IDS = 500_000
 _rng = np.random.default_rng(6)
@@ -120,33 +125,104 @@ def _confirm(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
                 a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 at = np.searchsorted(b, a)
                 both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
                 good.append(100 * both >= percent * (len(a) + len(b) - both) and both > 0)
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            yield batch.drop_columns(["a_set", "b_set"]).filter(pa.array(good, pa.bool_()))
 
     return task
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full shingle sets are similar enough; each needed set is made once."""
-    pairs = saved(pairs.distinct(), "pairs")
-    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    sets = saved(docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
+    """The rows of (a, b, more columns) whose full shingle sets are similar enough; each needed set is made once."""
+    pairs = saved(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    few = 2 * pairs.count() <= BROADCAST_IDS
+    if not few:
+        ids = saved(ids.distinct(), "ids")
+        few = ids.count() <= BROADCAST_IDS
+    sets = saved(docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
     x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
-    return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+    both = pairs.join(x, "a").join(y, "b").select(*pairs.columns, "a_set", "b_set")
+    return saved(both.mapInArrow(_confirm(percent), pairs.schema), "confirmed")
 
 
-def mixed_buckets(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(key, id, band, label) of the members of buckets that hold several components, and how many members such a row meets."""
+def _search(percent: int):
+    """Rows (key, i, j, tile, id, label, band, n_shingles, bands, sig), those of a key and pair of tiles (i, j) side by side, become the pairs
+    (a, b) that look alike, with their labels (x, y)."""
+    lanes = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+    chance = 2.0**-BITS
+
+    def alike(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, tile, id_, label, band, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "tile", "id", "label", "band", "n_shingles"))
+        bands, sig = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(key), -1) for c in ("bands", "sig"))
+        sig = sig.view(np.uint64)
+        group = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        order = np.lexsort((n, group))
+        # Each row meets the larger ones of its group, as far as their sizes allow.
+        step = int(n.max()) + 1
+        place = group[order] * step + n[order]
+        last = np.searchsorted(place, group[order] * step + np.minimum(100 * n[order] // percent, step - 1), "right")
+        first = np.arange(1, len(order) + 1)
+        meets = last - first
+        done = np.append(0, np.cumsum(meets))
+        x = 0
+        while x < len(order):
+            y = max(x + 1, int(np.searchsorted(done, done[x] + (1 << 16), "right")) - 1)
+            l, r = order[np.repeat(np.arange(x, y), meets[x:y])], order[ranges(first[x:y], meets[x:y])]
+            x = y
+            some = (label[l] != label[r]) & ((tile[l] != tile[r]) | (i[l] == j[l]))
+            l, r = l[some], r[some]
+            # Once for each pair, in the first band that both share.
+            some = np.argmax(bands[l] == bands[r], axis=1) == band[l]
+            l, r = l[some], r[some]
+            differ = sig[l] ^ sig[r]
+            for k in range(1, BITS):
+                differ |= differ >> np.uint64(k)
+            some = (1.0 - np.bitwise_count(differ & lanes).sum(axis=1) / HASHES - chance) / (1 - chance) >= LEAST_ESTIMATE
+            l, r = l[some], r[some]
+            if len(l):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (id_[l], id_[r], label[l], label[r])], names=["a", "b", "x", "y"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 4 * TILE:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+            # The last group may go on in the next batch.
+            end = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+            whole = int(end[-1]) + 1 if len(end) else 0
+            if whole:
+                yield from alike(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+        if sum(b.num_rows for b in held):
+            yield from alike(pa.Table.from_batches(held).combine_chunks())
+
+    return task
+
+
+def cross_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, x, y): members of a bucket with different labels x and y that look alike.  rows: (key, id, band, label, size of the bucket)."""
+    tiles = F.ceil(F.col("size") / TILE)
+    tiled = rows.withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    tiled = tiled.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "label", "band")
+    whole = tiled.join(classes.select("id", "n_shingles", "bands", "sig").hint("shuffle_hash"), "id")
+    return whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search(percent), "a long, b long, x long, y long")
+
+
+def mixed_buckets(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float]:
+    """(key, id, band, label, size) of the members of buckets that hold several components, how many members such a row meets, and all meetings."""
     members = saved(rows.select("key", "id", "band").join(labels, "id", "left").select("key", "id", "band", F.coalesce("label", "id").alias("label")), "members")
     several = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n")
     several = saved(several, "several")
-    met = several.agg(F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).first()[0]
-    return saved(split_join(members, several, ["key"], "n"), "mixed"), met or 0.0
+    compared, met = several.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).first()
+    mixed = split_join(members, several.withColumn("size", F.col("n")), ["key"], "n").select("key", "id", "band", "label", "size")
+    return saved(mixed, "mixed"), met or 0.0, compared or 0.0
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -182,8 +258,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     # Each bucket is led by its most central member, and each member is compared with the most central of its leaders.
     lead = rows.join(central.hint("shuffle_hash"), "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("lead"), F.count(F.lit(1)).alias("n"))
     led = split_join(rows, saved(lead, "leads"), ["key"], "n").where(F.col("lead.minus") != -F.col("id")).groupBy("id").agg(F.max("lead").alias("lead"))
-    leader = -F.col("lead.minus")
-    pairs = led.select(F.least("id", leader).alias("a"), F.greatest("id", leader).alias("b")).distinct()
+    pairs = led.select(F.col("id").alias("a"), (-F.col("lead.minus")).alias("b"))
     signed = classes.select("id", "n_shingles", "sig")
 
     def close_ones(pairs: DataFrame) -> DataFrame:
@@ -191,8 +266,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
 
     def fresh(pairs: DataFrame) -> DataFrame:
         """The labels (x, y) of the pairs (a, b) that are confirmed."""
-        pairs = saved(pairs, "pairs")
-        return saved(confirmed(docs, pairs.select("a", "b"), size, percent).join(pairs, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "fresh")
+        return confirmed(docs, pairs, size, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     labels = components(confirmed(docs, close_ones(pairs), size, percent))
     # While members of mixed buckets would meet many others, the buckets get further leaders, drawn by id alone, so that one
@@ -200,8 +274,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     # does not halve what is met is the last.  A bucket of one component never becomes mixed again.
     before = float("inf")
     for turn in range(TURNS + 1):
-        rows, met = mixed_buckets(rows, labels)
-        if met <= FEW_MET or met > before / 2 or turn == TURNS:
+        rows, met, compared = mixed_buckets(rows, labels)
+        if met <= FEW_MET or compared <= FEW_COMPARISONS or met > before / 2 or turn == TURNS:
             break
         before = met
         lead = F.struct(F.xxhash64(F.lit(turn), "id").alias("draw"), F.col("id").alias("b"), F.col("label").alias("y"))
@@ -210,15 +284,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         links = fresh(close_ones(pairs).groupBy("a", "x").agg(F.min(F.struct("draw", "b", "y")).alias("lead")).select("a", "x", "lead.b", "lead.y"))
         if not links.isEmpty():
             labels = merged(labels, links)
-    # What is left there: each member with the members of other components near its size,
-    # once for each pair, in the first band that both share.
-    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent)))
-    rest = saved(rows.join(classes.select("id", "n_shingles", "bands", "sig").hint("shuffle_hash"), "id").withColumn("step", step), "rest")
-    left = rest.withColumn("step", F.explode(F.array("step", F.col("step") + 1))).alias("l")
-    first_shared = F.coalesce(*[F.when(F.col("l.bands")[i] == F.col("r.bands")[i], i) for i in range(BANDED // ROWS)])
-    ordered = F.struct("l.n_shingles", "l.id") < F.struct("r.n_shingles", "r.id")
-    cross = left.join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.step") == F.col("r.step")) & (F.col("l.label") != F.col("r.label")) & ordered & like_sized & (F.col("l.band") == first_shared) & close)
-    links = fresh(cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.label").alias("x"), F.col("r.label").alias("y")))
+    # What is left there: each member with the members of other components near its size.
+    links = fresh(cross_pairs(rows, classes, percent))
     if not links.isEmpty():
         labels = merged(labels, links)
     vertex = full.join(classes.select("s1", "s2", F.col("id").alias("vertex")), ["s1", "s2"]).select("doc_id", "vertex")

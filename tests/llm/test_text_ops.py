@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import induced
+from lectern.llm import op6_minhash as op6
 from lectern.llm import op9_suffix_array as op9
 from lectern.llm.op1_line_dedup import common_blocks, dedup_lines, longest_common
 from lectern.llm.op2_substring_dedup import dedup_passages
@@ -160,6 +161,54 @@ def test_short_near_duplicates(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize("tile", [2048, 16])
+def test_one_template(spark, monkeypatch, tile):
+    """Texts of one template, near 0.75 on both sides: so few comparisons are made at once, in tiles, and no turn of leaders comes before."""
+    rng = random.Random(75)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        words = list(template)
+        for at in (rng.randrange(0, 60), rng.randrange(0, 60)) if i % 4 else (rng.randrange(56, 60),):
+            words[at] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    names, keep = [], op6.saved
+    monkeypatch.setattr(op6, "saved", lambda df, name: names.append(name) or keep(df, name))
+    monkeypatch.setattr(op6, "TILE", tile)
+    monkeypatch.setattr(op6, "FEW_MET", 0)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows)).collect()}
+    sets, low = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in near:
+            low[a] = low[b] = min(low[a], low[b])
+    assert got == low and names.count("leads") == 1
+
+
+def test_pairs_of_a_bucket(spark, monkeypatch):
+    """Tiles find the pairs of a bucket that all comparisons find, each once, in its first shared band."""
+    rng = random.Random(5)
+    base = [[f"w{k}-{i}" for i in range(50)] for k in range(3)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"v{rng.random()}" for w in base[i % 3])) for i in range(90)]
+    sketch = frame(spark, rows).mapInArrow(op6._sketch(5), op6.SKETCH).select("doc_id", "n_shingles", "bands", "sig").cache()
+    made = sketch.collect()
+    buckets = sketch.select("doc_id", F.posexplode("bands").alias("band", "key")).select("key", F.col("doc_id").alias("id"), "band", (F.col("doc_id") % 7).alias("label"))
+    buckets = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
+    classes = sketch.withColumnRenamed("doc_id", "id")
+    lanes = lambda r: [(x >> s) & 3 for x in r.sig for s in range(0, 64, 2)]
+    want = set()
+    for p in made:
+        for q in made:
+            if (p.n_shingles, p.doc_id) < (q.n_shingles, q.doc_id) and p.doc_id % 7 != q.doc_id % 7 and set(p.bands) & set(q.bands) and 100 * p.n_shingles >= 75 * q.n_shingles:
+                differ = sum(x != y for x, y in zip(lanes(p), lanes(q), strict=True))
+                if (1 - differ / op6.HASHES - 0.25) / 0.75 >= op6.LEAST_ESTIMATE:
+                    want.add((*sorted((p.doc_id, q.doc_id)), *sorted((p.doc_id % 7, q.doc_id % 7))))
+    for tile in (2048, 4):
+        monkeypatch.setattr(op6, "TILE", tile)
+        found = [(*sorted((r.a, r.b)), *sorted((r.x, r.y))) for r in op6.cross_pairs(buckets, classes, 75).collect()]
+        assert len(found) == len(want) > 100 and set(found) == want
+
+
 def test_patience():
     a, b = list("axbycz"), list("abc")
     assert common_blocks(a, b) == [(0, 0, 1), (2, 1, 1), (4, 2, 1)]
