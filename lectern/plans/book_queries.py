@@ -276,7 +276,7 @@ def quote_verdicts(t: Tables) -> DataFrame:
     from ..operators.quotes import tokens_of, verdicts
 
     kind, w = F.col("doc_id") % 5, F.slice("w", 11, 40)
-    taken = t.documents.select("doc_id", tokens_of(F.col("text")).alias("w")).where("size(w) >= 60 and doc_id % 10 < 5")
+    taken = t.documents.select("doc_id", tokens_of(F.col("text")).alias("w")).where("doc_id % 10 < 5 and size(w) >= 60")
     changed = F.transform(w, lambda x, i: F.when(i.isin(9, 29), F.lit("zzqx")).otherwise(x))
     made_up = F.transform(w, lambda x, i: F.concat(F.lit("zzqx"), i.cast("string"), F.col("doc_id").cast("string")))
     said = F.when(kind == 2, changed).when(kind == 3, F.concat(F.slice("w", 11, 15), F.slice("w", 36, 15))).when(kind == 4, made_up).otherwise(w)
