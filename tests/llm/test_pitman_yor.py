@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import op11_pitman_yor as op11
 
@@ -113,6 +114,14 @@ def test_scores(spark, rows, monkeypatch, part_tokens, names):
     assert sum(s for _, s in out) > 0.7 * sum(b for b, _ in out)
 
 
+def test_held_unknown(spark, rows):
+    """Rows of which a given column does not say whether they are held out are learnt from, words and pairs alike."""
+    some = [(i, t, None if k % 3 == 0 else k % 3 == 1) for k, (i, t) in enumerate(rows)]
+    said = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, out boolean").repartition(3)
+    a, b = (sorted(((r.doc_id or -1, *r[1:5], round(r.base_score, 6), round(r.score, 4)) for r in op11.language_model_scores(said(x), F.col("out")).collect()), key=str) for x in (some, [(i, t, bool(h)) for i, t, h in some]))
+    assert a == b and a[0][4] == sum(len(tokens(t)) for _, t, h in some if not h)
+
+
 def partitions(n):
     """All ways of seating n customers, as the sizes of the tables."""
     if n == 0:
